@@ -1,0 +1 @@
+"""docloom.plans."""
