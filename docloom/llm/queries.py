@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import encode, leakage, lookalike, repeated_lines, splitting
+from docloom.llm import encode, leakage, lookalike, repeated_lines, residue, splitting
 from docloom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "sections"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_fetches(table(spark, d, "pages_raw"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "pages_raw"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.main_pieces(table(spark, d, "pages_raw"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_lines(table(spark, d, "sections"))
 
@@ -63,5 +75,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pieces, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_canonical]
+    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_canonical]
     return {f.__name__: f for f in own}
