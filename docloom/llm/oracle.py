@@ -36,6 +36,19 @@ FROM one LEFT JOIN gone ON one.section_id = gone.section_id
 """
 )
 
+P4_TEXTS = r"""
+WITH t AS (SELECT DISTINCT section_id, regexp_extract_all(lower(coalesce(doc_title, '') || ' ' || coalesce(raw_content, '')), '[\p{L}\p{N}]+') AS w FROM sections),
+g AS (SELECT DISTINCT section_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS gram
+      FROM (SELECT section_id, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 30)),
+n AS (SELECT section_id, count(*) AS size FROM g GROUP BY section_id),
+c AS (SELECT a.section_id AS a, b.section_id AS b, count(*) AS common
+      FROM g a JOIN g b ON a.gram = b.gram AND a.section_id < b.section_id GROUP BY ALL),
+pairs AS (SELECT c.a, c.b FROM c JOIN n x ON x.section_id = c.a JOIN n y ON y.section_id = c.b
+          WHERE c.common * 10 >= (x.size + y.size - c.common) * 6)
+"""
+
+P4 = P4_TEXTS + "SELECT a AS section_id_a, b AS section_id_b FROM pairs"
+
 P7_HITS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text <> ''),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text <> ''),
@@ -51,4 +64,4 @@ P7_REPORT = P7_HITS + "SELECT item_id, count(*) AS documents, CAST(sum(places) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}
+    return {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import encode, leakage, lookalike, repeated_lines, residue, splitting
+from docloom.llm import encode, leakage, lookalike, near_duplicates, repeated_lines, residue, splitting
 from docloom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.main_pieces(table(spark, d, "pages_raw"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates.alike_pairs(*near_duplicates.near_duplicate_texts(near_duplicates.sections_as_rows(table(spark, d, "sections"))))
+    return found.select(F.col("id_a").alias("section_id_a"), F.col("id_b").alias("section_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates.classes(*near_duplicates.near_duplicate_texts(near_duplicates.sections_as_rows(table(spark, d, "sections"))))
+    return found.withColumnRenamed("id", "section_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_lines(table(spark, d, "sections"))
 
@@ -75,5 +85,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_canonical]
+    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_canonical]
     return {f.__name__: f for f in own}
