@@ -1,13 +1,412 @@
-"""All queries of the core by name, and their SQL."""
+"""All queries of the core by name.  Each takes (spark, directory) and reads whole tables."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.functions import urls as U
+from docloom.operators import answers as A
+from docloom.operators import crawl, extract, html_markdown, search, tree
+from docloom.sources import table
+
 FLAGSHIP = "hybrid_search"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Parameters of the filters: pages are wanted, labels and attachments aren't.
+ALLOW, DENY = [r"/wiki/spaces/", r"/pages/\d+"], [r"/label/", r"/download/", r"\.pdf$"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docloom.oracle import SQL
+
+    return {name: sql for name, sql in SQL.items() if name in QUERIES}
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """The batch of questions: all evaluation items."""
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text").dropDuplicates(["query_id"])
+
+
+def first_domain(found: DataFrame) -> str:
+    return found.where(U.authority("url") != "").agg(F.min(U.authority("url"))).first()[0] or ""
+
+
+# --- URLs -------------------------------------------------------------------------------------------------------
+
+
+@query
+def url_parts(spark, d):
+    rows = table(spark, d, "discovered_urls").select("url_id", "url").distinct()
+    return rows.select("url_id", U.stripped("url").alias("stripped"), U.normal("url").alias("normal"), U.authority("url").alias("host"), U.path_depth("url").alias("depth"), U.page_id("url").alias("page_id"))
+
+
+@query
+def url_split_internal(spark, d):
+    found = table(spark, d, "discovered_urls").distinct()
+    return crawl.by_domain(found, first_domain(found)).groupBy("kind", "source").agg(F.count("*").alias("urls"), F.countDistinct("url").alias("distinct_urls"))
+
+
+@query
+def url_allow_deny(spark, d):
+    return table(spark, d, "discovered_urls").where(U.allowed("url", ALLOW, DENY)).select("url_id", "url").distinct()
+
+
+@query
+def url_export_view(spark, d):
+    return table(spark, d, "discovered_urls").select("url_id", U.export_view("url").alias("export_url")).distinct()
+
+
+@query
+def url_requests(spark, d):
+    return crawl.requests(table(spark, d, "discovered_urls"))
+
+
+@query
+def url_external_captures(spark, d):
+    found = table(spark, d, "discovered_urls").distinct()
+    return crawl.external_captures(found.where("source = 'external_l1'"), [first_domain(found)], 4).select("url_id", "url", "depth")
+
+
+@query
+def url_sources(spark, d):
+    rows = table(spark, d, "discovered_urls").distinct()
+    return rows.groupBy("source").agg(F.count("*").alias("urls"), F.countDistinct(U.normal("url")).alias("pages"), F.max("depth").alias("deepest"))
+
+
+@query
+def crawl_frontier(spark, d):
+    return crawl.frontier(table(spark, d, "discovered_urls"))
+
+
+# --- pages ------------------------------------------------------------------------------------------------------
+
+
+@query
+def page_folders(spark, d):
+    return table(spark, d, "pages_raw").select("fetch_id", U.folder_key("title", "page_url").alias("folder"), U.short_hash("page_url", "title").alias("hash")).distinct()
+
+
+@query
+def page_best_html(spark, d):
+    return html_markdown.best_source(table(spark, d, "pages_raw")).select("fetch_id", "html_source", F.length("html").alias("chars"))
+
+
+@query
+def page_latest(spark, d):
+    rows = table(spark, d, "pages_raw").where("page_html <> ''")
+    return rows.groupBy("page_url").agg(F.max_by("fetch_id", F.struct("fetched_at", "fetch_id")).alias("fetch_id"), F.countDistinct("fetch_id").alias("fetches"))
+
+
+@query
+def page_errors(spark, d):
+    rows = table(spark, d, "pages_raw").select("fetch_id", "status", "rest_export_view", "url_export_view").distinct()
+    return rows.groupBy("status").agg(F.count("*").alias("fetches"), F.count_if("rest_export_view.attempted").alias("rest_attempts"), F.count("rest_export_view.error").alias("rest_errors"), F.count("url_export_view.error").alias("url_errors"))
+
+
+@query
+def page_embedded_links(spark, d):
+    return table(spark, d, "pages_raw").select("fetch_id", F.explode(U.embedded_links("page_html")).alias("link")).distinct()
+
+
+@query
+def page_links(spark, d):
+    return html_markdown.links(table(spark, d, "pages_raw"))
+
+
+@query
+def page_markdown(spark, d):
+    return html_markdown.convert(table(spark, d, "pages_raw"))
+
+
+@query
+def page_markdown_sections(spark, d):
+    pages = html_markdown.convert(table(spark, d, "pages_raw"))
+    return tree.parse_markdown(pages, "fetch_id", "markdown", F.lit("Document"))
+
+
+@query
+def page_stats(spark, d):
+    rows = table(spark, d, "pages_md").select("page_url", "scope_used", "html_source", F.explode("stats").alias("part", "n"))
+    return rows.distinct().groupBy("scope_used", "part").agg(F.count("*").alias("pages"), F.sum("n").alias("total"))
+
+
+# --- text -------------------------------------------------------------------------------------------------------
+
+
+@query
+def text_normalized(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalized("text")).alias("digest"), F.length(T.normalized("text")).alias("chars"))
+
+
+@query
+def text_terms(spark, d):
+    return asked(spark, d).select("query_id", T.terms("text").alias("terms"))
+
+
+@query
+def text_term_frequencies(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(F.array_distinct(T.terms("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("documents"))
+
+
+@query
+def text_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("at", "sentence"))
+
+
+@query
+def text_excerpts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
+
+
+@query
+def text_urls(spark, d):
+    return tree.nodes(table(spark, d, "sections"), "raw_content").select("section_id", F.explode(T.urls("raw_content")).alias("url"))
+
+
+@query
+def text_windows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.word_windows("text")).alias("window", "content"))
+
+
+# --- extraction -------------------------------------------------------------------------------------------------
+
+
+@query
+def fenced_blocks(spark, d):
+    return extract.fenced_blocks(table(spark, d, "sections"))
+
+
+@query
+def numbered_steps(spark, d):
+    return tree.nodes(table(spark, d, "sections"), "raw_content").select("section_id", F.posexplode(extract.steps_of("raw_content")).alias("at", "step"))
+
+
+@query
+def yaml_islands(spark, d):
+    return extract.yaml_blocks(table(spark, d, "sections"))
+
+
+@query
+def output_islands(spark, d):
+    return extract.output_blocks(table(spark, d, "sections"))
+
+
+@query
+def section_commands(spark, d):
+    return extract.section_commands(table(spark, d, "sections"))
+
+
+@query
+def section_artefacts(spark, d):
+    return extract.section_artefacts(table(spark, d, "sections"))
+
+
+@query
+def install_commands(spark, d):
+    rows = tree.nodes(table(spark, d, "sections"), "commands").select("section_id", F.explode("commands").alias("raw"))
+    return rows.select("section_id", T.shell_command("raw").alias("command"), T.installs("raw").alias("installs")).distinct()
+
+
+@query
+def block_kinds(spark, d):
+    rows = extract.fenced_blocks(table(spark, d, "sections")).join(tree.nodes(table(spark, d, "sections"), "heading"), "section_id")
+    return rows.select("section_id", "block_no", extract.block_kind("lang", "content", "heading").alias("kind"))
+
+
+@query
+def block_documents(spark, d):
+    return extract.block_documents(table(spark, d, "sections")).groupBy("doc_type", "block_type").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def topic_tags(spark, d):
+    rows = tree.nodes(table(spark, d, "sections"), "doc_title", "heading", "raw_content")
+    return rows.select("section_id", F.explode(extract.topic_tags("doc_title", "heading", "raw_content")).alias("tag"))
+
+
+# --- tree -------------------------------------------------------------------------------------------------------
+
+
+@query
+def markdown_sections(spark, d):
+    rows = tree.parse_markdown(table(spark, d, "documents").where("not contains(text, '\r')"), "doc_id", "text", F.lit("Document"))
+    return rows.select("doc_id", "section_seq", "level", "heading", F.length("raw_content").alias("chars"))
+
+
+@query
+def section_parents(spark, d):
+    return tree.with_ancestors(table(spark, d, "sections")).select("section_id", "parent", F.size("ancestors").alias("depth"))
+
+
+@query
+def section_descendants(spark, d):
+    return tree.closure(table(spark, d, "sections")).groupBy(F.col("ancestor").alias("section_id")).agg(F.count("*").alias("descendants"), F.max("distance").alias("deepest"))
+
+
+@query
+def section_useful_descendants(spark, d):
+    return tree.useful_descendants(table(spark, d, "sections")).select("ancestor", "descendant", "distance")
+
+
+@query
+def section_siblings(spark, d):
+    return tree.siblings(table(spark, d, "sections"))
+
+
+@query
+def section_neighbours(spark, d):
+    return tree.neighbours(table(spark, d, "sections"))
+
+
+@query
+def section_structural_neighbours(spark, d):
+    return tree.structural_neighbours(table(spark, d, "sections"))
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------
+
+
+@query
+def query_intents(spark, d):
+    return search.intents(asked(spark, d))
+
+
+@query
+def query_subjects(spark, d):
+    return search.subjects(asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def overlap_top(spark, d):
+    return search.ranked(search.overlap_scores(asked(spark, d), table(spark, d, "sections")), 10)
+
+
+@query
+def lexical_search(spark, d):
+    return search.lexical_search(asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def bm25_search(spark, d):
+    return search.bm25_search(asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def vector_search(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return search.vector_search(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@query
+def scores_minmax(spark, d):
+    return search.minmax(bm25_search(spark, d), ["query_id"]).select("query_id", "section_id", F.round("scaled", 5).alias("scaled"))
+
+
+@query
+def ranks_fused(spark, d):
+    both = lexical_search(spark, d).select("query_id", "section_id", "rank").unionByName(bm25_search(spark, d).select("query_id", "section_id", "rank"))
+    return search.rrf(both).select("query_id", "section_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query
+def hybrid_ranking(spark, d):
+    return search.combined(asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def anchor_sections(spark, d):
+    questions, sections = asked(spark, d), table(spark, d, "sections")
+    wanted = search.understood(questions, sections)
+    return search.anchors(questions, sections, crawl.checkpointed(search.combined(questions, sections, wanted=wanted)), wanted)
+
+
+@query
+def hybrid_search(spark, d):
+    return search.hybrid_search(asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def subject_tiers(spark, d):
+    sections = table(spark, d, "sections")
+    named = tree.nodes(sections, "heading").groupBy("heading").agg(F.min("section_id").alias("query_id")).select("query_id", F.col("heading").alias("subject"))
+    return A.subject_tiers(named, sections).groupBy("query_id", "tier").agg(F.count("*").alias("sections"))
+
+
+# --- answers ----------------------------------------------------------------------------------------------------
+
+
+def chosen(spark, d):
+    return crawl.checkpointed(bm25_search(spark, d).where("rank <= 10").select("query_id", "section_id", "rank"))
+
+
+@query
+def answer_commands(spark, d):
+    return A.collected(chosen(spark, d), table(spark, d, "sections"), "commands")
+
+
+@query
+def answer_sources(spark, d):
+    return A.sources(chosen(spark, d), table(spark, d, "sections"))
+
+
+@query
+def answer_sentences(spark, d):
+    return A.best_sentences(chosen(spark, d), asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def answer_subtopics(spark, d):
+    tops = tree.nodes(table(spark, d, "sections"), "level").where("level = 1").select(F.col("section_id").alias("query_id"), "section_id")
+    return A.by_subtopic(tops, table(spark, d, "sections"))
+
+
+@query
+def answers(spark, d):
+    return A.answers(search.hybrid_search(asked(spark, d), table(spark, d, "sections")), asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def answer_prompts(spark, d):
+    return A.prompts(chosen(spark, d), asked(spark, d), table(spark, d, "sections"))
+
+
+@query
+def answer_ungrounded_urls(spark, d):
+    given = tree.nodes(table(spark, d, "sections"), "raw_content").select(F.col("section_id").alias("query_id"), F.col("raw_content").alias("answer"))
+    places = tree.neighbours(table(spark, d, "sections"), 1).select(F.col("section_id").alias("query_id"), F.col("neighbour").alias("section_id"))
+    return A.ungrounded_urls(given, places, table(spark, d, "sections"))
+
+
+@query
+def answer_ungrounded_commands(spark, d):
+    given = tree.nodes(table(spark, d, "sections"), "commands").select(F.col("section_id").alias("query_id"), F.explode("commands").alias("command"))
+    places = tree.neighbours(table(spark, d, "sections"), 1).select(F.col("section_id").alias("query_id"), F.col("neighbour").alias("section_id"), F.col("offset").alias("rank"))
+    return A.ungrounded_commands(given, places, table(spark, d, "sections"))
+
+
+# --- streaming --------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_new_pages(spark, d):
+    from docloom.streaming import ingest
+
+    source = table(spark, d, "discovered_urls")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')}/stream-{abs(hash((d, id(source))))}"
+    stream = ingest.url_stream(spark, f"{d}/discovered_urls.parquet", source.schema)
+    ingest.run_once(ingest.new_pages(stream, "3650 days"), f"{folder}/pages", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/pages").select("page_url").distinct()

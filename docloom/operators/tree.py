@@ -90,7 +90,8 @@ def neighbours(sections: DataFrame, radius: int = 2) -> DataFrame:
     order = Window.partitionBy("file_path").orderBy("section_id")
     rows = nodes(sections, "file_path")
     offsets = [d for d in range(-radius, radius + 1) if d]
-    near = F.array(*(F.struct(F.lit(d).alias("offset"), F.lag("section_id", -d).over(order).alias("neighbour")) for d in offsets))
+    rows = rows.select("section_id", *(F.lag("section_id", -d).over(order).alias(f"at_{k}") for k, d in enumerate(offsets)))
+    near = F.array(*(F.struct(F.lit(d).alias("offset"), F.col(f"at_{k}").alias("neighbour")) for k, d in enumerate(offsets)))
     return rows.select("section_id", F.explode(near).alias("n")).select("section_id", "n.offset", "n.neighbour").where("neighbour is not null")
 
 
