@@ -23,6 +23,8 @@ once; were an id to come with different texts, each would count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.arrowmap import chunks_by_chars
 from docloom.functions.words import mixed, runs_hashed, words_of
 from docloom.llm.main_body import keep
 
 WIDTH, LEAST_WORDS, SIMILARITY, SHARED, SLOTS = 3, 30, (6, 10), 4, 1 << 17
-#: Texts a task remembers as sent; ids up to which the texts of candidates are fetched by a broadcast of their ids.
-REMEMBERED, BROADCAST_IDS = 200_000, 2_000_000
+#: Words a task remembers and characters it takes at once; texts it remembers as sent; ids up to which the texts of candidates are fetched by a broadcast of their ids.
+KNOWN_WORDS, CHARS_AT_ONCE, REMEMBERED, BROADCAST_IDS = 500_000, 1 << 20, 200_000, 2_000_000
 #: Pairs of ids up to which two groups of copies are paired in full; beyond, each id is paired with the other group's first.
 FULL_PAIRS = 10_000
 
@@ -44,70 +47,77 @@ def titled(title: str = "doc_title", content: str = "raw_content") -> Column:
     return F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(content), F.lit("")))
 
 
-class Hasher:
-    """Hashes of the words of texts; remembers words, within bounds."""
+class Words:
+    """Hashes of the words of several texts end to end: ``codes``, and the bounds of each text in them."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        known = self.known
-        if new := set(words).difference(known):
-            if len(known) > 500_000:
+    def __init__(self, texts: list[str | None], known: dict[str, int]):
+        found = [words_of(t) for t in texts]
+        every = list(chain.from_iterable(found))
+        if new := set(every).difference(known):
+            if len(known) > KNOWN_WORDS:
                 known.clear()
-                new = set(words)
-            import hashlib
-
+                new = set(every)
             for word in new:
-                known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def text_key(codes: np.ndarray) -> int:
-    """A signed 64-bit hash of a text's words."""
-    total = runs_hashed(codes, len(codes)) if len(codes) <= 64 else None
-    if total is None:
+                known[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self.codes = np.fromiter(map(known.__getitem__, every), np.uint64, len(every))
+        self.sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.own = np.repeat(np.arange(len(found)), self.sizes)
+        self.enough = np.flatnonzero(self.sizes >= LEAST_WORDS)
+
+    def keys(self) -> np.ndarray:
+        """A signed 64-bit hash of the words of each text in their order; 0 without words."""
+        place = (np.arange(len(self.codes)) - self.starts[self.own]).astype(np.uint64)
         with np.errstate(over="ignore"):
-            places = mixed(np.arange(1, len(codes) + 1, dtype=np.uint64))
-            total = mixed(np.array([np.bitwise_xor.reduce(mixed(codes * (places | np.uint64(1)) + places))], np.uint64))
-    return int(total.view(np.int64)[0])
+            spread = mixed(self.codes * (mixed(place + np.uint64(1)) | np.uint64(1)) + place)
+        out = np.zeros(len(self.sizes), np.uint64)
+        some = self.sizes > 0
+        if some.any():
+            out[some] = np.bitwise_xor.reduceat(spread, self.starts[some])
+        return mixed(out ^ self.sizes.astype(np.uint64)).view(np.int64)
+
+    def slots(self) -> np.ndarray:
+        return (self.codes % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, slot, n): rows of ids with the key of their text, and at the task's end the numbers of texts by slot of word."""
-    hasher, counts = Hasher(), np.zeros(SLOTS, np.int64)
+    known, counts = {}, np.zeros(SLOTS, np.int64)
     names = ["id", "key", "slot", "n"]
     for batch in batches:
-        ids, keys = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            codes = hasher(text)
-            if len(codes) >= LEAST_WORDS:
-                ids.append(i)
-                keys.append(text_key(codes))
-                np.add.at(counts, np.unique(codes % np.uint64(SLOTS)).astype(np.int64), 1)
-        if ids:
-            none = pa.nulls(len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), none, pa.nulls(len(ids), pa.int64())], names=names)
+        ids, texts = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+        for i, j in chunks_by_chars(texts, CHARS_AT_ONCE):
+            words = Words(texts[i:j], known)
+            if len(words.enough):
+                taken = np.isin(words.own, words.enough)
+                pairs = np.unique(words.own[taken] * SLOTS + words.slots()[taken])
+                counts += np.bincount(pairs % SLOTS, minlength=SLOTS)
+                none = pa.nulls(len(words.enough), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][words.enough]), pa.array(words.keys()[words.enough]), none, none.cast(pa.int64())], names=names)
     slots = np.flatnonzero(counts)
     if len(slots):
         none = pa.nulls(len(slots), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=names)
 
 
-def probed_bits(codes: np.ndarray, counts: np.ndarray, similarity: tuple[int, int], width: int) -> np.ndarray:
-    """The bits that the allocation of thresholds has a text probe."""
-    top, bottom = similarity
-    bits, first = np.unique(runs_hashed(codes, width), return_index=True)
-    slots = (codes % np.uint64(SLOTS)).astype(np.int64)
-    estimate = counts[slots]
-    # the rarest word of each run, ties by hash, names its partition
-    rank = estimate.astype(np.uint64) << np.uint64(32) | mixed(codes) >> np.uint64(32)
-    group = rank[: len(codes) - width + 1]
+def partitions(words: Words, counts: np.ndarray, width: int) -> np.ndarray:
+    """The partition of each run of words: the rank of its rarest word by estimate and, among equals, by hash."""
+    estimate = np.minimum(counts[words.slots()], (1 << 31) - 1).astype(np.uint64)
+    rank = estimate << np.uint64(32) | mixed(words.codes) >> np.uint64(32)
+    size = len(rank) - width + 1
+    out = rank[:size]
     for i in range(1, width):
-        group = np.minimum(group, rank[i : len(codes) - width + 1 + i])
-    missing = len(bits) - -(-len(bits) * top // bottom)
-    return bits[np.lexsort((bits, group[first]))[: missing + SHARED]]
+        out = np.minimum(out, rank[i : size + i])
+    return out
+
+
+def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """The bits that the allocation of thresholds has a text probe: of its distinct bits the cheapest partitions', ties by bit."""
+    top, bottom = similarity
+    distinct, first = np.unique(bits, return_index=True)
+    missing = len(distinct) - -(-len(distinct) * top // bottom)
+    return distinct[np.argsort(groups[first], kind="stable")[: missing + SHARED]]
 
 
 def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -120,20 +130,26 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
         counts[slot] = n
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sent = Hasher(), set()
+        known, sent = {}, set()
         for batch in batches:
-            keys, bits = [], []
-            for text in batch.column(0).to_pylist():
-                codes = hasher(text)
-                if len(codes) < LEAST_WORDS or (key := text_key(codes)) in sent:
+            texts = batch.column(0).to_pylist()
+            for i, j in chunks_by_chars(texts, CHARS_AT_ONCE):
+                words = Words(texts[i:j], known)
+                if not len(words.enough):
                     continue
-                if len(sent) >= REMEMBERED:
-                    sent.clear()
-                sent.add(key)
-                bits.append(probed_bits(codes, counts, similarity, width).view(np.int64))
-                keys.append(np.full(len(bits[-1]), key, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits)), pa.array(np.concatenate(keys))], names=["bit", "key"])
+                every, groups, keys, owners, bits = runs_hashed(words.codes, width), partitions(words, counts, width), words.keys(), [], []
+                for n in words.enough.tolist():
+                    if (key := int(keys[n])) in sent:
+                        continue
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(key)
+                    a, b = words.starts[n], words.ends[n] - width + 1
+                    bits.append(probed(every[a:b], groups[a:b], similarity))
+                    owners.append(key)
+                if owners:
+                    owner = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, bits), np.int64, len(bits)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).view(np.int64)), pa.array(owner)], names=["bit", "key"])
 
     # one exchange by bit; what follows, to the join, needs no other
     probes = rows.select("text").mapInArrow(probe, "bit bigint, key bigint").repartition("bit").groupBy("bit", "key").agg(F.lit(1).alias("one"))
@@ -147,17 +163,16 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
     texts = rows.join(F.broadcast(ids) if first.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        known = {}
         for batch in batches:
-            keys, sets = [], []
-            for text in batch.column(0).to_pylist():
-                codes = hasher(text)
-                if len(codes) >= LEAST_WORDS:
-                    keys.append(text_key(codes))
-                    sets.append(np.unique(runs_hashed(codes, width)).view(np.int64))
-            if keys:
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["key", "bits"])
+            texts = batch.column(0).to_pylist()
+            for i, j in chunks_by_chars(texts, CHARS_AT_ONCE):
+                words = Words(texts[i:j], known)
+                if len(words.enough):
+                    every = runs_hashed(words.codes, width)
+                    sets = [np.unique(every[words.starts[n] : words.ends[n] - width + 1]).view(np.int64) for n in words.enough]
+                    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(words.keys()[words.enough]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["key", "bits"])
 
     sets = texts.select("text").mapInArrow(bits_of, "key bigint, bits array<bigint>").dropDuplicates(["key"])
     met = candidates.join(sets.select(F.col("key").alias("key_a"), F.col("bits").alias("bits_a")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("bits").alias("bits_b")), "key_b")
