@@ -32,7 +32,7 @@ from docloom.functions.arrowmap import chunks_by_chars, map_batches
 #: Published splitting pattern of the vocabulary (fixed value), once for ``re`` and once, exactly, for ``regex``.
 #: ``re`` has no \p{L}; both agree on texts without the characters that _odd() names.
 FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What lies between white space, with the one space before it, or white space: no word reaches over its ends.
 STRETCH = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 EXACT = regex.compile(rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")

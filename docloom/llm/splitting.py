@@ -78,7 +78,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
         elif level == len(levels):
             while end - start > room:
                 cut = start + room
-                while cut > start + 1 and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
+                while cut > start + 1 and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f" or text[cut - 1] == "\u200d"):
                     cut -= 1
                 atoms.append(cut if cut > start + 1 else start + room)
                 start = atoms[-1]
