@@ -12,6 +12,7 @@ from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import answers as A
 from docloom.operators import crawl, extract, html_markdown, search, tree
+from docloom.session import checkpointed
 from docloom.sources import table
 
 FLAGSHIP = "hybrid_search"
@@ -331,7 +332,7 @@ def hybrid_ranking(spark, d):
 def anchor_sections(spark, d):
     questions, sections = asked(spark, d), table(spark, d, "sections")
     wanted = search.understood(questions, sections)
-    return search.anchors(questions, sections, crawl.checkpointed(search.combined(questions, sections, wanted=wanted)), wanted)
+    return search.anchors(questions, sections, checkpointed(search.combined(questions, sections, wanted=wanted)), wanted)
 
 
 @query
@@ -350,7 +351,7 @@ def subject_tiers(spark, d):
 
 
 def chosen(spark, d):
-    return crawl.checkpointed(bm25_search(spark, d).where("rank <= 10").select("query_id", "section_id", "rank"))
+    return checkpointed(bm25_search(spark, d).where("rank <= 10").select("query_id", "section_id", "rank"))
 
 
 @query

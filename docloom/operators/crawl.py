@@ -6,19 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; an own one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="docloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from docloom.session import checkpointed
 
 
 def requests(found: DataFrame) -> DataFrame:

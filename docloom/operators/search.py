@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import contains_any, normalized, terms
-from docloom.operators.tree import ARTEFACTS, nodes
+from docloom.operators.tree import ARTEFACTS, is_useful, nodes, useful_descendants
+from docloom.session import checkpointed
 
 #: Phrases that tell what a query wants, and that a section verifies something.
 WANTS = {
@@ -143,8 +144,6 @@ def subject_score(subject: Column) -> Column:
 
 def understood(queries: DataFrame, sections: DataFrame) -> DataFrame:
     """(query_id, wants_..., installs, release, subject) of each query, kept: it is small and used all over."""
-    from docloom.operators.crawl import checkpointed
-
     return checkpointed(intents(queries).join(subjects(queries, sections), "query_id"))
 
 
@@ -280,8 +279,6 @@ def combined(queries: DataFrame, sections: DataFrame, vectors: DataFrame | None
 
     ``vectors`` are rankings (query_id, section_id, score, rank) of a vector retriever; without them it adds nothing.
     """
-    from docloom.operators.tree import useful_descendants
-
     wanted = wanted if wanted is not None else understood(queries, sections)
     found = [lexical_search(queries, sections, top, wanted).withColumn("retriever", F.lit("lexical")), bm25_search(queries, sections, top).withColumn("retriever", F.lit("bm25"))]
     if vectors is not None:
@@ -308,8 +305,6 @@ def exact_subjects(wanted: DataFrame, sections: DataFrame) -> DataFrame:
 
 def anchors(queries: DataFrame, sections: DataFrame, found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id): of the first 20 of each ranking the one with the best score for itself, its useful descendants and its subject."""
-    from docloom.operators.tree import useful_descendants
-
     first = found.where("rank <= 20").select("query_id", "section_id", "rank")
     wanted = wanted if wanted is not None else understood(queries, sections)
     own = field_postings(sections.join(first.select("section_id").distinct(), "section_id", "left_semi")).join(query_terms(queries), "term").groupBy("query_id", "section_id").agg(F.sum("weight").cast("double").alias("shared"))
@@ -326,9 +321,6 @@ def hybrid_search(queries: DataFrame, sections: DataFrame, top: int = 10, vector
     A query that wants commands, YAML, output, scripts or steps gets its anchor, the anchor's useful descendants, the useful sections of its
     file, and for output the first six found that hold outputs; any other the ranking.
     """
-    from docloom.operators.crawl import checkpointed
-    from docloom.operators.tree import is_useful, useful_descendants
-
     known = understood(queries, sections)
     found = checkpointed(combined(queries, sections, vectors, wanted=known))
     wanted = known.withColumn("expands", F.expr(" or ".join(f"wants_{w}" for w in WANT_WEIGHTS)))

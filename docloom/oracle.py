@@ -198,3 +198,50 @@ SQL: dict[str, str] = {
       SELECT query_id, url FROM said WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.query_id = said.query_id AND k.url = said.url)""",
     "stream_new_pages": rf"SELECT DISTINCT {STRIP} AS page_url FROM discovered_urls WHERE url IS NOT NULL",
 }
+
+HYBRID = f"""{LEXICAL}, {BM25}, {ANCESTORS.replace(NODES + ",", "").strip()},
+every AS (SELECT query_id, section_id, score, rank, 'l' AS r FROM lexical UNION ALL SELECT query_id, section_id, score, rank, 'b' FROM bm),
+bounds AS (SELECT *, min(score) OVER (PARTITION BY query_id, r) AS lo, max(score) OVER (PARTITION BY query_id, r) AS hi FROM every),
+named AS (SELECT query_id, {norm("subject")} AS key FROM subj WHERE subject IS NOT NULL),
+exact AS (SELECT DISTINCT query_id, section_id FROM named JOIN n ON key <> '' AND ({norm("heading")} = key OR {norm("doc_title")} = key)),
+parts AS (SELECT query_id, section_id, (CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END) * (CASE r WHEN 'l' THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END) + 10.0::DOUBLE / (60 + rank) AS part FROM bounds
+  UNION ALL SELECT query_id, section_id, 2.0::DOUBLE FROM exact
+  UNION ALL SELECT query_id, d.section_id, 1.2::DOUBLE FROM exact JOIN tree ON ancestor = exact.section_id JOIN n d ON d.section_id = descendant
+    WHERE len(d.commands) > 0 OR len(d.yamls) > 0 OR len(d.outputs) > 0 OR len(d.scripts) > 0 OR len(d.steps) > 0),
+total AS (SELECT query_id, section_id, round(sum(part), 6) AS score FROM parts GROUP BY ALL),
+hybrid AS (SELECT query_id, section_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INTEGER) AS rank FROM total)
+"""
+
+SENTENCES = r"list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(raw_content, ''), '\s+', ' ', 'g')), '([.!?:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+SQL |= {
+    "hybrid_ranking": f"WITH {HYBRID} SELECT * FROM hybrid",
+    "page_embedded_links": r"""WITH l AS (SELECT DISTINCT fetch_id, unnest(list_concat(regexp_extract_all(coalesce(page_html, ''), '"href"\s*:\s*"([^"]+)"', 1), regexp_extract_all(coalesce(page_html, ''), '"url"\s*:\s*"([^"]+)"', 1))) AS link FROM pages_raw)
+      SELECT DISTINCT fetch_id, replace(link, '\/', '/') AS link FROM l""",
+    "markdown_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '' AND NOT contains(text, chr(13))),
+      l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, regexp_replace(regexp_replace(ls[i + 1], '^\s+', ''), '\s+$', '') AS bare FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM t)),
+      o AS (SELECT *, regexp_matches(bare, '^(#{1,6})\s+(.*)$') AS opens FROM l),
+      s AS (SELECT *, sum(CASE WHEN opens OR pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq FROM o)
+      SELECT doc_id, CAST(seq AS INTEGER) AS section_seq, CAST(coalesce(max(CASE WHEN opens THEN length(regexp_extract(bare, '^(#{1,6})\s+(.*)$', 1)) END), 1) AS INTEGER) AS level,
+        coalesce(max(CASE WHEN opens THEN trim(regexp_extract(bare, '^(#{1,6})\s+(.*)$', 2)) END), 'Document') AS heading,
+        CAST(coalesce(sum(CASE WHEN NOT opens THEN length(line) + 1 END), 0) AS INTEGER) AS chars FROM s GROUP BY doc_id, seq""",
+    "block_kinds": f"""WITH {NODES}, {FENCES}, b AS (SELECT fence.section_id, block_no, lower(coalesce(lang, '')) AS l, trim(content) AS c, lower(coalesce(heading, '')) AS h FROM fence JOIN n ON n.section_id = fence.section_id)
+      SELECT section_id, block_no, CASE WHEN l IN ('yaml', 'yml') THEN 'yaml' WHEN l IN ('bash', 'sh', 'shell') THEN 'shell' WHEN l = 'sql' THEN 'sql' WHEN l = 'json' THEN 'json' WHEN starts_with(c, '#!') THEN 'script'
+        WHEN regexp_matches(c, '^(apiVersion|kind|metadata|spec):') THEN 'yaml' WHEN regexp_matches(c, '^(\\$ )?(kubectl|helm|terraform|eksctl|aws|curl|export|java -jar|\\./)') THEN 'shell' WHEN starts_with(c, 'SQL>') THEN 'sql'
+        WHEN contains(h, 'output') OR {HEADERS.replace("(line,", "(c,")} THEN 'output' WHEN regexp_matches(c, '^NAME\\s+READY') THEN 'output' ELSE 'code' END AS kind FROM b""",
+    "answer_sentences": f"""{BM25_ONLY}, a AS (SELECT query_id, list_distinct({terms("text")}) AS asked FROM q),
+      s AS (SELECT query_id, rank, {SENTENCES} AS ss FROM bm JOIN n USING (section_id) WHERE rank <= 5),
+      e AS (SELECT query_id, rank, i, ss[i + 1] AS sentence FROM (SELECT *, unnest(range(0, len(ss))) AS i FROM s)),
+      h AS (SELECT query_id, rank, i, sentence, len(list_intersect(asked, {terms("sentence")})) AS hits FROM e JOIN a USING (query_id)),
+      b AS (SELECT query_id, rank, arg_max(sentence, row(hits, -i)) AS sentence FROM h WHERE hits > 0 GROUP BY ALL),
+      f AS (SELECT query_id, sentence, min(rank) AS rank FROM b GROUP BY ALL)
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, sentence) AS INTEGER) AS place, sentence FROM f QUALIFY place <= 3""",
+    "section_structural_neighbours": f"""WITH {ANCESTORS}, r AS (SELECT file_path, section_id, row_number() OVER (PARTITION BY file_path ORDER BY section_id) AS k FROM n),
+      p AS (SELECT descendant AS section_id, ancestor AS parent FROM tree WHERE distance = 1),
+      m AS (SELECT section_id, section_id AS neighbour, 0 AS kind, 0 AS place_in FROM n UNION ALL SELECT section_id, parent, 1, 0 FROM p
+        UNION ALL SELECT ancestor, descendant, 2, row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) FROM tree QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) <= 6
+        UNION ALL SELECT a.section_id, b.section_id, 3, b.section_id FROM p a JOIN p b ON a.parent = b.parent AND a.section_id <> b.section_id
+        UNION ALL SELECT a.section_id, b.section_id, 4, b.k - a.k FROM r a JOIN r b ON a.file_path = b.file_path AND abs(b.k - a.k) BETWEEN 1 AND 2),
+      f AS (SELECT section_id, neighbour, min(row(kind, place_in)) AS first FROM m GROUP BY ALL)
+      SELECT section_id, neighbour, CAST(row_number() OVER (PARTITION BY section_id ORDER BY first, neighbour) AS INTEGER) AS place FROM f""",
+}
