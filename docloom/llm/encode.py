@@ -106,8 +106,8 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return rank[parts[0]], rank[parts[1]]
 
-    def merge(self, words: list[bytes], keep: int = 1) -> list[list[int]]:
-        """Exact merging, lowest rank first and leftmost among equals, until no pair merges or ``keep`` tokens are left.
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging, lowest rank first and leftmost among equals, until no pair merges.
 
         Words of one length are the rows of a matrix of tokens beside one of the ranks of adjacent pairs; each
         step merges one pair of every row.  A word over LONG bytes is done alone with a heap.
@@ -126,7 +126,7 @@ class Vocabulary:
             ranks = self.merged(tokens[:, :-1], tokens[:, 1:])
             while len(index):
                 columns = tokens.shape[1]
-                if columns <= keep or columns == 1:
+                if columns == 1:
                     active = np.zeros(len(index), bool)
                 else:
                     at = ranks.argmin(1)

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions.arrowmap import chunks_by_chars
 from docloom.functions.words import mixed, runs_hashed, words_of
-from docloom.llm.main_body import keep
+from docloom.session import checkpointed
 
 WIDTH, LEAST_WORDS, SIMILARITY, SHARED, SLOTS = 3, 30, (6, 10), 4, 1 << 17
 #: Words a task remembers and characters it takes at once; texts it remembers as sent; ids up to which the texts of candidates are fetched by a broadcast of their ids.
@@ -123,7 +123,7 @@ def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) ->
 def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """From rows (id BIGINT, text STRING): members (id, key), and the pairs (key_a, key_b, common, size_a, size_b) of different texts that are alike."""
     top, bottom = similarity
-    counted = keep(rows.mapInArrow(_counts, "id bigint, key bigint, slot int, n bigint"))
+    counted = checkpointed(rows.mapInArrow(_counts, "id bigint, key bigint, slot int, n bigint"))
     members = counted.where("id is not null").select("id", "key").distinct()
     counts = np.zeros(SLOTS, np.int64)
     for slot, n in counted.where("slot is not null").groupBy("slot").agg(F.sum("n")).toLocalIterator():
@@ -155,10 +155,10 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
     probes = rows.select("text").mapInArrow(probe, "bit bigint, key bigint").repartition("bit").groupBy("bit", "key").agg(F.lit(1).alias("one"))
     shared = probes.withColumn("texts", F.count("*").over(Window.partitionBy("bit"))).where("texts > 1")
     a, b = shared.select("bit", F.col("key").alias("key_a")), shared.select("bit", F.col("key").alias("key_b"))
-    candidates = keep(a.join(b, "bit").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"))
+    candidates = checkpointed(a.join(b, "bit").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"))
 
     wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    first = keep(members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
+    first = checkpointed(members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
     ids = first.select("id")
     texts = rows.join(F.broadcast(ids) if first.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
@@ -206,7 +206,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Edges are spread over their nodes' neighbours in aggregates; each round is checkpointed.  Raises if it has not come to rest after most_rounds.
     """
-    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -215,7 +215,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a")
         after = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).where("b < a").distinct()
-        after = keep(after)
+        after = checkpointed(after)
         changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(after, ["a", "b"], "left_anti").limit(1).count()
         edges = after
         if not changed:
@@ -228,7 +228,7 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, class_id, links): each id with the smallest id of its class and the number of different texts alike to its own."""
     first = members.groupBy("key").agg(F.min("id").alias("first"))
     a, b = first.select(F.col("key").alias("key_a"), F.col("first").alias("a")), first.select(F.col("key").alias("key_b"), F.col("first").alias("b"))
-    edges = keep(pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select("a", "b"))
+    edges = checkpointed(pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select("a", "b"))
     ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.groupBy(F.col("a").alias("first")).agg(F.count("*").alias("links"))
     roots = components(edges).withColumnRenamed("node", "first")

@@ -49,6 +49,21 @@ pairs AS (SELECT c.a, c.b FROM c JOIN n x ON x.section_id = c.a JOIN n y ON y.se
 
 P4 = P4_TEXTS + "SELECT a AS section_id_a, b AS section_id_b FROM pairs"
 
+P4_GROUPS = (
+    P4_TEXTS.replace("WITH t AS", "WITH RECURSIVE t AS")
+    + r"""
+, k AS (SELECT section_id, array_to_string(w, ' ') AS key FROM t WHERE len(w) >= 30),
+f AS (SELECT key, min(section_id) AS first FROM k GROUP BY key),
+e AS (SELECT DISTINCT x.first AS a, y.first AS b FROM pairs JOIN k p ON p.section_id = pairs.a JOIN k q ON q.section_id = pairs.b
+      JOIN f x ON x.key = p.key JOIN f y ON y.key = q.key WHERE p.key <> q.key),
+ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT first AS node, first AS seen FROM f UNION SELECT r.node, ends.b FROM r JOIN ends ON ends.a = r.seen),
+roots AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),
+l AS (SELECT a AS node, count(*) AS links FROM ends GROUP BY a)
+SELECT k.section_id, c.class_id, CAST(coalesce(l.links, 0) AS INTEGER) AS links FROM k JOIN f USING (key) JOIN roots c ON c.node = f.first LEFT JOIN l ON l.node = f.first
+"""
+)
+
 P7_HITS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text <> ''),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text <> ''),
@@ -64,4 +79,4 @@ P7_REPORT = P7_HITS + "SELECT item_id, count(*) AS documents, CAST(sum(places) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}
+    return {"p1_found": P1, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}
