@@ -44,35 +44,36 @@ K1, B, RRF_K, TOP = 1.2, 0.75, 60, 12
 
 def intents(queries: DataFrame) -> DataFrame:
     """(query_id, wants_..., installs, release) of each query."""
-    q = normalized("text")
+    q = F.col("q")
     release = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 1), F.lit("")) for p in RELEASES))
-    return queries.select("query_id", *(contains_any(q, words).alias(f"wants_{name}") for name, words in WANTS.items()), contains_any(q, INSTALLING).alias("installs"), release.alias("release"))
+    rows = queries.select("query_id", normalized("text").alias("q"))
+    return rows.select("query_id", *(contains_any(q, words).alias(f"wants_{name}") for name, words in WANTS.items()), contains_any(q, INSTALLING).alias("installs"), release.alias("release"))
 
 
-def _contained(queries: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, shown): the longest key that is a substring of the query, ties by what is shown, descending.
+def _contained(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, heading, title): the longest key of each kind that is a substring of the query, ties by what is shown, descending.
 
     The query's substrings of just the lengths that keys have are joined to the keys by equality: no nested loop.
     """
-    lengths = [r[0] for r in keys.select(F.length(key)).distinct().collect()]  # at most as many as a query has characters count
     q = queries.select("query_id", normalized("text").alias("q"))
     longest = q.agg(F.max(F.length("q"))).first()[0] or 0
-    sizes = F.array(*map(F.lit, sorted(n for n in lengths if 0 < n <= longest) or [-1]))
-    cut = q.select("query_id", "q", F.explode(sizes).alias("n")).where("n > 0 and n <= length(q)")
-    cut = cut.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring("q", i, F.col("n")))).alias(key)).distinct()
-    return cut.join(keys, key).groupBy("query_id").agg(F.max(F.struct(F.length(key).alias("n"), F.col("shown").alias("shown"))).alias("best")).select("query_id", F.col("best.shown").alias("shown"))
+    lengths = sorted(r[0] for r in keys.select(F.length("key").alias("n")).where(F.col("n") <= longest).distinct().collect())  # no more than a query has characters
+    cut = q.select("query_id", "q", F.explode(F.lit(lengths or [longest + 1])).alias("n")).where("n <= length(q)")
+    cut = cut.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring("q", i, F.col("n")))).alias("key"))
+    best = F.max(F.struct(F.length("key").alias("n"), F.col("shown").alias("shown")))
+    found = cut.join(keys, "key").groupBy("query_id", "kind").agg(best.alias("best"))
+    return found.groupBy("query_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("best.shown"))).alias(k) for k in ("heading", "title")))
 
 
 def subjects(queries: DataFrame, sections: DataFrame) -> DataFrame:
     """(query_id, subject): a file name in the query, else the longest heading in it, the longest title, a release, a term that is a heading; or null."""
     base = nodes(sections, "heading", "doc_title")
-    headings = base.where("heading <> ''").groupBy(normalized("heading").alias("key")).agg(F.min_by("heading", "section_id").alias("shown")).where("key <> ''")
-    titles = base.where("doc_title <> ''").groupBy(normalized("doc_title").alias("key")).agg(F.min_by("doc_title", "section_id").alias("shown")).where("key <> ''")
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("shown")) for kind, c in (("heading", "heading"), ("title", "doc_title"))))
+    named = base.select("section_id", F.explode(kinds).alias("k")).select("section_id", "k.kind", "k.shown").where("shown <> ''").withColumn("key", normalized("shown")).where("key <> ''")
+    keys = checkpointed(named.groupBy("kind", "key").agg(F.min_by("shown", "section_id").alias("shown")))
     file = F.nullif(F.regexp_extract("text", r"(?i)([a-zA-Z0-9._/-]+\.(?:yaml|yml|json|sh))", 1), F.lit(""))
-    own = queries.select("query_id", file.alias("file")).join(intents(queries).select("query_id", "release"), "query_id")
-    own = own.join(_contained(queries, headings, "key").withColumnRenamed("shown", "heading"), "query_id", "left")
-    own = own.join(_contained(queries, titles, "key").withColumnRenamed("shown", "title"), "query_id", "left")
-    words = queries.select("query_id", F.posexplode(terms("text")).alias("at", "key")).join(headings, "key")
+    own = queries.select("query_id", file.alias("file")).join(intents(queries).select("query_id", "release"), "query_id").join(_contained(queries, keys), "query_id", "left")
+    words = queries.select("query_id", F.posexplode(terms("text")).alias("at", "key")).join(keys.where("kind = 'heading'"), "key")
     word = words.groupBy("query_id").agg(F.max_by("shown", F.struct(F.length("key"), -F.col("at"))).alias("word"))
     return own.join(word, "query_id", "left").select("query_id", F.coalesce("file", "heading", "title", "release", "word").alias("subject"))
 
@@ -116,10 +117,10 @@ def overlap_scores(queries: DataFrame, sections: DataFrame) -> DataFrame:
 
 def flags(sections: DataFrame) -> DataFrame:
     """(section_id, has_..., verifies, prepares, verifies_install)."""
-    heading = normalized("heading")
+    heading = F.col("bare")
     empty = F.array().cast("array<string>")
     has = [(F.size(F.coalesce(F.col(c), empty)) > 0).alias(f"has_{c}") for c in ARTEFACTS]
-    return nodes(sections, "heading", *ARTEFACTS).select("section_id", *has, contains_any(heading, VERIFYING).alias("verifies"), contains_any(heading, ["prereq", "preparation", "requirements"]).alias("prepares"), contains_any(heading, VERIFYING_INSTALL).alias("verifies_install"))
+    return nodes(sections, "heading", *ARTEFACTS).withColumn("bare", normalized("heading")).select("section_id", *has, contains_any(heading, VERIFYING).alias("verifies"), contains_any(heading, ["prereq", "preparation", "requirements"]).alias("prepares"), contains_any(heading, VERIFYING_INSTALL).alias("verifies_install"))
 
 
 FLAGS = [*(f"has_{c}" for c in ARTEFACTS), "verifies", "prepares", "verifies_install"]
@@ -220,7 +221,7 @@ def vector_search(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vec
     for block in range(blocks):
         own = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         ids = np.array([r[0] for r in own], np.int64)
-        stack = np.array([r[1] for r in own], np.float64).reshape(len(own), -1)
+        stack = np.array([r[1] for r in own], np.float64) if own else np.zeros((0, 1))
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, stack=stack) -> Iterator[pa.RecordBatch]:
             norms = np.linalg.norm(stack, axis=1)
