@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,7 +245,7 @@ def topic_tags(spark, d):
 
 @query
 def markdown_sections(spark, d):
-    rows = tree.parse_markdown(table(spark, d, "documents").where("not contains(text, '\r')"), "doc_id", "text", F.lit("Document"))
+    rows = tree.parse_markdown(table(spark, d, "documents"), "doc_id", "text", F.lit("Document"))
     return rows.select("doc_id", "section_seq", "level", "heading", F.length("raw_content").alias("chars"))
 
 
@@ -407,7 +408,7 @@ def stream_new_pages(spark, d):
     from docloom.streaming import ingest
 
     source = table(spark, d, "discovered_urls")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')}/stream-{abs(hash((d, id(source))))}"
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
     stream = ingest.url_stream(spark, f"{d}/discovered_urls.parquet", source.schema)
     ingest.run_once(ingest.new_pages(stream, "3650 days"), f"{folder}/pages", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/pages").select("page_url").distinct()

@@ -28,7 +28,8 @@ def parse_markdown(texts: DataFrame, key: str, text: str, title: Column, fence_a
     A line of one to six # and a blank opens a section; text before the first opens one of level 1 named by ``title``.
     Without ``fence_aware`` such lines inside code blocks open sections too.  Null texts have no sections.
     """
-    rows = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key), title.alias("title"), F.posexplode(F.split(F.regexp_replace(text, r"\r\n?|\n\z", "\n"), "\n")).alias("pos", "line"), F.col(text).endswith("\n").alias("closed"))
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", ""), "\n")
+    rows = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key), title.alias("title"), F.posexplode(lines).alias("pos", "line"))
     rows = rows.withColumn("bare", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
     order = Window.partitionBy(key).orderBy("pos")
     opens = F.col("bare").rlike(HEADING)

@@ -218,7 +218,7 @@ SQL |= {
     "hybrid_ranking": f"WITH {HYBRID} SELECT * FROM hybrid",
     "page_embedded_links": r"""WITH l AS (SELECT DISTINCT fetch_id, unnest(list_concat(regexp_extract_all(coalesce(page_html, ''), '"href"\s*:\s*"([^"]+)"', 1), regexp_extract_all(coalesce(page_html, ''), '"url"\s*:\s*"([^"]+)"', 1))) AS link FROM pages_raw)
       SELECT DISTINCT fetch_id, replace(link, '\/', '/') AS link FROM l""",
-    "markdown_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '' AND NOT contains(text, chr(13))),
+    "markdown_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
       l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, regexp_replace(regexp_replace(ls[i + 1], '^\s+', ''), '\s+$', '') AS bare FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM t)),
       o AS (SELECT *, regexp_matches(bare, '^(#{1,6})\s+(.*)$') AS opens FROM l),
       s AS (SELECT *, sum(CASE WHEN opens OR pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq FROM o)
