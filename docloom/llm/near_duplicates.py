@@ -39,6 +39,8 @@ from docloom.session import checkpointed
 WIDTH, LEAST_WORDS, SIMILARITY, SHARED, SLOTS = 3, 30, (6, 10), 4, 1 << 17
 #: Words a task remembers and characters it takes at once; texts it remembers as sent; ids up to which the texts of candidates are fetched by a broadcast of their ids.
 KNOWN_WORDS, CHARS_AT_ONCE, REMEMBERED, BROADCAST_IDS = 500_000, 1 << 20, 200_000, 2_000_000
+#: Texts from which a bit is hot, and tasks that its texts are dealt to.
+HOT_BIT, SALTS = 1000, 32
 #: Pairs of ids up to which two groups of copies are paired in full; beyond, each id is paired with the other group's first.
 FULL_PAIRS = 10_000
 
@@ -120,7 +122,7 @@ def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) ->
     return distinct[np.argsort(groups[first], kind="stable")[: missing + SHARED]]
 
 
-def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, hot: int = HOT_BIT) -> tuple[DataFrame, DataFrame]:
     """From rows (id BIGINT, text STRING): members (id, key), and the pairs (key_a, key_b, common, size_a, size_b) of different texts that are alike."""
     top, bottom = similarity
     counted = checkpointed(rows.mapInArrow(_counts, "id bigint, key bigint, slot int, n bigint"))
@@ -151,11 +153,15 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
                     owner = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, bits), np.int64, len(bits)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).view(np.int64)), pa.array(owner)], names=["bit", "key"])
 
-    # one exchange by bit; what follows, to the join, needs no other
+    # one exchange by bit, by which copies are dropped and texts are counted; only bits of several texts go on to the join
     probes = rows.select("text").mapInArrow(probe, "bit bigint, key bigint").repartition("bit").groupBy("bit", "key").agg(F.lit(1).alias("one"))
     shared = probes.withColumn("texts", F.count("*").over(Window.partitionBy("bit"))).where("texts > 1")
-    a, b = shared.select("bit", F.col("key").alias("key_a")), shared.select("bit", F.col("key").alias("key_b"))
-    candidates = checkpointed(a.join(b, "bit").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"))
+    # the texts of a hot bit are dealt to SALTS tasks, each of which sees all of them on the other side
+    is_hot = F.col("texts") > hot
+    left = shared.select("bit", F.col("key").alias("key_a"), F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    right = shared.select("bit", F.col("key").alias("key_b"), F.explode(F.when(is_hot, F.lit([*range(SALTS)])).otherwise(F.lit([0]))).alias("salt"))
+    met = left.join(right, ["bit", "salt"])
+    candidates = checkpointed(met.where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"))
 
     wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     first = checkpointed(members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))

@@ -34,6 +34,7 @@ def test_pairs_against_brute_force(spark):
         expected = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
         members, pairs = N.near_duplicate_texts(spark.createDataFrame(rows, "id long, text string").repartition(3))
         assert {tuple(r) for r in N.alike_pairs(members, pairs).collect()} == expected and len(expected) > 50
+        assert {tuple(r) for r in N.alike_pairs(*N.near_duplicate_texts(spark.createDataFrame(rows, "id long, text string"), hot=3)).collect()} == expected
         roots = {i: i for i in sets}
         for _ in sets:
             for a, b in expected:
