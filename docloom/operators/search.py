@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import contains_any, normalized, terms
-from docloom.operators.tree import ARTEFACTS, is_useful, nodes, useful_descendants
+from docloom.operators.tree import ARTEFACTS, is_useful, nodes, structural_neighbours, useful_descendants
 from docloom.session import checkpointed
 
 #: Phrases that tell what a query wants, and that a section verifies something.
@@ -304,6 +304,40 @@ def exact_subjects(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     return named.join(keys, "key").select("query_id", "section_id").distinct()
 
 
+def command_matches(queries: DataFrame, sections: DataFrame) -> DataFrame:
+    """(query_id, section_id): sections with a command that names the query's release as a word, or that installs or upgrades by helm as the query says."""
+    release = intents(queries).where("release is not null").select("query_id", F.col("release").alias("word"))
+    commands = nodes(sections, "commands").select("section_id", F.explode("commands").alias("command")).withColumn("command", normalized("command"))
+    words = commands.select("section_id", F.explode(F.array_distinct(F.split("command", " "))).alias("word"))
+    said = F.filter(F.array(*(F.when(normalized("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
+    asked = queries.select("query_id", F.explode(said).alias("verb"))
+    done = F.filter(F.array(*(F.when(F.col("command").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
+    verbs = commands.select("section_id", F.explode(done).alias("verb")).distinct()
+    return words.join(release, "word").select("query_id", "section_id").unionByName(verbs.join(asked, "verb").select("query_id", "section_id")).distinct()
+
+
+def output_bridge(queries: DataFrame, sections: DataFrame, radius: int = 3) -> DataFrame:
+    """(query_id, section_id, place): for queries that want the output of installing, the sections around matching commands that
+    hold outputs or verify: first the structural neighbours of each command's section, then its file's sections with outputs."""
+    wanted = intents(queries).where("wants_output and installs").select("query_id")
+    matched = command_matches(queries, sections).join(wanted, "query_id", "left_semi")
+    around = matched.join(structural_neighbours(sections, radius), "section_id").select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").cast("bigint").alias("at"), F.col("neighbour"))
+    files = nodes(sections, "file_path", "outputs")
+    holding = files.where("size(outputs) > 0").select("file_path", F.col("section_id").alias("neighbour"))
+    same = matched.join(files, "section_id").join(holding, "file_path").select("query_id", "section_id", F.lit(1).alias("kind"), F.col("neighbour").alias("at"), "neighbour")
+    kept = flags(sections).where("has_outputs or verifies").select(F.col("section_id").alias("neighbour"))
+    first = around.unionByName(same).join(kept, "neighbour", "left_semi").groupBy("query_id", "neighbour").agg(F.min(F.struct("section_id", "kind", "at")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first.section_id", "first.kind", "first.at", "neighbour"))
+    return first.select("query_id", F.col("neighbour").alias("section_id"), place.alias("place"))
+
+
+def with_bridge(chosen: DataFrame, bridge: DataFrame, top: int = 10) -> DataFrame:
+    """Chosen sections (query_id, section_id, rank) with those of an output bridge before them, where a query has one."""
+    met = chosen.select("query_id", "section_id", F.lit(1).alias("kind"), F.col("rank").alias("at")).unionByName(bridge.select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").alias("at")))
+    first = met.groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
+    return first.select("query_id", "section_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id")).alias("rank")).where(F.col("rank") <= top)
+
+
 def anchors(queries: DataFrame, sections: DataFrame, found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id): of the first 20 of each ranking the one with the best score for itself, its useful descendants and its subject."""
     first = found.where("rank <= 20").select("query_id", "section_id", "rank")

@@ -75,7 +75,7 @@ SUBJECT_SCORE = f"""CASE WHEN subject IS NULL OR {S} = '' THEN 0 ELSE
   + CASE WHEN regexp_matches(lower(subject), '\\.ya?ml$') AND contains({norm("raw_content")}, {S}) THEN 30 ELSE 0 END END"""
 
 LEXICAL = f"""{OVERLAP}, {SUBJECT},
-scored AS (SELECT q.query_id, n.section_id, CAST(coalesce(o.score, 0) + {FLAG_SCORE} + {SUBJECT_SCORE} AS DOUBLE) AS score
+scored AS (SELECT q.query_id, n.section_id, CAST(coalesce(o.score, 0) + {FLAG_SCORE} + {SUBJECT_SCORE} AS DOUBLE) AS score, {SUBJECT_SCORE} AS pts
   FROM q JOIN intent ON intent.query_id = q.query_id JOIN subj ON subj.query_id = q.query_id CROSS JOIN n LEFT JOIN o ON o.query_id = q.query_id AND o.section_id = n.section_id),
 lexical AS (SELECT query_id, section_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INTEGER) AS rank FROM scored WHERE score > 0
   QUALIFY rank <= 12)
@@ -245,3 +245,28 @@ SQL |= {
       f AS (SELECT section_id, neighbour, min(row(kind, place_in)) AS first FROM m GROUP BY ALL)
       SELECT section_id, neighbour, CAST(row_number() OVER (PARTITION BY section_id ORDER BY first, neighbour) AS INTEGER) AS place FROM f""",
 }
+
+USEFUL = "(len({0}.commands) > 0 OR len({0}.yamls) > 0 OR len({0}.outputs) > 0 OR len({0}.scripts) > 0 OR len({0}.steps) > 0)"
+ANCHOR = f"""{HYBRID},
+useful AS (SELECT ancestor AS section_id, count(*) AS useful FROM tree JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")} GROUP BY 1),
+anchor AS (SELECT h.query_id, arg_max(h.section_id, row(s.score + least(coalesce(useful, 0), 10) * 4 + CASE WHEN pts > 0 THEN 10 ELSE 0 END, -h.rank)) AS section_id
+  FROM hybrid h JOIN scored s ON s.query_id = h.query_id AND s.section_id = h.section_id LEFT JOIN useful u ON u.section_id = h.section_id WHERE h.rank <= 20 GROUP BY 1)
+"""
+CHOSEN = f"""{ANCHOR},
+x AS (SELECT query_id, wants_commands OR wants_yaml OR wants_output OR wants_script OR wants_steps AS expands, wants_output FROM intent),
+ax AS (SELECT anchor.query_id, anchor.section_id FROM anchor JOIN x ON x.query_id = anchor.query_id WHERE expands),
+met AS (SELECT query_id, section_id, 0 AS kind, 0 AS place_in FROM ax
+  UNION ALL SELECT ax.query_id, d.section_id, 1, CAST(distance AS BIGINT) * 1099511627776 + d.section_id FROM ax JOIN tree ON ancestor = ax.section_id JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")}
+  UNION ALL SELECT ax.query_id, m.section_id, 2, m.section_id FROM ax JOIN n a ON a.section_id = ax.section_id JOIN n m ON m.file_path = a.file_path AND m.section_id <> a.section_id WHERE {USEFUL.format("m")}
+  UNION ALL (SELECT h.query_id, h.section_id, 3, h.rank FROM hybrid h JOIN n m ON m.section_id = h.section_id AND len(m.outputs) > 0 JOIN x ON x.query_id = h.query_id AND expands AND wants_output QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) <= 6)
+  UNION ALL SELECT h.query_id, h.section_id, 4, h.rank FROM hybrid h JOIN x ON x.query_id = h.query_id AND NOT expands),
+firsts AS (SELECT query_id, section_id, min(row(kind, place_in)) AS first FROM met GROUP BY ALL)
+"""
+SQL |= {
+    "anchor_sections": f"WITH {ANCHOR} SELECT query_id, section_id FROM anchor",
+    "hybrid_search": f"WITH {CHOSEN} SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, section_id) AS INTEGER) AS rank FROM firsts QUALIFY rank <= 10",
+    "command_matches": rf"""WITH {NODES}, c AS (SELECT section_id, unnest(commands) AS command FROM n),
+      m AS (SELECT section_id, regexp_extract(command, 'helm install ([a-zA-Z0-9._-]+)', 1) AS name FROM c), k AS (SELECT name, min(section_id) AS query_id FROM m WHERE name <> '' GROUP BY name),
+      r AS (SELECT query_id, lower(min(name)) AS release FROM k GROUP BY query_id)
+      SELECT DISTINCT query_id, section_id FROM r, c WHERE list_contains(string_split({norm("command")}, ' '), release)""",
+}

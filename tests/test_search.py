@@ -84,3 +84,13 @@ def test_frontier(spark):
     df = spark.createDataFrame(rows, "url_id long, url string, source string, from_url string")
     assert {tuple(r) for r in crawl.frontier(df).collect()} == {("h://a", 0), ("h://b", 1), ("h://c", 2)}
     assert {tuple(r) for r in crawl.frontier(df, 1).collect()} == {("h://a", 0), ("h://b", 1)}
+
+
+def test_output_bridge(spark):
+    s = corpus(spark)
+    q = spark.createDataFrame([(1, "what output should i expect when i install gateway"), (2, "install gateway"), (3, "expected output of helm install")], "query_id long, text string")
+    assert {tuple(r) for r in search.command_matches(q, s).collect()} == {(1, 1), (2, 1), (3, 1)}
+    bridge = search.output_bridge(q, s)
+    assert {tuple(r) for r in bridge.collect()} == {(1, 2, 1), (3, 2, 1)}
+    chosen = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 3, 1)], "query_id long, section_id long, rank int")
+    assert {tuple(r) for r in search.with_bridge(chosen, bridge).collect()} == {(1, 2, 1), (1, 1, 2), (2, 3, 1), (3, 2, 1)}
