@@ -34,8 +34,9 @@ LEAST_PAGES, SHARE = 3, 0.08
 SALTS, BROADCAST_BYTES, SAMPLE = 32, 32 << 20, 64
 #: Sample blocks have so many characters and come, as far as there are such, from bodies of at least so many.
 SAMPLE_CHARS, SAMPLE_PAGE = (40, 1200), 1500
-#: Short paragraphs on pages of at least LEAST_HOSTS hosts and HOST_SHARE of all hosts are constants everywhere.
-SHORT, LEAST_HOSTS, HOST_SHARE = 60, 3, 0.05
+#: Short paragraphs that recur on at least LEAST_HOSTS hosts and HOST_SHARE of all hosts are constants everywhere; on a host
+#: recurs what is on at least RECUR_PAGES of its pages and RECUR_SHARE of them.
+SHORT, LEAST_HOSTS, HOST_SHARE, RECUR_PAGES, RECUR_SHARE = 60, 3, 0.05, 2, 0.01
 
 
 def hashed(text: str) -> int:
@@ -196,9 +197,12 @@ def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 
 def shared_constants(surveyed: DataFrame) -> frozenset[int]:
-    """Hashes of short paragraphs that recur over hosts: at most 1 / HOST_SHARE times as many as a host has of them on average."""
-    hosts = surveyed.where("kind = 0").select("host").distinct().count()
-    seen = surveyed.where("kind = 4").select("key", "host").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    """Hashes of short paragraphs that recur on several hosts; a text that is met once here and there is none."""
+    pages = surveyed.where("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = pages.count()
+    on = surveyed.where("kind = 4").select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= RECUR_PAGES)
+    recur = on.join(pages, "host").where(F.col("n") >= F.col("pages") * RECUR_SHARE)
+    seen = recur.groupBy("key").agg(F.count("*").alias("n"))
     return frozenset(r["key"] for r in seen.where(F.col("n") >= max(LEAST_HOSTS, HOST_SHARE * hosts)).select("key").collect())
 
 
