@@ -11,6 +11,8 @@ top / bottom; then at most D = |A| - ceil(|A| top / bottom) bits of A are missin
   estimates, and a part of the last.  (A partition left out has threshold -1.)  As the order is the same for all texts, texts that are alike share SHARED
   probed bits on *both* sides, so that only probed bits are indexed, not all.
 * Probing: texts that share at least SHARED probed bits are candidates: an equi-join on bits, after dropping bits of one text.
+  Texts of few distinct runs can't share so many: alike ones have at least ceil(|A| top / bottom) bits in common, |A| the larger, and
+  where that is less than SHARED, as many shared bits will do.  Each text's number goes with its bits; the larger of two counts.
 * Verification: exact counts over the 64-bit hashes of the candidates' runs.
 
 Nothing is lost: no cap on candidates, partners or bucket sizes.  Copies of one text are one text till the end; each
@@ -114,12 +116,18 @@ def partitions(words: Words, counts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """The bits that the allocation of thresholds has a text probe: of its distinct bits the cheapest partitions', ties by bit."""
+def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """The bits that the allocation of thresholds has a text probe, of its distinct bits the cheapest partitions', ties by bit; and the number of distinct bits."""
     top, bottom = similarity
     distinct, first = np.unique(bits, return_index=True)
     missing = len(distinct) - -(-len(distinct) * top // bottom)
-    return distinct[np.argsort(groups[first], kind="stable")[: missing + SHARED]]
+    return distinct[np.argsort(groups[first], kind="stable")[: missing + SHARED]], len(distinct)
+
+
+def needed(size: int, similarity: tuple[int, int]) -> int:
+    """The probed bits that a text of ``size`` distinct bits shares with any text of no more bits that is alike."""
+    top, bottom = similarity
+    return min(SHARED, -(-size * top // bottom))
 
 
 def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, hot: int = HOT_BIT) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +147,7 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
                 words = Words(texts[i:j], known)
                 if not len(words.enough):
                     continue
-                every, groups, keys, owners, bits = runs_hashed(words.codes, width), partitions(words, counts, width), words.keys(), [], []
+                every, groups, keys, owners, needs, bits = runs_hashed(words.codes, width), partitions(words, counts, width), words.keys(), [], [], []
                 for n in words.enough.tolist():
                     if (key := int(keys[n])) in sent:
                         continue
@@ -147,21 +155,24 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
                         sent.clear()
                     sent.add(key)
                     a, b = words.starts[n], words.ends[n] - width + 1
-                    bits.append(probed(every[a:b], groups[a:b], similarity))
+                    chosen, size = probed(every[a:b], groups[a:b], similarity)
+                    bits.append(chosen)
                     owners.append(key)
+                    needs.append(needed(size, similarity))
                 if owners:
-                    owner = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, bits), np.int64, len(bits)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).view(np.int64)), pa.array(owner)], names=["bit", "key"])
+                    many = np.fromiter(map(len, bits), np.int64, len(bits))
+                    owner, need = np.repeat(np.array(owners, np.int64), many), np.repeat(np.array(needs, np.int8), many)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).view(np.int64)), pa.array(owner), pa.array(need)], names=["bit", "key", "need"])
 
     # one exchange by bit, by which copies are dropped and texts are counted; only bits of several texts go on to the join
-    probes = rows.select("text").mapInArrow(probe, "bit bigint, key bigint").repartition("bit").groupBy("bit", "key").agg(F.lit(1).alias("one"))
+    probes = rows.select("text").mapInArrow(probe, "bit bigint, key bigint, need tinyint").repartition("bit").groupBy("bit", "key").agg(F.max("need").alias("need"))
     shared = probes.withColumn("texts", F.count("*").over(Window.partitionBy("bit"))).where("texts > 1")
     # the texts of a hot bit are dealt to SALTS tasks, each of which sees all of them on the other side
     is_hot = F.col("texts") > hot
-    left = shared.select("bit", F.col("key").alias("key_a"), F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
-    right = shared.select("bit", F.col("key").alias("key_b"), F.explode(F.when(is_hot, F.lit([*range(SALTS)])).otherwise(F.lit([0]))).alias("salt"))
+    left = shared.select("bit", F.col("key").alias("key_a"), F.col("need").alias("need_a"), F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    right = shared.select("bit", F.col("key").alias("key_b"), F.col("need").alias("need_b"), F.explode(F.when(is_hot, F.lit([*range(SALTS)])).otherwise(F.lit([0]))).alias("salt"))
     met = left.join(right, ["bit", "salt"])
-    candidates = checkpointed(met.where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"))
+    candidates = checkpointed(met.where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).where("n >= need").select("key_a", "key_b"))
 
     wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     first = checkpointed(members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))

@@ -43,6 +43,15 @@ def test_pairs_against_brute_force(spark):
         assert {i: g["class_id"] for i, g in got.items()} == roots
 
 
+def test_texts_of_few_distinct_runs(spark):
+    texts = ["w " * 30, "w " * 40, "a b c " * 10, "a b c " * 12, "a b c d " * 9, "a b c d " * 10 + "a", "a b c d e " * 8, "a b c " * 10 + "d", "a b c d e f g " * 5, "w " * 31 + "v"]
+    rows = list(enumerate(texts)) + [(20, "z " * 29)]
+    sets = {i: s for i, t in rows if (s := shingles(t))}
+    expected = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    assert {(0, 1), (2, 3), (4, 5), (2, 7)} <= expected
+    assert {tuple(r) for r in N.alike_pairs(*N.near_duplicate_texts(spark.createDataFrame(rows, "id long, text string"))).collect()} == expected
+
+
 def test_many_copies_stay_one_text(spark):
     text = " ".join(f"word{i}" for i in range(50))
     rows = [(i, text) for i in range(300)] + [(500, text + " more")]
