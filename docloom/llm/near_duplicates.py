@@ -43,7 +43,7 @@ WIDTH, LEAST_WORDS, SIMILARITY, SHARED, SLOTS = 3, 30, (6, 10), 4, 1 << 17
 KNOWN_WORDS, CHARS_AT_ONCE, REMEMBERED, BROADCAST_IDS = 500_000, 1 << 20, 200_000, 2_000_000
 #: Texts from which a bit is hot, and tasks that its texts are dealt to.
 HOT_BIT, SALTS = 1000, 32
-#: Pairs of ids up to which two groups of copies are paired in full; beyond, each id is paired with the other group's first.
+#: Pairs of ids up to which two groups of ids are paired by one task; beyond, in full by SALTS tasks or in short by first ids.
 FULL_PAIRS = 10_000
 
 
@@ -124,6 +124,13 @@ def probed(bits: np.ndarray, groups: np.ndarray, similarity: tuple[int, int]) ->
     return distinct[np.argsort(groups[first], kind="stable")[: missing + SHARED]], len(distinct)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """A checkpoint, after which the shuffle files it was made from may go: Spark drops them when the driver collects garbage, which is asked for here."""
+    df = checkpointed(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def needed(size: int, similarity: tuple[int, int]) -> int:
     """The probed bits that a text of ``size`` distinct bits shares with any text of no more bits that is alike."""
     top, bottom = similarity
@@ -172,7 +179,7 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
     left = shared.select("bit", F.col("key").alias("key_a"), F.col("need").alias("need_a"), F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
     right = shared.select("bit", F.col("key").alias("key_b"), F.col("need").alias("need_b"), F.explode(F.when(is_hot, F.lit([*range(SALTS)])).otherwise(F.lit([0]))).alias("salt"))
     met = left.join(right, ["bit", "salt"])
-    candidates = checkpointed(met.where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).where("n >= need").select("key_a", "key_b"))
+    candidates = released(met.where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).where("n >= need").select("key_a", "key_b"))
 
     wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     first = checkpointed(members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
@@ -197,11 +204,11 @@ def near_duplicate_texts(rows: DataFrame, similarity: tuple[int, int] = SIMILARI
     return members, sized.where(F.col("common") * bottom >= (F.col("size_a") + F.col("size_b") - F.col("common")) * top)
 
 
-def alike_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b), smaller first, of ids whose texts are alike or the same.
+def alike_pairs(members: DataFrame, pairs: DataFrame, full: bool = False) -> DataFrame:
+    """(id_a, id_b), smaller first, of ids whose texts are alike or the same: with ``full`` every such pair.
 
-    Groups of copies are paired in full up to FULL_PAIRS pairs of ids; larger ones by their first ids, which loses no link
-    between different texts and leaves the group connected.
+    Without it, groups of ids of one key are paired in full up to FULL_PAIRS pairs of ids only; larger ones by their first ids, which leaves
+    them connected.  Ids of one key have the same words, not always the same text.
     """
     groups = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     own = groups.where("copies > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
@@ -210,11 +217,20 @@ def alike_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
         links = links.join(groups.select(F.col("key").alias(f"key_{side}"), F.col("first").alias(f"first_{side}"), F.col("copies").alias(f"copies_{side}")), f"key_{side}")
     small = F.col("copies_a") * F.col("copies_b") <= FULL_PAIRS
     ids = {side: members.select(F.col("key").alias(f"key_{side}"), F.col("id").alias(f"id_{side}")) for side in ("a", "b")}
-    full = links.where(small).join(ids["a"], "key_a").join(ids["b"], "key_b").select("id_a", "id_b")
-    large = links.where(~small)
-    left = large.join(ids["a"], "key_a").select("id_a", F.col("first_b").alias("id_b"))
-    right = large.join(ids["b"], "key_b").select(F.col("first_a").alias("id_a"), "id_b")
-    met = full.unionByName(left).unionByName(right)
+    # within a group each pair is met both ways round
+    once = (F.col("key_a") != F.col("key_b")) | (F.col("id_a") < F.col("id_b"))
+    if full:
+        # the ids of the first group of a large link are dealt to SALTS tasks, each of which sees all of the second
+        deals = F.when(small, F.lit(1)).otherwise(SALTS)
+        dealt = links.select("key_a", "key_b", deals.alias("deals")).join(ids["a"], "key_a").withColumn("salt", F.pmod(F.xxhash64("id_a"), F.col("deals")).cast("int"))
+        others = links.select("key_a", "key_b", F.explode(F.sequence(F.lit(0), deals - 1)).alias("salt")).join(ids["b"], "key_b")
+        met = dealt.join(others, ["key_a", "key_b", "salt"]).where(once).select("id_a", "id_b")
+    else:
+        met = links.where(small).join(ids["a"], "key_a").join(ids["b"], "key_b").where(once).select("id_a", "id_b")
+        large = links.where(~small)
+        left = large.join(ids["a"], "key_a").select("id_a", F.col("first_b").alias("id_b"))
+        right = large.join(ids["b"], "key_b").select(F.col("first_a").alias("id_a"), "id_b")
+        met = met.unionByName(left).unionByName(right)
     return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
 
 

@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = near_duplicates.alike_pairs(*near_duplicates.near_duplicate_texts(near_duplicates.sections_as_rows(table(spark, d, "sections"))))
+    found = near_duplicates.alike_pairs(*near_duplicates.near_duplicate_texts(near_duplicates.sections_as_rows(table(spark, d, "sections"))), full=True)
     return found.select(F.col("id_a").alias("section_id_a"), F.col("id_b").alias("section_id_b"))
 
 

@@ -62,6 +62,17 @@ def test_many_copies_stay_one_text(spark):
     assert {r["class_id"] for r in N.classes(members, pairs).collect()} == {0}
 
 
+def test_every_pair_of_large_groups(spark, tmp_path):
+    from docloom.llm import queries
+
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, None, (" " if i % 2 else ", ").join(words)) for i in range(102)] + [(500 + i, None, " ".join([*words, "more"])) for i in range(101)]
+    spark.createDataFrame(rows, "section_id long, doc_title string, raw_content string").write.parquet(str(tmp_path / "sections.parquet"))
+    got = [tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()]
+    ids = [r[0] for r in rows]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in ids for b in ids if a < b}
+
+
 def test_empty(spark):
     rows = spark.createDataFrame([], "id long, text string")
     members, pairs = N.near_duplicate_texts(rows)
