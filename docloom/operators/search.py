@@ -50,6 +50,11 @@ def intents(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", *(contains_any(q, words).alias(f"wants_{name}") for name, words in WANTS.items()), contains_any(q, INSTALLING).alias("installs"), release.alias("release"))
 
 
+def substrings(text: str, size: str) -> Column:
+    """All substrings of a text that have ``size`` characters, the text being no shorter."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - F.col(size) + 1), lambda i: F.substring(F.col(text), i, F.col(size)))
+
+
 def _contained(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """(query_id, heading, title): the longest key of each kind that is a substring of the query, ties by what is shown, descending.
 
@@ -59,7 +64,7 @@ def _contained(queries: DataFrame, keys: DataFrame) -> DataFrame:
     longest = q.agg(F.max(F.length("q"))).first()[0] or 0
     lengths = sorted(r[0] for r in keys.select(F.length("key").alias("n")).where(F.col("n") <= longest).distinct().collect())  # no more than a query has characters
     cut = q.select("query_id", "q", F.explode(F.lit(lengths or [longest + 1])).alias("n")).where("n <= length(q)")
-    cut = cut.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring("q", i, F.col("n")))).alias("key"))
+    cut = cut.select("query_id", F.explode(substrings("q", "n")).alias("key"))
     best = F.max(F.struct(F.length("key").alias("n"), F.col("shown").alias("shown")))
     found = cut.join(keys, "key").groupBy("query_id", "kind").agg(best.alias("best"))
     return found.groupBy("query_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("best.shown"))).alias(k) for k in ("heading", "title")))
@@ -305,15 +310,22 @@ def exact_subjects(wanted: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def command_matches(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id): sections with a command that names the query's release as a word, or that installs or upgrades by helm as the query says."""
-    release = intents(queries).where("release is not null").select("query_id", F.col("release").alias("word"))
+    """(query_id, section_id): sections with a command that contains the query's release, or that installs or upgrades by helm as the query says.
+
+    A release has only the characters of RELEASES, so that it is looked for in each distinct run of those: its substrings of just the lengths releases have.
+    """
+    release = checkpointed(intents(queries).where("release is not null").select("query_id", F.col("release").alias("word")))
+    lengths = sorted(r[0] for r in release.select(F.length("word")).distinct().collect())  # no more than a query has characters
     commands = nodes(sections, "commands").select("section_id", F.explode("commands").alias("command")).withColumn("command", normalized("command"))
-    words = commands.select("section_id", F.explode(F.array_distinct(F.split("command", " "))).alias("word"))
+    runs = commands.select("section_id", F.explode(F.array_distinct(F.split("command", r"[^a-zA-Z0-9._-]+"))).alias("run")).where("run <> ''")
+    cut = runs.select("run").distinct().select("run", F.explode(F.lit(lengths or [1])).alias("n")).where("n <= length(run)")
+    holding = cut.select("run", F.explode(F.array_distinct(substrings("run", "n"))).alias("word")).join(release.select("word").distinct(), "word")
     said = F.filter(F.array(*(F.when(normalized("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
     asked = queries.select("query_id", F.explode(said).alias("verb"))
     done = F.filter(F.array(*(F.when(F.col("command").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
     verbs = commands.select("section_id", F.explode(done).alias("verb")).distinct()
-    return words.join(release, "word").select("query_id", "section_id").unionByName(verbs.join(asked, "verb").select("query_id", "section_id")).distinct()
+    named = runs.join(holding, "run").select("section_id", "word").distinct().join(release, "word")
+    return named.select("query_id", "section_id").unionByName(verbs.join(asked, "verb").select("query_id", "section_id")).distinct()
 
 
 def output_bridge(queries: DataFrame, sections: DataFrame, radius: int = 3) -> DataFrame:

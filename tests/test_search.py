@@ -94,3 +94,11 @@ def test_output_bridge(spark):
     assert {tuple(r) for r in bridge.collect()} == {(1, 2, 1), (3, 2, 1)}
     chosen = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 3, 1)], "query_id long, section_id long, rank int")
     assert {tuple(r) for r in search.with_bridge(chosen, bridge).collect()} == {(1, 2, 1), (1, 1, 2), (2, 3, 1), (3, 2, 1)}
+
+
+def test_command_matches_contain_the_release(spark):
+    commands = ["export gateway_limit=3863", "kubectl create -f=my-gateway.sh", "run Gateway", "run gate way", "./a/gateway:9.1"]
+    rows = [(10 + i, "c", "T", "u", "H", 1, ["H"], "x", [c], [], [], [], []) for i, c in enumerate(commands)]
+    q = spark.createDataFrame([(1, "install gateway"), (2, "install way"), (3, "nothing")], "query_id long, text string")
+    expected = {(1, 10), (1, 11), (1, 12), (1, 14), (2, 10), (2, 11), (2, 12), (2, 13), (2, 14)}
+    assert {tuple(r) for r in search.command_matches(q, spark.createDataFrame(rows, SECTIONS)).collect()} == expected
