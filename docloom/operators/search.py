@@ -36,6 +36,7 @@ RELEASES = [r"helm\s+install\s+([a-zA-Z0-9._-]+)", r"helm\s+upgrade\s+([a-zA-Z0-
 FIELD_WEIGHTS = {"heading": 12, "path": 8, "title": 6, "content": 4}
 WANT_WEIGHTS = {"commands": ("commands", 18), "yaml": ("yamls", 20), "output": ("outputs", 38), "script": ("scripts", 18), "steps": ("steps", 10)}
 VERIFY_WEIGHT, PREREQ_WEIGHT, VERIFY_INSTALL_WEIGHT, CONTENT_CHARS = 6, 18, 12, 1600
+RELEASE_COMMAND_WEIGHT, RELEASE_CONTENT_WEIGHT = 15, 18
 K1, B, RRF_K, TOP = 1.2, 0.75, 60, 12
 
 
@@ -167,13 +168,52 @@ def subject_points(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     return met.join(named, "subject").select("query_id", "section_id", "points")
 
 
+def containing(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(section_id, word): the sections with a text (section_id, text), normalised, that contains a word.
+
+    Words (word) are releases and have only the characters of RELEASES, so that they are looked for in each distinct run of those: its
+    substrings of just the lengths words have are joined by equality.
+    """
+    words = words.distinct()
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # no more than a query has characters
+    runs = texts.select("section_id", F.explode(F.array_distinct(F.split("text", r"[^a-zA-Z0-9._-]+"))).alias("run")).where("run <> ''")
+    cut = runs.select("run").distinct().select("run", F.explode(F.lit(lengths or [1])).alias("n")).where("n <= length(run)")
+    holding = cut.select("run", F.explode(F.array_distinct(substrings("run", "n"))).alias("word")).join(words, "word")
+    return runs.join(holding, "run").select("section_id", "word").distinct()
+
+
+def command_texts(sections: DataFrame) -> DataFrame:
+    """(section_id, text): commands, normalised."""
+    return nodes(sections, "commands").select("section_id", F.explode("commands").alias("text")).withColumn("text", normalized("text"))
+
+
+def expecting(wanted: DataFrame) -> DataFrame:
+    """The queries that want the output of installing."""
+    return wanted.where("wants_output and installs")
+
+
+def release_points(wanted: DataFrame, sections: DataFrame) -> DataFrame | None:
+    """(query_id, section_id, points) for queries that want the output of installing a release: its name in a command, and in the content of a section with outputs; None without such queries."""
+    release = expecting(wanted).where("release is not null").select("query_id", F.col("release").alias("word"))
+    if release.isEmpty():
+        return None
+    contents = nodes(sections, "raw_content", "outputs").where("size(outputs) > 0").select("section_id", normalized("raw_content").alias("text"))
+    words = release.select("word")
+    parts = [containing(texts, words).withColumn("points", F.lit(float(weight))) for texts, weight in ((command_texts(sections), RELEASE_COMMAND_WEIGHT), (contents, RELEASE_CONTENT_WEIGHT))]
+    found = parts[0].unionByName(parts[1]).groupBy("section_id", "word").agg(F.sum("points").alias("points"))
+    return found.join(release, "word").select("query_id", "section_id", "points")
+
+
 def node_scores(queries: DataFrame, sections: DataFrame, top: int = TOP, wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id, score > 0) of all sections that share a term with the query or its subject or are among the ``top`` first of their flags."""
     wanted, known = wanted if wanted is not None else understood(queries, sections), flags(sections)
     firsts = known.where(" or ".join(FLAGS)).withColumn("n", F.row_number().over(Window.partitionBy(*FLAGS).orderBy("section_id"))).where(F.col("n") <= top)
     bounded = firsts.select(F.lit(1).alias("one"), "section_id")  # at most top rows for each of 2^8 combinations
     prior = wanted.select(F.lit(1).alias("one"), "query_id").join(bounded, "one").select("query_id", "section_id", F.lit(0.0).alias("score"))
-    points = subject_points(wanted, sections).withColumnRenamed("points", "score")
+    points = subject_points(wanted, sections)
+    if (named := release_points(wanted, sections)) is not None:
+        points = points.unionByName(named)
+    points = points.withColumnRenamed("points", "score")
     met = overlap_scores(queries, sections).unionByName(prior).unionByName(points).groupBy("query_id", "section_id").agg(F.sum("score").alias("shared"))
     scored = met.join(known, "section_id").join(wanted, "query_id")
     return scored.select("query_id", "section_id", (F.col("shared") + flag_score()).alias("score")).where("score > 0")
@@ -277,11 +317,11 @@ def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 #: Shares of the retrievers in the combined score, and boosts.
-SHARES, RRF_WEIGHT, EXACT_BOOST, DESCENDANT_BOOST = {"lexical": 0.45, "bm25": 0.30, "vector": 0.25}, 10.0, 2.0, 1.2
+SHARES, RRF_WEIGHT, EXACT_BOOST, DESCENDANT_BOOST, BRIDGE_BOOST = {"lexical": 0.45, "bm25": 0.30, "vector": 0.25}, 10.0, 2.0, 1.2, 2.75
 
 
-def combined(queries: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, top: int = TOP, wanted: DataFrame | None = None) -> DataFrame:
-    """(query_id, section_id, score, rank): scaled scores of all retrievers, reciprocal ranks and boosts of an exact subject, in one sum.
+def combined(queries: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, top: int = TOP, wanted: DataFrame | None = None, bridge: DataFrame | None = None) -> DataFrame:
+    """(query_id, section_id, score, rank): scaled scores of all retrievers, reciprocal ranks and boosts of an exact subject and of the output bridge, in one sum.
 
     ``vectors`` are rankings (query_id, section_id, score, rank) of a vector retriever; without them it adds nothing.
     """
@@ -298,7 +338,11 @@ def combined(queries: DataFrame, sections: DataFrame, vectors: DataFrame | None
     exact = exact_subjects(wanted, sections)
     boosts = exact.select("query_id", "section_id", F.lit(EXACT_BOOST).alias("part"))
     below = exact.select("query_id", F.col("section_id").alias("ancestor")).join(useful_descendants(sections), "ancestor").select("query_id", F.col("descendant").alias("section_id"), F.lit(DESCENDANT_BOOST).alias("part"))
-    total = parts.unionByName(boosts).unionByName(below).groupBy("query_id", "section_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    every = parts.unionByName(boosts).unionByName(below)
+    bridge = bridge if bridge is not None else asked_bridge(queries, sections, wanted)
+    if bridge is not None:
+        every = every.unionByName(bridge.select("query_id", "section_id", F.lit(BRIDGE_BOOST).alias("part")))
+    total = every.groupBy("query_id", "section_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(total)
 
 
@@ -310,21 +354,14 @@ def exact_subjects(wanted: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def command_matches(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id): sections with a command that contains the query's release, or that installs or upgrades by helm as the query says.
-
-    A release has only the characters of RELEASES, so that it is looked for in each distinct run of those: its substrings of just the lengths releases have.
-    """
+    """(query_id, section_id): sections with a command that contains the query's release, or that installs or upgrades by helm as the query says."""
     release = checkpointed(intents(queries).where("release is not null").select("query_id", F.col("release").alias("word")))
-    lengths = sorted(r[0] for r in release.select(F.length("word")).distinct().collect())  # no more than a query has characters
-    commands = nodes(sections, "commands").select("section_id", F.explode("commands").alias("command")).withColumn("command", normalized("command"))
-    runs = commands.select("section_id", F.explode(F.array_distinct(F.split("command", r"[^a-zA-Z0-9._-]+"))).alias("run")).where("run <> ''")
-    cut = runs.select("run").distinct().select("run", F.explode(F.lit(lengths or [1])).alias("n")).where("n <= length(run)")
-    holding = cut.select("run", F.explode(F.array_distinct(substrings("run", "n"))).alias("word")).join(release.select("word").distinct(), "word")
+    commands = command_texts(sections)
     said = F.filter(F.array(*(F.when(normalized("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
     asked = queries.select("query_id", F.explode(said).alias("verb"))
-    done = F.filter(F.array(*(F.when(F.col("command").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
+    done = F.filter(F.array(*(F.when(F.col("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
     verbs = commands.select("section_id", F.explode(done).alias("verb")).distinct()
-    named = runs.join(holding, "run").select("section_id", "word").distinct().join(release, "word")
+    named = containing(commands, release.select("word")).join(release, "word")
     return named.select("query_id", "section_id").unionByName(verbs.join(asked, "verb").select("query_id", "section_id")).distinct()
 
 
@@ -343,6 +380,12 @@ def output_bridge(queries: DataFrame, sections: DataFrame, radius: int = 3) -> D
     return first.select("query_id", F.col("neighbour").alias("section_id"), place.alias("place"))
 
 
+def asked_bridge(queries: DataFrame, sections: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """The output bridge, kept, of the queries that want one; None without such queries."""
+    own = expecting(wanted).select("query_id")
+    return None if own.isEmpty() else checkpointed(output_bridge(queries.join(own, "query_id", "left_semi"), sections))
+
+
 def with_bridge(chosen: DataFrame, bridge: DataFrame, top: int = 10) -> DataFrame:
     """Chosen sections (query_id, section_id, rank) with those of an output bridge before them, where a query has one."""
     met = chosen.select("query_id", "section_id", F.lit(1).alias("kind"), F.col("rank").alias("at")).unionByName(bridge.select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").alias("at")))
@@ -358,19 +401,25 @@ def anchors(queries: DataFrame, sections: DataFrame, found: DataFrame, wanted: D
     useful = useful_descendants(sections).groupBy(F.col("ancestor").alias("section_id")).agg(F.count("*").alias("useful"))
     rows = first.join(own, ["query_id", "section_id"], "left").join(useful, "section_id", "left").join(flags(sections), "section_id").join(wanted, "query_id").join(nodes(sections, "heading", "heading_path", "raw_content", "doc_title"), "section_id")
     points = subject_score(F.col("subject"))
-    score = F.coalesce("shared", F.lit(0.0)) + flag_score() + points + F.least(F.coalesce("useful", F.lit(0)), F.lit(10)) * 4 + F.when(points > 0, 10).otherwise(0)
+    named = release_points(wanted, sections)
+    rows = rows.withColumn("named", F.lit(0.0)) if named is None else rows.join(named.withColumnRenamed("points", "named"), ["query_id", "section_id"], "left")
+    score = F.coalesce("named", F.lit(0.0)) + F.coalesce("shared", F.lit(0.0)) + flag_score() + points + F.least(F.coalesce("useful", F.lit(0)), F.lit(10)) * 4 + F.when(points > 0, 10).otherwise(0)
     return rows.withColumn("score", score).groupBy("query_id").agg(F.max_by("section_id", F.struct("score", -F.col("rank"))).alias("section_id"))
 
 
 def hybrid_search(queries: DataFrame, sections: DataFrame, top: int = 10, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id, rank): the sections chosen for each query.
 
-    A query that wants commands, YAML, output, scripts or steps gets its anchor, the anchor's useful descendants, the useful sections of its
+    A query that wants the output of installing gets its output bridge and then the ranking, if it has a bridge.  Another that wants commands, YAML, output, scripts or steps gets its anchor, the anchor's useful descendants, the useful sections of its
     file, and for output the first six found that hold outputs; any other the ranking.
     """
     known = understood(queries, sections)
-    found = checkpointed(combined(queries, sections, vectors, wanted=known))
+    bridge = asked_bridge(queries, sections, known)
+    found = checkpointed(combined(queries, sections, vectors, wanted=known, bridge=bridge))
     wanted = known.withColumn("expands", F.expr(" or ".join(f"wants_{w}" for w in WANT_WEIGHTS)))
+    if bridge is not None:
+        bridged = bridge.select("query_id").distinct().withColumn("bridged", F.lit(True))
+        wanted = wanted.join(bridged, "query_id", "left").withColumn("expands", F.col("expands") & F.col("bridged").isNull()).drop("bridged")
     anchor = checkpointed(anchors(queries, sections, found, known)).join(wanted, "query_id").where("expands")
     own = anchor.select("query_id", "section_id", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at"))
     down = anchor.select("query_id", F.col("section_id").alias("ancestor")).join(useful_descendants(sections), "ancestor").select("query_id", F.col("descendant").alias("section_id"), F.lit(1).alias("kind"), (F.col("distance") * F.lit(1 << 40) + F.col("descendant")).alias("at"))
@@ -379,6 +428,9 @@ def hybrid_search(queries: DataFrame, sections: DataFrame, top: int = 10, vector
     outputs = found.join(flags(sections).where("has_outputs").select("section_id"), "section_id").join(wanted.where("wants_output and expands").select("query_id"), "query_id")
     outputs = outputs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 6").select("query_id", "section_id", F.lit(3).alias("kind"), F.col("rank").cast("bigint").alias("at"))
     plain = found.join(wanted.where("not expands").select("query_id"), "query_id").select("query_id", "section_id", F.lit(4).alias("kind"), F.col("rank").cast("bigint").alias("at"))
-    chosen = own.unionByName(down).unionByName(same).unionByName(outputs).unionByName(plain).groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
+    every = own.unionByName(down).unionByName(same).unionByName(outputs).unionByName(plain)
+    if bridge is not None:
+        every = every.unionByName(bridge.select("query_id", "section_id", F.lit(-1).alias("kind"), F.col("place").cast("bigint").alias("at")))
+    chosen = every.groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
     order = Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id")
     return chosen.select("query_id", "section_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)

@@ -102,3 +102,20 @@ def test_command_matches_contain_the_release(spark):
     q = spark.createDataFrame([(1, "install gateway"), (2, "install way"), (3, "nothing")], "query_id long, text string")
     expected = {(1, 10), (1, 11), (1, 12), (1, 14), (2, 10), (2, 11), (2, 12), (2, 13), (2, 14)}
     assert {tuple(r) for r in search.command_matches(q, spark.createDataFrame(rows, SECTIONS)).collect()} == expected
+
+
+def test_questions_for_the_output_of_installing(spark):
+    row = lambda i, file, heading, text, commands=(), outputs=(): (i, file, None, "u", heading, 1, [heading], text, list(commands), [], [], list(outputs), [])
+    rows = [row(1, "a", "One", "x", ["run zorvex-1"]), row(2, "b", "Two", "see myzorvex here", outputs=["up"]), row(3, "a", "Three", "x", outputs=["ok"]), row(4, "c", "Four", "zorvex zorvex install output"), row(5, "d", "Five", "x", outputs=["no"])]
+    s = spark.createDataFrame(rows, SECTIONS)
+    q = spark.createDataFrame([(1, "output of install zorvex"), (2, "install zorvex")], "query_id long, text string")
+    scores = {tuple(r)[:2]: r["score"] for r in search.node_scores(q, s).collect()}
+    # the release in a command 15, in content with outputs 18; commands 18 and outputs 38 as wanted
+    assert scores[1, 1] == 15.0 + 18.0 and scores[1, 2] == 18.0 + 38.0 and scores[1, 3] == scores[1, 5] == 38.0 and scores[2, 1] == 18.0
+    wanted = search.understood(q, s)
+    plain = {tuple(r)[:2]: r["score"] for r in search.combined(q, s, wanted=wanted, bridge=spark.createDataFrame([], "query_id long, section_id long, place int")).collect()}
+    boosted = {tuple(r)[:2]: r["score"] for r in search.combined(q, s, wanted=wanted).collect()}
+    assert {k: round(v - plain[k], 6) for k, v in boosted.items() if v != plain[k]} == {(1, 3): 2.75}
+    chosen = {r["rank"]: r["section_id"] for r in search.hybrid_search(q, s).where("query_id = 1").collect()}
+    ranking = [r["section_id"] for r in search.combined(q, s).where("query_id = 1").orderBy("rank").collect()]
+    assert [chosen[k] for k in sorted(chosen)] == [3, *(i for i in ranking if i != 3)]
