@@ -341,16 +341,21 @@ def hybrid_search(spark, d):
     return search.hybrid_search(asked(spark, d), table(spark, d, "sections"))
 
 
-def install_questions(spark, d):
-    """A question for each name that a section's helm command installs: what comes out of installing it."""
+def install_questions(spark, d, every: bool = True):
+    """A question for each name that a section's helm command installs: what comes out of installing it.
+
+    Its id is a hash of the name.  Without ``every`` it is the name's first section, and of names with the same one only the least is asked, as
+    the SQL of command_matches has it.
+    """
     rows = tree.nodes(table(spark, d, "sections"), "commands").select("section_id", F.explode("commands").alias("command"))
     named = rows.select("section_id", F.regexp_extract("command", r"helm install ([a-zA-Z0-9._-]+)", 1).alias("name")).where("name <> ''")
-    return named.groupBy("name").agg(F.min("section_id").alias("query_id")).groupBy("query_id").agg(F.min("name").alias("name")).select("query_id", F.concat(F.lit("what output should i expect when i install "), F.col("name")).alias("text"))
+    names = named.select("name").distinct().select(F.xxhash64("name").alias("query_id"), "name") if every else named.groupBy("name").agg(F.min("section_id").alias("query_id")).groupBy("query_id").agg(F.min("name").alias("name"))
+    return names.select("query_id", F.concat(F.lit("what output should i expect when i install "), F.col("name")).alias("text"))
 
 
 @query
 def command_matches(spark, d):
-    return search.command_matches(checkpointed(install_questions(spark, d)), table(spark, d, "sections"))
+    return search.command_matches(checkpointed(install_questions(spark, d, every=False)), table(spark, d, "sections"))
 
 
 @query

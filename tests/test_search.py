@@ -119,3 +119,12 @@ def test_questions_for_the_output_of_installing(spark):
     chosen = {r["rank"]: r["section_id"] for r in search.hybrid_search(q, s).where("query_id = 1").collect()}
     ranking = [r["section_id"] for r in search.combined(q, s).where("query_id = 1").orderBy("rank").collect()]
     assert [chosen[k] for k in sorted(chosen)] == [3, *(i for i in ranking if i != 3)]
+
+
+def test_a_question_for_each_installed_name(spark, tmp_path):
+    from docloom import catalog
+
+    rows = [(1, "a", None, "u", "H", 1, ["H"], "x", ["helm install one", "helm install two"], [], [], ["up"], [])]
+    spark.createDataFrame(rows, SECTIONS).write.parquet(str(tmp_path / "sections.parquet"))
+    asked_for = catalog.install_questions(spark, str(tmp_path)).collect()
+    assert {r["text"].split()[-1] for r in asked_for} == {"one", "two"} and len({r["query_id"] for r in asked_for}) == 2
