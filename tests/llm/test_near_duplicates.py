@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from docloom.functions.words import words_of
 from docloom.llm import near_duplicates as N
 
@@ -77,3 +79,39 @@ def test_empty(spark):
     rows = spark.createDataFrame([], "id long, text string")
     members, pairs = N.near_duplicate_texts(rows)
     assert N.alike_pairs(members, pairs).count() == 0 and N.classes(members, pairs).count() == 0
+
+
+def test_greedy_probes_are_the_optimum_of_the_dynamic_programme():
+    r = random.Random(5)
+    for _ in range(150):
+        sizes = [r.randrange(1, 5) for _ in range(r.randrange(2, 9))]
+        costs = [r.choice([1, 2, 3, 7, 50, 900]) for _ in sizes]
+        groups = np.array([cost << 32 | g for g, (cost, size) in enumerate(zip(costs, sizes)) for _ in range(size)], np.uint64)
+        bits = np.array(r.sample(range(10**6), len(groups)), np.uint64)
+        if (total := len(bits) - -(-len(bits) * 6 // 10) + N.SHARED) > len(bits):
+            continue
+        chosen, own, size = N.probed(bits, groups, (6, 10))
+        allocated, least = N.thresholds(costs, sizes, total)
+        assert size == len(bits) and len(chosen) == total == sum(t + 1 for t in allocated)
+        assert sum(int(g) >> 32 for g in own) == least
+
+
+def test_a_bit_of_half_of_all_texts(spark):
+    r = random.Random(7)
+    notice = [f"notice{i}" for i in range(12)]
+    rows = []
+    for i in range(4000):
+        words = [f"w{r.randrange(10**6)}" for _ in range(25)] if i % 10 or not i else list(own)
+        own = words
+        rows.append((i, " ".join([*words[:5], *notice, *words[5:], "end"] if i % 2 else [*words, f"x{i}", "end", "of", "text", "now"])))
+    sets = {i: s for i, t in rows if (s := shingles(t))}
+    by_run = {}
+    for i, s in sets.items():
+        for run in s:
+            by_run.setdefault(run, []).append(i)
+    met = {(a, b) for own in by_run.values() if len(own) < 100 for a in own for b in own if a < b}
+    expected = {(a, b) for a, b in met if 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    assert max(map(len, by_run.values())) >= 1900
+    for hot in (100, N.HOT_BIT):
+        got = {tuple(r) for r in N.alike_pairs(*N.near_duplicate_texts(spark.createDataFrame(rows, "id long, text string").repartition(3), hot=hot)).collect()}
+        assert got == expected
