@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style")}
@@ -39,14 +39,15 @@ def attributes(source: str) -> dict[str, str]:
 
 class Element:
     """An open element.  ``container`` is the nearest container, itself if it is one, and ``path`` the signs of that
-    and of the containers around it; ``unit`` is the outermost element of text in the container, ``block`` the innermost one
+    and of the containers around it, ``outer`` the container around its parent; ``unit`` is the outermost element of text in the container, ``block`` the innermost one
     that isn't inline."""
 
-    __slots__ = ("tag", "sign", "path", "container", "unit", "block", "link", "number")
+    __slots__ = ("tag", "sign", "path", "container", "outer", "unit", "block", "link", "number")
 
     def __init__(self, tag: str, sign: str, around: Element | None, number: int, container: bool):
         self.tag, self.sign, self.number = tag, sign, number
         self.block = around.block if around and tag in INLINE else self
+        self.outer = around.container if around else None
         if container or around is None:
             self.container, self.unit, self.link = self, None, False
             self.path = f"{around.path}>{sign}" if around else ""
