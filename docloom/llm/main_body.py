@@ -1,20 +1,24 @@
 """Problem 3: the main body of each page, by wrappers inferred from the pages of its host.
 
 1. Every page is read once; each task folds its pages into one partial wrapper per host and field (see ``wrapper``) and lists
-   the hashes of the body's paragraphs.  This is checkpointed: it is a small part of the pages.
+   the hashes of the paragraphs of what looks like a body.  This is checkpointed: it is a small part of the pages.
 2. Partial wrappers are folded per host, first in SALTS groups a host and then together.  Paragraphs are counted by distinct page;
-   those on at least LEAST_PAGES pages and SHARE of the host's pages are constants of the template.
-3. Wrappers, small, are joined to the pages by host; every page is read again and its pieces get their roles.
-
-Main are the pieces of the title's container from the title on, but for constant paragraphs, and those of containers in it
-that hold text.  A field that is null, empty or without text has no pieces.  Repeated rows are read once by fetch_id in the
-results.  Hosts are taken from page_url; pages without one share the empty host.  All pages count for wrappers and constants.
+   those on at least LEAST_PAGES pages and SHARE of the host's pages are constants of the template, as are short ones that recur on several hosts.
+3. Wrappers, small, are broadcast, or joined to the pages by host; every page is read again and matched with its host's wrapper, which tells
+   what each of its containers is.
+
+The body is the container at a place of the wrapper where titles stand, a first heading that varies from page to page; without one on
+the page, that place of it with the most prose that varies.  A place that holds little but titles gives the title, and the place of most prose
+the body.  Main are the pieces of the body from its title on, but for constant paragraphs, and those of containers in it whose place
+holds text.  A field that is null, empty or without text has no pieces.  Repeated rows are read once by fetch_id in the results.  Hosts
+are taken from page_url; pages without one share the empty host.  All pages count for wrappers and constants.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from heapq import nsmallest
 
 import pandas as pd
 import pyarrow as pa
@@ -22,21 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrowmap import map_batches
-from docloom.functions.markup import BLANK, HEADINGS, NUMBER, Piece, pieces
+from docloom.functions.markup import BLANK, HEADINGS, NUMBER, Element, Piece, pieces
 from docloom.llm.repeated_lines import site_of
-from docloom.llm.wrapper import Node, Roles, align, collapse, dump, load
+from docloom.llm.wrapper import LEAST_PROSE, Node, bottom, dump, grouped, load, match
 from docloom.session import checkpointed
 
 FIELDS = ("page_html", "export_view_html")
 LEAST_PAGES, SHARE = 3, 0.08
-#: Groups a host's partial wrappers are folded in first; bytes of all wrappers up to which they are broadcast;
-#: sample blocks kept for each batch, by smallest hash, for models of prose.
-SALTS, BROADCAST_BYTES, SAMPLE = 32, 32 << 20, 64
-#: Sample blocks have so many characters and come, as far as there are such, from bodies of at least so many.
-SAMPLE_CHARS, SAMPLE_PAGE = (40, 1200), 1500
+#: Groups a host's partial wrappers are folded in first; bytes of all wrappers up to which they are broadcast; wrappers a task holds at once.
+SALTS, BROADCAST_BYTES, HOSTS_AT_ONCE = 32, 32 << 20, 2000
+#: Sample blocks of long bodies have so many characters, and long bodies at least so many; blocks of smallest hash that are listed of each place.
+SAMPLE_CHARS, SAMPLE_PAGE, SAMPLE_BLOCKS = (40, 1200), 1500, 3000
 #: Short paragraphs that recur on at least LEAST_HOSTS hosts and HOST_SHARE of all hosts are constants everywhere; on a host
 #: recurs what is on at least RECUR_PAGES of its pages and RECUR_SHARE of them.
 SHORT, LEAST_HOSTS, HOST_SHARE, RECUR_PAGES, RECUR_SHARE = 60, 3, 0.05, 2, 0.01
+#: A place of titles with fewer other characters a page than this only holds the title.
+TITLE_ONLY = 40
 
 
 def hashed(text: str) -> int:
@@ -50,20 +55,22 @@ def hashed(text: str) -> int:
 class Unit:
     """A unit of a page with its pieces."""
 
-    __slots__ = ("container", "tag", "pieces")
+    __slots__ = ("container", "tag", "pieces", "links", "found")
 
     def __init__(self, first: Piece):
-        self.container, self.tag, self.pieces = first.container, first.unit.tag, [first]
+        self.container, self.tag, self.pieces, self.links, self.found = first.container, first.unit.tag, [first], None, None
 
     def all_links(self) -> bool:
         """Whether it is nothing but links, with marks between them."""
-        return any(p.element.link for p in self.pieces) and all(p.element.link or len(p.text.strip()) < 3 for p in self.pieces)
+        if self.links is None:
+            self.links = any(p.element.link for p in self.pieces) and all(p.element.link or len(p.text.strip()) < 3 for p in self.pieces)
+        return self.links
 
     def keys(self) -> list[int]:
         """What is looked up among the constants: the text, or that of each link."""
-        if self.all_links():
-            return [hashed(p.text) for p in self.pieces if p.element.link]
-        return [hashed(" ".join(p.text for p in self.pieces))]
+        if self.found is None:
+            self.found = [hashed(p.text) for p in self.pieces if p.element.link] if self.all_links() else [hashed(" ".join(p.text for p in self.pieces))]
+        return self.found
 
 
 def units_of(html: str) -> list[Unit]:
@@ -78,52 +85,113 @@ def units_of(html: str) -> list[Unit]:
     return out
 
 
-def tokens(units: list[Unit]) -> list[Node]:
-    """The page's container tokens with the sums of their text."""
-    out: list[Node] = []
-    last = None
-    for unit in units:
-        if unit.container is not last:
-            last = unit.container
-            out.append(Node(last.path))
-        node, block = out[-1], None
-        if unit.tag == "h1":
-            node.titles = 1
-        for p in unit.pieces:
-            size = len(p.text)
-            node.chars += size
-            if p.element.link:
-                node.links += size
-            if p.element.block is not block:
-                block = p.element.block
-                node.blocks += 1
-                if size < 300:
-                    node.texts[str(hashed(p.text) & 0xFFFFFFFF)] += 1
-    return out
+class Page:
+    """A page's units, and its tree of containers with the sums of their slots."""
+
+    def __init__(self, units: list[Unit]):
+        self.units = units
+        self.root = Node("")
+        self.nodes: dict[Element, Node] = {}
+        for unit in units:
+            node, block, plain = self.node(unit.container), None, 0
+            for p in unit.pieces:
+                size = len(p.text)
+                node.chars += size
+                if p.element.link:
+                    node.links += size
+                else:
+                    plain += size
+                if p.element.block is not block:
+                    block = p.element.block
+                    node.blocks += 1
+            # of a paragraph the whole, of other units the first block stands for its text
+            node.texts = bottom(node.texts, {hashed(unit.pieces[0].text): 1})
+            if unit.tag == "h1":
+                node.titles = 1
+                # numbers count here: titles may differ in nothing else
+                node.heads = bottom(node.heads, {int.from_bytes(blake2b(" ".join(p.text for p in unit.pieces).encode("utf-8", "replace"), digest_size=7).digest(), "big"): 1})
+
+    def node(self, container: Element) -> Node:
+        if (node := self.nodes.get(container)) is None:
+            if container.outer is None:
+                node = self.root
+            else:
+                node = Node(container.sign)
+                self.node(container.outer).inner.append(node)
+            self.nodes[container] = node
+        return node
+
+    def wrapper(self) -> Node:
+        """The page as a wrapper of its own; uses the tree up."""
+
+        def fold(node: Node) -> Node:
+            node.inner = grouped([fold(n) for n in node.inner])
+            return node
+
+        return fold(self.root)
+
 
+def within(container: Element, outer: Element) -> bool:
+    while container is not None:
+        if container is outer:
+            return True
+        container = container.outer
+    return False
 
-def title_container(units: list[Unit], roles: Roles | None = None):
-    """The container of the page's title; without a title the first container that is a body elsewhere; or None."""
+
+def likely_bodies(units: list[Unit]) -> list[Element]:
+    """What looks like the body of a page by itself: the container of its first heading, and that of most text that is no link."""
+    sums: dict[Element, int] = {}
     for unit in units:
-        if unit.tag == "h1":
-            return unit.container
-    if roles:
-        for unit in units:
-            if unit.container.path in roles.body and unit.container.path:
-                return unit.container
-    return None
+        sums[unit.container] = sums.get(unit.container, 0) + sum(len(p.text) for p in unit.pieces if not p.element.link)
+    titled = next((u.container for u in units if u.tag == "h1"), None)
+    most = max(sums, key=sums.get)
+    return [most] if titled is None or titled is most else [titled, most]
 
 
 PLAIN = frozenset(("p", "div", "span", "a", "b", "strong", "em", "i", "small", "section", "td", ""))
 
 
-def main_units(units: list[Unit], roles: Roles, constants: frozenset[int], kept: Callable[[str], bool] = lambda _: False) -> list[Unit]:
+class Matched:
+    """A page matched with the wrapper of its host: its body, the title outside it, and the containers of text."""
+
+    def __init__(self, units: list[Unit], wrapper: Node | None):
+        page = Page(units)
+        pairs: list[tuple[Node, Node | None]] = []
+        match(page.root, wrapper, pairs)
+        own = {id(n): w or n for n, w in pairs}
+        self.place = {c: own[id(n)] for c, n in page.nodes.items()}
+        self.body, self.title = None, None
+        titled = [u.container for u in units if u.tag == "h1" and self.place[u.container].is_title()]
+        most, prose = None, LEAST_PROSE
+        for container in self.place:
+            if container.tag != "noscript" and (much := self.place[container].prose()) >= prose and (most is None or much > prose):
+                most, prose = container, much
+        if titled:
+            self.body = titled[0]
+            place = self.place[self.body]
+            if most is not None and most is not self.body and place.chars - place.links < TITLE_ONLY * place.pages + 1.5 * self.head_chars(units):
+                self.title, self.body = self.body, most
+        else:
+            place = next((c for c in self.place if self.place[c].is_title() and self.place[c].prose() >= LEAST_PROSE), None)
+            self.body = place if place is not None else most
+
+    def head_chars(self, units: list[Unit]) -> float:
+        place = self.place[self.body]
+        return place.pages * sum(len(p.text) for u in units if u.tag == "h1" and u.container is self.body for p in u.pieces)
+
+
+def main_units(units: list[Unit], wrapper: Node | None, constants: frozenset[int], kept: Callable[[str], bool] = lambda _: False) -> list[Unit]:
     """The units of the main body, in order; a constant that is ``kept`` (a leftover of a template, say) is text all the same."""
-    body = title_container(units, roles)
+    if not units:
+        return []
+    found = Matched(units, wrapper)
+    body = found.body
     if body is None:
         return []
     titled = any(u.tag == "h1" and u.container is body for u in units)
     out, open_ = [], not titled
+    inside: dict[Element, bool] = {}
     for unit in units:
         if unit.container is body:
             if unit.tag == "h1":
@@ -135,56 +203,109 @@ def main_units(units: list[Unit], roles: Roles, constants: frozenset[int], kept:
                 if sum(k in constants for k in keys) * 2 >= len(keys) and not (unit.tag == "p" and kept(" ".join(p.text for p in unit.pieces))):
                     continue
             out.append(unit)
-        elif open_ and unit.container.path in roles.text and unit.container.tag != "noscript" and unit.container.path.startswith(body.path + ">"):
-            out.append(unit)
+        elif unit.container is found.title:
+            if unit.tag == "h1":
+                out.append(unit)
+        elif open_:
+            if (text := inside.get(unit.container)) is None:
+                text = inside[unit.container] = unit.container.tag != "noscript" and found.place[unit.container].is_text() and within(unit.container, body)
+            if text:
+                out.append(unit)
     return out
 
 
-def _survey(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of (host, field, kind, key, page, wrapper): kind 0 are pages, 1 and 4 long and short body
-    paragraphs, 2 partial wrappers, 3 sample texts (page 0 for those of long bodies, else 1)."""
-    rows: dict[tuple, None] = {}
-    wrappers: dict[tuple[str, str], list[Node]] = {}
-    sample: list[tuple[int, int, str]] = []
-    hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for column, field in enumerate(batch.schema.names[2:], 2):
-        for host, page, html in zip(hosts, pages, batch.column(column).to_pylist()):
-            if not html:
-                continue
-            units = units_of(html)
-            if not units:
+class Survey:
+    """What a task finds on its pages: rows (host, field, kind, key, page, wrapper).
+
+    Kind 0 are pages, 1 and 4 long and short paragraphs of bodies (``wrapper`` says whether of a long one), 2 partial wrappers, 3 sample texts, of which ``page`` is the place: long bodies (0), short
+    ones (1), what is outside bodies (2).  Wrappers and samples come once a task.
+    """
+
+    KINDS = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+
+    def __init__(self):
+        self.wrappers: dict[tuple[str, str], Node] = {}
+        self.samples: tuple[dict[int, str], ...] = ({}, {}, {})
+
+    def note(self, place: int, text: str) -> None:
+        """Keep a block for the sample: of each place the SAMPLE_BLOCKS of smallest hash, whichever tasks they fall into."""
+        own = self.samples[place]
+        own.setdefault(hashed(text), text)
+        if len(own) > 2 * SAMPLE_BLOCKS:
+            self.samples = tuple(kept(x) for x in self.samples)
+
+    def read(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: dict[tuple, None] = {}
+        hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for column, field in enumerate(batch.schema.names[2:], 2):
+            for host, page, html in zip(hosts, pages, batch.column(column).to_pylist()):
+                if not html:
+                    continue
+                units = units_of(html)
+                if not units:
+                    continue
+                key = (host, field)
+                rows[host, field, 0, 0, page, None] = None
+                own = Page(units).wrapper()
+                if key in self.wrappers:
+                    self.wrappers[key].absorb(own, False)
+                else:
+                    self.wrappers[key] = own
+                self.paragraphs(units, key, page, rows)
+        return self.batch(list(rows))
+
+    def paragraphs(self, units: list[Unit], key: tuple[str, str], page: int, rows: dict[tuple, None]) -> None:
+        bodies = likely_bodies(units)
+        titled = next((u for u in units if u.tag == "h1"), None)
+        short_body = sum(len(p.text) for u in units if u.container in bodies for p in u.pieces) < SAMPLE_PAGE
+        open_ = titled is None
+        for unit in units:
+            open_ |= unit is titled
+            size = sum(len(p.text) for p in unit.pieces)
+            if unit.container not in bodies:
+                if key[1] == FIELDS[0] and unit.container.tag != "noscript" and size <= SAMPLE_CHARS[1]:
+                    self.note(2, BLANK.sub(" ", " ".join(p.text for p in unit.pieces)).strip())
                 continue
-            key = (host, field)
-            rows[host, field, 0, 0, page] = None
-            own = collapse(tokens(units))
-            wrappers[key] = align(wrappers[key], own) if key in wrappers else own
-            body, open_ = title_container(units), False
-            short_body = sum(len(p.text) for u in units if u.container is body for p in u.pieces) < SAMPLE_PAGE
-            for unit in units:
-                if unit.container is body:
-                    open_ |= unit.tag == "h1"
-                    if open_ and unit.tag in PLAIN:
-                        short = sum(len(p.text) for p in unit.pieces) <= SHORT
-                        for k in unit.keys():
-                            rows[host, field, 4 if short else 1, k, page] = None
-                    if open_ and field == FIELDS[0] and unit.tag not in HEADINGS:
-                        text = BLANK.sub(" ", " ".join(p.text for p in unit.pieces))
-                        if SAMPLE_CHARS[0] <= len(text) <= SAMPLE_CHARS[1]:
-                            sample.append((int(short_body), hashed(text), text))
-    out = [(*r, None) for r in rows]
-    out += [(host, field, 2, hash(page) & 0xFFFF, 0, dump(nodes)) for (host, field), nodes in wrappers.items()]
-    out += [("", FIELDS[0], 3, k, short_body, text) for short_body, k, text in sorted(set(sample))[:SAMPLE]]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["host", "field", "kind", "key", "page", "wrapper"])
+            if (open_ or unit.container is not titled.container) and unit.tag in PLAIN:
+                for k in unit.keys():
+                    rows[(*key, 4 if size <= SHORT else 1, k, page, "short" if short_body else "long")] = None
+            if open_ and key[1] == FIELDS[0] and unit.tag not in HEADINGS and size <= SAMPLE_CHARS[1] and (short_body or size >= SAMPLE_CHARS[0]):
+                self.note(int(short_body), BLANK.sub(" ", " ".join(p.text for p in unit.pieces)).strip())
+
+    def rest(self) -> pa.RecordBatch:
+        out = [(host, field, 2, k, 0, dump(node)) for k, ((host, field), node) in enumerate(self.wrappers.items())]
+        out += [("", FIELDS[0], 3, k, place, text) for place, own in enumerate(self.samples) for k, text in kept(own).items()]
+        return self.batch(out)
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(self.KINDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.KINDS)], names=["host", "field", "kind", "key", "page", "wrapper"])
+
+
+def kept(sample: dict[int, str]) -> dict[int, str]:
+    return {k: sample[k] for k in nsmallest(SAMPLE_BLOCKS, sample)}
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task = Survey()
+    for batch in batches:
+        yield task.read(batch)
+        if len(task.wrappers) > HOSTS_AT_ONCE:
+            yield task.rest()
+            task = Survey()
+    yield task.rest()
 
 
 def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    nodes: list[Node] = []
-    for source in group["wrapper"]:
+    whole: Node | None = None
+    for source in group["wrapper"].sort_values():
         own = load(source)
-        nodes = align(nodes, own) if nodes else own
+        if whole is None:
+            whole = own
+        else:
+            whole.absorb(own, False)
     first = group.iloc[0]
-    return pd.DataFrame({"host": [first["host"]], "field": [first["field"]], "wrapper": [dump(nodes)]})
+    return pd.DataFrame({"host": [first["host"]], "field": [first["field"]], "wrapper": [dump(whole)]})
 
 
 def host_key(url: str = "page_url") -> Column:
@@ -193,17 +314,21 @@ def host_key(url: str = "page_url") -> Column:
 
 def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     rows = fetches.select(host_key().alias("host"), F.xxhash64("page_url").alias("page"), *fields).where(" or ".join(f"{f} <> ''" for f in fields))
-    return checkpointed(map_batches(rows, lambda: _survey, "host string, field string, kind int, key bigint, page bigint, wrapper string"))
+    return checkpointed(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string"))
 
 
-def shared_constants(surveyed: DataFrame) -> frozenset[int]:
-    """Hashes of short paragraphs that recur on several hosts; a text that is met once here and there is none."""
-    pages = surveyed.where("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    hosts = pages.count()
-    on = surveyed.where("kind = 4").select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= RECUR_PAGES)
-    recur = on.join(pages, "host").where(F.col("n") >= F.col("pages") * RECUR_SHARE)
-    seen = recur.groupBy("key").agg(F.count("*").alias("n"))
-    return frozenset(r["key"] for r in seen.where(F.col("n") >= max(LEAST_HOSTS, HOST_SHARE * hosts)).select("key").collect())
+def constants(surveyed: DataFrame) -> DataFrame:
+    """(host, field, key): hashes of the paragraphs that belong to the template; a text met once here and there does not."""
+    pages = surveyed.where("kind = 0").select("host", "field", "page").distinct().groupBy("host", "field").agg(F.count("*").alias("pages"))
+    seen = surveyed.where("kind in (1, 4)").select("host", "field", "key", "kind", "page").distinct().groupBy("host", "field", "key").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    seen = checkpointed(seen.join(pages, ["host", "field"]))
+    often = seen.where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * SHARE)).select("host", "field", "key")
+    # short paragraphs that recur on several hosts, on the hosts that have them
+    hosts = pages.agg(F.countDistinct("host").alias("hosts"))
+    recur = seen.where((F.col("kind") == 4) & (F.col("n") >= RECUR_PAGES) & (F.col("n") >= F.col("pages") * RECUR_SHARE))
+    many = recur.groupBy("key").agg(F.countDistinct("host").alias("n")).join(F.broadcast(hosts)).where((F.col("n") >= LEAST_HOSTS) & (F.col("n") >= F.col("hosts") * HOST_SHARE)).select("key")
+    common = seen.where("kind = 4").join(many, "key", "left_semi").select("host", "field", "key")
+    return often.unionByName(common).distinct()
 
 
 def wrappers(surveyed: DataFrame) -> DataFrame:
@@ -211,39 +336,47 @@ def wrappers(surveyed: DataFrame) -> DataFrame:
     schema = "host string, field string, wrapper string"
     partial = surveyed.where("kind = 2").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     folded = partial.groupBy("host", "field", "salt").applyInPandas(_fold, schema).groupBy("host", "field").applyInPandas(_fold, schema)
-    sizes = surveyed.where("kind = 0").select("host", "field", "page").distinct().groupBy("host", "field").agg(F.count("*").alias("pages"))
-    seen = surveyed.where("kind in (1, 4)").select("host", "field", "key", "page").distinct().groupBy("host", "field", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    often = seen.join(sizes, ["host", "field"]).where(F.col("n") >= F.col("pages") * SHARE).groupBy("host", "field").agg(F.collect_list("key").alias("constants"))
-    return folded.join(often, ["host", "field"], "left")
-
-
-def with_wrappers(fetches: DataFrame, found: DataFrame) -> DataFrame:
-    """The fetches with (page_wrapper, page_constants, export_wrapper, export_constants), joined by host."""
-    found = checkpointed(found)
-    wide = found.groupBy("host").agg(
-        *(F.first(F.when(F.col("field") == field, F.col(c)), ignorenulls=True).alias(f"{short}_{c}") for field, short in zip(FIELDS, ("page", "export")) for c in ("wrapper", "constants"))
-    )
-    size = found.agg(F.sum(F.length("wrapper") + 8 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0] or 0
-    rows = fetches.select("fetch_id", host_key().alias("host"), *FIELDS)
-    return rows.join(F.broadcast(wide) if size <= BROADCAST_BYTES else wide, "host", "left")
+    return folded.join(constants(surveyed).groupBy("host", "field").agg(F.collect_list("key").alias("constants")), ["host", "field"], "left")
 
 
 class Reader:
-    """Splits pages by wrapper; keeps what it parsed of the wrappers of hosts met."""
+    """Finds the wrapper and constants of a host and field; keeps what it parsed of hosts met."""
 
-    def __init__(self, common: frozenset[int] = frozenset()):
-        self.common = common
-        self.known: dict[int, tuple[Roles, frozenset[int]]] = {}
+    def __init__(self, every: dict | None = None):
+        self.every = every
+        self.known: dict = {}
 
-    def roles(self, wrapper: str | None, constants: list[int] | None) -> tuple[Roles, frozenset[int]]:
-        key = hash((wrapper, tuple(constants or ())))
-        if (out := self.known.get(key)) is None:
+    def find(self, host: str, field: str, wrapper: str | None = None, constants: list[int] | None = None) -> tuple[Node | None, frozenset[int]]:
+        if (out := self.known.get((host, field))) is None:
             if len(self.known) > 2000:
                 self.known.clear()
-            out = self.known[key] = Roles(load(wrapper) if wrapper else []), self.common.union(constants or ())
+            if self.every is not None:
+                wrapper, constants = self.every.get((host, field), (None, None))
+            out = self.known[host, field] = load(wrapper) if wrapper else None, frozenset(constants if constants is not None else ())
         return out
 
 
-def map_pages(joined: DataFrame, make: Callable, schema: str) -> DataFrame:
-    columns = ["fetch_id", *FIELDS, "page_wrapper", "page_constants", "export_wrapper", "export_constants"]
-    return map_batches(joined.select(*columns), make, schema)
+def map_pages(fetches: DataFrame, found: DataFrame, make: Callable, schema: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Run ``make(find)`` over batches of (fetch_id, host, page_html, export_view_html), with a function find(row, field) of its wrapper and constants.
+
+    Wrappers of up to BROADCAST_BYTES are broadcast once to each executor, beyond that they are joined to the pages by host.
+    """
+    found = checkpointed(found)
+    spark = fetches.sparkSession
+    rows = fetches.select("fetch_id", host_key().alias("host"), *(F.col(f) if f in fields else F.lit(None).cast("string").alias(f) for f in FIELDS))
+    size = found.agg(F.sum(F.length("wrapper") + 8 * F.greatest(F.coalesce(F.size("constants"), F.lit(0)), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        every = spark.sparkContext.broadcast({(r[0], r[1]): (r[2], r[3]) for r in found.select("host", "field", "wrapper", "constants").collect()})
+
+        def local():
+            reader = Reader(every.value)
+            return make(lambda row, field: reader.find(row[1], field))
+
+        return map_batches(rows, local, schema)
+    wide = found.groupBy("host").agg(*(F.first(F.when(F.col("field") == f, F.col(c)), ignorenulls=True).alias(f"{f}_{c}") for f in fields for c in ("wrapper", "constants")))
+
+    def joined():
+        reader = Reader()
+        return make(lambda row, field: reader.find(row[1], field, *row[4 + 2 * fields.index(field) : 6 + 2 * fields.index(field)]))
+
+    return map_batches(rows.join(wide, "host", "left").select(*rows.columns, *(f"{f}_{c}" for f in fields for c in ("wrapper", "constants"))), joined, schema)

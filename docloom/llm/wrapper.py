@@ -1,140 +1,205 @@
-"""Union-free wrappers of the pages of one host, and how two of them are aligned.
-
-A page is read as a string of container tokens (see ``functions.markup``): a token for each stretch of text held by
-one container, named by the container's path.  A wrapper is a union-free expression over such tokens: a list of nodes,
-each of them a token or a repeated group, optional if not every page has it.  A group is a token that comes again, with
-what stands between its occurrences as optional nodes inside it.  Two wrappers are aligned by their longest common
-subsequence of names; what only one has becomes optional; nodes that match are merged, and so are their text slots, which keep the
-texts met most often (a slot whose texts recur is a constant of the template).  Merging needs neither
-order nor the pages, so a host is folded by many tasks and the results are folded again.
+"""Union-free wrappers of the pages of one host: inferred by alignment, and matched with a page.
+
+A page is a tree of containers (see ``functions.markup``), each with the text it holds itself: its slot.  A wrapper is a union-free expression
+over such trees: under each node a list of nodes in order, some repeated (siblings that come again are one group), some
+optional (not on every page).  Two wrappers are aligned level by level by the longest common subsequence of names; what only one
+has becomes optional; nodes that match are merged, and so are their slots.  A slot keeps sums and the BOTTOM texts of smallest hash
+with their counts, a sample of its distinct texts that doesn't depend on the order of merging.
+
+Nodes of one name at different places stay apart: it is the place in the expression that tells a teaser before the body from a
+call-out of the same mark-up in it.  Where a level has more than MOST_NODES nodes, as where names are made up for each page, the
+rarest are generalised to any name of their tag; nothing of them is lost but the name.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+from heapq import nsmallest
 
-#: Texts remembered for a slot, by the Misra-Gries rule, and names in a wrapper (more are summed up in role() only).
-SLOT_TEXTS, MOST_NODES = 24, 400
+BOTTOM, MOST_NODES = 16, 120
 #: A container inside the body is text if at most this share of it is links and recurring texts, and if its blocks are long.
 LINK_SHARE, RECURRING, BLOCK_CHARS = 0.35, 0.5, 38
+#: Share of pages on which a node holds a first heading, and of distinct texts among those, from which it is a place of titles.
+TITLED, VARIED = 0.2, 0.3
+#: Characters of varying prose a page from which a node without titles may be a body.
+LEAST_PROSE = 60
 
 
 class Node:
-    """One token of a wrapper: pages that have it and repeat it; sums over its text; its slot; nodes inside a group."""
+    """One node of a wrapper: pages that have it and repeat it; sums over its slot; samples of its texts and titles; the nodes in it in order, and those of any name by tag."""
 
-    __slots__ = ("name", "pages", "repeated", "titles", "blocks", "chars", "links", "texts", "inner")
+    __slots__ = ("name", "pages", "repeated", "titles", "blocks", "chars", "links", "texts", "heads", "inner", "other")
 
-    def __init__(self, name: str, pages=1, repeated=0, titles=0, blocks=0, chars=0, links=0, texts=None, inner=None):
+    def __init__(self, name: str, pages=1, repeated=0, titles=0, blocks=0, chars=0, links=0, texts=None, heads=None, inner=None, other=None):
         self.name, self.pages, self.repeated, self.titles = name, pages, repeated, titles
         self.blocks, self.chars, self.links = blocks, chars, links
-        self.texts: Counter = texts or Counter()
+        self.texts: dict[int, int] = texts or {}
+        self.heads: dict[int, int] = heads or {}
         self.inner: list[Node] = inner or []
+        self.other: dict[str, Node] = other or {}
 
     def dump(self) -> list:
-        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, dict(self.texts), [n.dump() for n in self.inner]]
+        pairs = lambda x: [v for pair in x.items() for v in pair]
+        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, pairs(self.texts), pairs(self.heads), [n.dump() for n in self.inner], [n.dump() for n in self.other.values()]]
 
     @staticmethod
     def load(x: list) -> Node:
-        return Node(*x[:7], Counter(x[7]), [Node.load(n) for n in x[8]])
+        pairs = lambda v: dict(zip(v[::2], v[1::2]))
+        return Node(*x[:7], pairs(x[7]), pairs(x[8]), [Node.load(n) for n in x[9]], {n[0]: Node.load(n) for n in x[10]})
 
     def absorb(self, other: Node, same_page: bool) -> None:
-        if not same_page:
-            self.pages += other.pages
-            self.repeated += other.repeated
-            self.titles += other.titles
+        if same_page:
+            self.repeated, self.titles = 1, max(self.titles, other.titles)
         else:
-            self.repeated = 1
-            self.titles = max(self.titles, other.titles)
+            self.pages, self.repeated, self.titles = self.pages + other.pages, self.repeated + other.repeated, self.titles + other.titles
         self.blocks, self.chars, self.links = self.blocks + other.blocks, self.chars + other.chars, self.links + other.links
-        self.texts.update(other.texts)
-        if len(self.texts) > SLOT_TEXTS:
-            over = sorted(self.texts.values(), reverse=True)[SLOT_TEXTS]
-            self.texts = Counter({t: n - over for t, n in self.texts.items() if n > over})
+        self.texts, self.heads = bottom(self.texts, other.texts), bottom(self.heads, other.heads)
+        for tag, node in other.other.items():
+            self.generalise(node, tag, same_page)
         self.inner = align(self.inner, other.inner, same_page)
+        if len(self.inner) > MOST_NODES:
+            rare = sorted(range(len(self.inner)), key=lambda i: (self.inner[i].pages, self.inner[i].name, i))[: len(self.inner) - MOST_NODES // 2]
+            for i in rare:
+                self.generalise(self.inner[i], tag_of(self.inner[i].name), False)
+            gone = set(rare)
+            self.inner = [n for i, n in enumerate(self.inner) if i not in gone]
+
+    def generalise(self, node: Node, tag: str, same_page: bool) -> None:
+        if (known := self.other.get(tag)) is None:
+            node.name = tag
+            self.other[tag] = node
+        else:
+            known.absorb(node, same_page)
 
+    # --- what the sums say ---------------------------------------------------------------------------------------------
 
-def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
-    """The nodes of both: matched ones merged, the others in their order as optional nodes.  ``a`` is used up."""
-    if not a or not b:
-        return a or b
-    if [n.name for n in a] == [n.name for n in b]:
-        for x, y in zip(a, b):
-            x.absorb(y, same_page)
-        return a
-    rows, columns = len(a), len(b)
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    for i in range(rows - 1, -1, -1):
-        for j in range(columns - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].name == b[j].name else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < rows and j < columns:
-        if a[i].name == b[j].name:
-            a[i].absorb(b[j], same_page)
-            out.append(a[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i])
-            i += 1
-        else:
-            out.append(b[j])
-            j += 1
-    return (out + a[i:] + b[j:])[:MOST_NODES]
-
-
-def collapse(run: list[Node]) -> list[Node]:
-    """A page's tokens as nodes: what stands between two tokens of one name goes into the first, which repeats.
-
-    A container within the one before it goes into it too, wherever that goes on afterwards.
-    """
-    out: list[Node] = []
-    for node in run:
-        back = next((k for k in range(len(out) - 1, -1, -1) if out[k].name == node.name), None)
-        if back is not None:
-            head = out[back]
-            head.inner = align(head.inner, collapse(out[back + 1 :]), True)
-            del out[back + 1 :]
-            head.absorb(node, True)
-        elif out and out[-1].name and node.name.startswith(out[-1].name + ">"):
-            out[-1].inner = align(out[-1].inner, [node], True)
-        else:
-            out.append(node)
-    return out
+    def recurring(self) -> float:
+        """Share of the slot's texts, by the sample, that came before."""
+        held = sum(self.texts.values())
+        return sum(c for c in self.texts.values() if c > 1) / held if held else 0.0
 
+    def prose(self) -> float:
+        """Characters a page of text that varies and is no link."""
+        return (self.chars - self.links) * (1 - self.recurring()) / self.pages
 
-def dump(nodes: list[Node]) -> str:
-    return json.dumps([n.dump() for n in nodes], separators=(",", ":"), ensure_ascii=False)
+    def is_title(self) -> bool:
+        """Whether titles stand here: first headings on enough pages, and not the same on all (the site's name)."""
+        held = sum(self.heads.values())
+        return self.titles >= TITLED * self.pages and held > 0 and len(self.heads) >= (VARIED * min(held, BOTTOM) if held > 1 else 1)
 
+    def is_text(self) -> bool:
+        return self.links <= LINK_SHARE * self.chars and self.chars >= BLOCK_CHARS * self.blocks and self.recurring() <= RECURRING
 
-def load(source: str) -> list[Node]:
-    return [Node.load(x) for x in json.loads(source)]
 
+def tag_of(name: str) -> str:
+    return name.partition("[")[0]
 
-class Roles:
-    """What the parts of a wrapper are: ``body`` names the containers that hold titles, ``text`` further containers of text in those."""
 
-    def __init__(self, nodes: list[Node]):
-        total: dict[str, Node] = {}
+def bottom(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    """Counts by hash of both, for the BOTTOM smallest hashes: the same for any order of merging."""
+    if not b:
+        return a
+    out = dict(a)
+    for key, n in b.items():
+        out[key] = out.get(key, 0) + n
+    return out if len(out) <= BOTTOM else {k: out[k] for k in nsmallest(BOTTOM, out)}
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of names."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    out = [(i, i) for i in range(head)]
+    common = set(x).intersection(y)
+    if common:
+        at, bt = [i for i, n in enumerate(x) if n in common], [j for j, n in enumerate(y) if n in common]
+        rows, columns = len(at), len(bt)
+        best = [[0] * (columns + 1) for _ in range(rows + 1)]
+        for i in range(rows - 1, -1, -1):
+            own, below, name = best[i], best[i + 1], x[at[i]]
+            for j in range(columns - 1, -1, -1):
+                own[j] = below[j + 1] + 1 if name == y[bt[j]] else below[j] if below[j] >= own[j + 1] else own[j + 1]
+        i = j = 0
+        while i < rows and j < columns:
+            if x[at[i]] == y[bt[j]]:
+                out.append((head + at[i], head + bt[j]))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
-        def add(node: Node) -> None:
-            own = total.get(node.name)
-            if own is None:
-                own = total[node.name] = Node(node.name, 0)
-            own.pages += node.pages
-            own.titles += node.titles
-            own.blocks += node.blocks
-            own.chars += node.chars
-            own.links += node.links
-            own.texts.update(node.texts)
-            for inner in node.inner:
-                add(inner)
 
+def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
+    """The nodes of both in order: matched ones merged, the others optional.  ``a`` and ``b`` are used up."""
+    if not a or not b:
+        return a or b
+    out, i, j = [], 0, 0
+    for x, y in matched([n.name for n in a], [n.name for n in b]):
+        out += a[i:x] + b[j:y]
+        a[x].absorb(b[y], same_page)
+        out.append(a[x])
+        i, j = x + 1, y + 1
+    return out + a[i:] + b[j:]
+
+
+def grouped(nodes: list[Node]) -> list[Node]:
+    """Siblings of a page with runs of one or two names that come again at once made one repeated group."""
+    for width in (1, 2):
+        out: list[Node] = []
         for node in nodes:
-            add(node)
-        self.body = {name for name, n in total.items() if n.titles * 5 >= n.pages}
-        self.text = {name for name, n in total.items() if name not in self.body and self._is_text(n) and any(name.startswith(b + ">") for b in self.body)}
+            out.append(node)
+            while len(out) >= 2 * width and [n.name for n in out[-width:]] == [n.name for n in out[-2 * width : -width]]:
+                for head, again in zip(out[-2 * width : -width], out[-width:]):
+                    head.absorb(again, True)
+                del out[-width:]
+        nodes = out
+    return nodes
+
+
+def match(page: Node, wrapper: Node, pairs: list[tuple[Node, Node | None]]) -> None:
+    """Walk a page's tree along a wrapper: ``pairs`` gets each of the page's nodes with that of the wrapper in its place, or None."""
+    pairs.append((page, wrapper))
+    names = []
+    for k, node in enumerate(page.inner):
+        if not k or node.name != names[-1]:
+            names.append(node.name)
+    # a run of equal siblings stands for one repeated group
+    place = dict((j, wrapper.inner[i]) for i, j in matched([n.name for n in wrapper.inner], names)) if wrapper else {}
+    run = -1
+    for k, node in enumerate(page.inner):
+        if not k or node.name != page.inner[k - 1].name:
+            run += 1
+        own = place.get(run)
+        if own is None and wrapper:
+            own = wrapper.other.get(tag_of(node.name))
+            if own is None:
+                # a repeated group of several names: any node of that name at this level, if there is but one
+                same = [n for n in wrapper.inner if n.name == node.name]
+                own = same[0] if len(same) == 1 else None
+        if own is None:
+            unmatched(node, pairs)
+        else:
+            match(node, own, pairs)
 
-    @staticmethod
-    def _is_text(n: Node) -> bool:
-        recurring = sum(c for c in n.texts.values() if c > 1)
-        return n.links <= LINK_SHARE * n.chars and n.chars >= BLOCK_CHARS * n.blocks and recurring <= RECURRING * n.blocks
+
+def unmatched(node: Node, pairs: list[tuple[Node, Node | None]]) -> None:
+    pairs.append((node, None))
+    for inner in node.inner:
+        unmatched(inner, pairs)
+
+
+def dump(node: Node) -> str:
+    return json.dumps(node.dump(), separators=(",", ":"), ensure_ascii=False)
+
+
+def load(source: str) -> Node:
+    return Node.load(json.loads(source))
