@@ -10,6 +10,10 @@ Folded are full-width and half-width forms, ligatures, spaces of other kinds, le
 and characters that show nothing, which vanish.  Kept apart are case, accents, digits, raised digits, fractions,
 the number of spaces, and the kinds of quotes and dashes.  A joiner between two pictographs is kept, as it shows.
 
+Two forms come of it.  The *skeleton*, for comparison, makes every letter drawn like a Latin one Latin, in words of other scripts too, so that any two
+spellings meet.  The *canonical* text, to train on, leaves words their script: a word with a letter that no Latin one looks like is written in that
+letter's script throughout, one of look-alikes only in the script that such letters of the whole text have, or Latin without any.
+
 Null stays null, and an empty text stays empty; neither takes part in pairs.  Extra columns are ignored.
 """
 
@@ -26,6 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrowmap import map_batches
+from docloom.session import checkpointed
+
+#: Rows of one spelling that a task pairs with another.
+DEAL = 1000
 
 #: Letters of other scripts that are drawn like Latin ones, and the Latin ones.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwl")
@@ -37,6 +45,9 @@ SHOWING = [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x1
 SELECTORS = [0x34F, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 PICTOGRAPH = "[☀-➿⬀-⯿\U0001f000-\U0001faff]"
 OGHAM_SPACE, JOINER = 0x1680, 0x200D
+#: Blocks of the scripts of the tables above, by their first and last letters.
+SCRIPTS = {"cyrillic": ("Ѐ", "ԯ"), "greek": ("Ͱ", "Ͽ"), "armenian": ("Ա", "֏"), "cherokee": ("Ꭰ", "Ᏽ")}
+LETTERS = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
@@ -83,7 +94,7 @@ def unstable() -> str:
 
 
 class Canonical:
-    """The consistent form of texts."""
+    """The skeleton of texts."""
 
     def __init__(self, fold: dict[int, str] | None = None, pattern: str | None = None):
         self.fold = fold or folding()
@@ -108,28 +119,75 @@ class Canonical:
         return "".join([*out, text[done:]]) if out else text
 
 
+class InScript:
+    """The canonical text: consistent, with every word in one script."""
+
+    def __init__(self, fold: dict[int, str] | None = None, pattern: str | None = None):
+        fold = dict(fold or folding())
+        self.tables = {}
+        for name, (letters, latin) in {"cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "cherokee": CHEROKEE}.items():
+            self.tables[name] = dict(zip(letters, latin)), {b: a for a, b in reversed(list(zip(letters, latin)))}
+            for letter in letters:
+                fold.pop(ord(letter), None)
+        self.form = Canonical(fold, pattern)
+        self.foreign = re.compile("[" + "".join(f"{a}-{b}" for a, b in SCRIPTS.values()) + "]")
+
+    def __call__(self, text: str) -> str:
+        text = self.form(text)
+        if not self.foreign.search(text):
+            return text
+        own = dict.fromkeys(SCRIPTS, 0)
+        for char in self.foreign.findall(text):
+            name = self.script(char)
+            own[name] += char not in self.tables[name][0]
+        most = max(own, key=own.get)
+        return unicodedata.normalize("NFC", LETTERS.sub(lambda m: self.word(m[0], most if own[most] else None), text))
+
+    @staticmethod
+    def script(char: str) -> str | None:
+        return next((name for name, (a, b) in SCRIPTS.items() if a <= char <= b), None)
+
+    def word(self, word: str, most: str | None) -> str:
+        if not self.foreign.search(word):
+            return word
+        chars = unicodedata.normalize("NFD", word)
+        kinds = [self.script(c) for c in chars]
+        # what only one script has settles the word; then a Latin letter that no other script has a like of
+        sure = next((k for c, k in zip(chars, kinds) if k and c not in self.tables[k][0]), None)
+        if sure is None and most is not None and all(k == most or c in self.tables[most][1] or unicodedata.combining(c) for c, k in zip(chars, kinds)):
+            sure = most
+        if sure is None:
+            return unicodedata.normalize("NFC", "".join(self.tables[k][0].get(c, c) if k else c for c, k in zip(chars, kinds)))
+        if any(k is None and not unicodedata.combining(c) and c not in self.tables[sure][1] for c, k in zip(chars, kinds)):
+            return word  # truly of two scripts
+        back = self.tables[sure][1]
+        return unicodedata.normalize("NFC", "".join(c if k == sure else back.get(self.tables[k][0].get(c, c) if k else c, c) for c, k in zip(chars, kinds)))
+
+
 def digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def canonical_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, canonical) of each row: the consistent form of its text, null for null."""
+    """(key, canonical, skeleton) of each row: the canonical form of its text, and a digest (hexadecimal) of its skeleton; null for null."""
     kind, fold, pattern = df.schema[key].dataType.simpleString(), folding(), unstable()
 
     def make():
-        form = Canonical(fold, pattern)
+        form, write = Canonical(fold, pattern), InScript(fold, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            forms = [x if x is None else form(x) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=[key, "canonical"])
+            values = batch.column(1).to_pylist()
+            forms = [x if x is None else write(x) for x in values]
+            bones = [x if x is None else digest(form(x)).hex() for x in values]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), pa.array(bones, pa.string())], names=[key, "canonical", "skeleton"])
 
         return step
 
-    return map_batches(df.select(key, text), make, f"`{key}` {kind}, canonical string")
+    return map_batches(df.select(key, text), make, f"`{key}` {kind}, canonical string, skeleton string")
 
 
 def lookalike_keys(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, form, own): digests of the consistent form and of the text itself; no row for null or empty texts."""
+    """(key, form, own): digests of the skeleton and of the text itself; no row for null or empty texts."""
     kind, fold, pattern = df.schema[key].dataType.simpleString(), folding(), unstable()
 
     def make():
@@ -148,18 +206,35 @@ def lookalike_keys(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_batches(df.where(F.length(text) > 0).select(key, text), make, f"`{key}` {kind}, form binary, own binary")
 
 
+def lookalike_spellings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(form, own, key), written once: the rows whose skeleton has several spellings."""
+    rows = checkpointed(lookalike_keys(df, key, text).distinct())
+    several = rows.groupBy("form").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("form")
+    return checkpointed(rows.join(several, "form").select("form", "own", key))
+
+
+def lookalike_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, spelling, spellings, members): each row whose text has look-alikes, with the smallest key of its class and of its spelling, and what these hold.
+
+    The same for any size of class: copies and spellings are never paired.
+    """
+    rows = lookalike_spellings(df, key, text)
+    own = rows.groupBy("form", "own").agg(F.min(key).alias("spelling"), F.count("*").alias("members"))
+    whole = own.groupBy("form").agg(F.min("spelling").alias("class_id"), F.count("*").cast("int").alias("spellings"), F.sum("members").alias("members"))
+    return rows.join(own.drop("members"), ["form", "own"]).join(whole, "form").select(key, "class_id", "spelling", "spellings", "members")
+
+
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key_a, key_b), smaller first: rows whose texts have one consistent form but differ in characters.
+    """(key_a, key_b), smaller first: rows whose texts have one skeleton but differ in characters.
 
-    Only forms with several spellings are joined.  Spellings are paired, not rows: copies of one spelling meet the
-    copies of another by equi-joins on (form, spelling), whose tasks can be split, and never meet each other.
+    Only skeletons with several spellings are joined.  Spellings are paired, not rows: copies of one spelling meet the copies of another, those of
+    the first dealt to tasks of DEAL rows, and never meet each other.
     """
-    rows = lookalike_keys(df, key, text)
-    several = rows.groupBy("form").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("form")
-    rows = rows.join(several, "form")
-    spellings = rows.select("form", "own").distinct()
-    pairs = spellings.join(spellings.withColumnRenamed("own", "other"), "form").where("own < other")
-    a = rows.select("form", "own", F.col(key).alias("a"))
-    b = rows.select("form", F.col("own").alias("other"), F.col(key).alias("b"))
-    met = pairs.join(a, ["form", "own"]).join(b, ["form", "other"])
+    rows = lookalike_spellings(df, key, text)
+    own = rows.groupBy("form", "own").agg(F.count("*").alias("copies"))
+    other = own.select("form", F.col("own").alias("other"))
+    pairs = own.join(other, "form").where("own < other").select("form", "own", "other", F.ceil(F.col("copies") / DEAL).cast("int").alias("deals"))
+    a = pairs.join(rows.select("form", "own", F.col(key).alias("a")), ["form", "own"]).withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
+    b = pairs.select("form", "own", "other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).join(rows.select("form", F.col("own").alias("other"), F.col(key).alias("b")), ["form", "other"])
+    met = a.join(b, ["form", "own", "other", "deal"])
     return met.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).where(f"{key}_a <> {key}_b").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docloom.functions.arrowmap import map_batches
 from docloom.functions.markup import BLANK, HEADINGS, NUMBER, Element, Piece, pieces
 from docloom.llm.repeated_lines import site_of
-from docloom.llm.wrapper import LEAST_PROSE, Node, bottom, dump, grouped, load, match
+from docloom.llm.wrapper import LEAST_PROSE, Node, dump, grouped, load, match
 from docloom.session import checkpointed
 
 FIELDS = ("page_html", "export_view_html")
@@ -44,12 +44,23 @@ SHORT, LEAST_HOSTS, HOST_SHARE, RECUR_PAGES, RECUR_SHARE = 60, 3, 0.05, 2, 0.01
 TITLE_ONLY = 40
 
 
+#: Texts whose hashes a process remembers: links and notices come on every page.
+REMEMBERED = 200_000
+_hashes: dict[str, int] = {}
+
+
 def hashed(text: str) -> int:
     """A 62-bit hash of a text without regard to case and blanks, and in short texts to the values of numbers."""
-    text = BLANK.sub(" ", text).strip()
-    if len(text) <= SHORT:
-        text = NUMBER.sub("#", text)
-    return int.from_bytes(blake2b(text.lower().encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 2
+    if (own := _hashes.get(text)) is None:
+        if len(_hashes) > REMEMBERED:
+            _hashes.clear()
+        plain = BLANK.sub(" ", text).strip()
+        if len(plain) <= SHORT:
+            plain = NUMBER.sub("#", plain)
+        own = int.from_bytes(blake2b(plain.lower().encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 2
+        if len(text) <= 2 * SHORT:
+            _hashes[text] = own
+    return own
 
 
 class Unit:
@@ -86,30 +97,39 @@ def units_of(html: str) -> list[Unit]:
 
 
 class Page:
-    """A page's units, and its tree of containers with the sums of their slots."""
+    """A page's units, and its tree of containers; ``sums`` fills in what their slots hold."""
 
     def __init__(self, units: list[Unit]):
         self.units = units
         self.root = Node("")
         self.nodes: dict[Element, Node] = {}
         for unit in units:
-            node, block, plain = self.node(unit.container), None, 0
+            self.node(unit.container)
+        self.summed = False
+
+    def sums(self) -> Page:
+        if self.summed:
+            return self
+        self.summed = True
+        for unit in self.units:
+            node, block = self.nodes[unit.container], None
             for p in unit.pieces:
                 size = len(p.text)
                 node.chars += size
                 if p.element.link:
                     node.links += size
-                else:
-                    plain += size
                 if p.element.block is not block:
                     block = p.element.block
                     node.blocks += 1
-            # of a paragraph the whole, of other units the first block stands for its text
-            node.texts = bottom(node.texts, {hashed(unit.pieces[0].text): 1})
+            # the first piece stands for a unit's text
+            key = hashed(unit.pieces[0].text) >> 22
+            node.texts[key] = node.texts.get(key, 0) + 1
             if unit.tag == "h1":
                 node.titles = 1
                 # numbers count here: titles may differ in nothing else
-                node.heads = bottom(node.heads, {int.from_bytes(blake2b(" ".join(p.text for p in unit.pieces).encode("utf-8", "replace"), digest_size=7).digest(), "big"): 1})
+                key = int.from_bytes(blake2b(" ".join(p.text for p in unit.pieces).encode("utf-8", "replace"), digest_size=5).digest(), "big")
+                node.heads[key] = node.heads.get(key, 0) + 1
+        return self
 
     def node(self, container: Element) -> Node:
         if (node := self.nodes.get(container)) is None:
@@ -159,6 +179,8 @@ class Matched:
         page = Page(units)
         pairs: list[tuple[Node, Node | None]] = []
         match(page.root, wrapper, pairs)
+        if any(w is None for _, w in pairs):
+            page.sums()  # places the wrapper hasn't are judged by the page alone
         own = {id(n): w or n for n, w in pairs}
         self.place = {c: own[id(n)] for c, n in page.nodes.items()}
         self.body, self.title = None, None
@@ -246,7 +268,7 @@ class Survey:
                     continue
                 key = (host, field)
                 rows[host, field, 0, 0, page, None] = None
-                own = Page(units).wrapper()
+                own = Page(units).sums().wrapper()
                 if key in self.wrappers:
                     self.wrappers[key].absorb(own, False)
                 else:

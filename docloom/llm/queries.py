@@ -80,10 +80,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_groups(table(spark, d, "documents"))
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_text(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_canonical]
+    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_groups, p8_canonical]
     return {f.__name__: f for f in own}

@@ -111,25 +111,27 @@ def whole(heading: str = "heading", content: str = "raw_content") -> Column:
 
 
 def split_oversized(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, text: bool = True) -> DataFrame:
-    """(section_id, piece_no, pieces, start, length[, piece]) of every section over the limit; the small ones stay in the JVM, unread."""
+    """(section_id, piece_no, pieces, start, length[, piece]) of every section over the limit; the small ones stay in the JVM, unread.
+
+    Were an id to come with different texts, each would be split."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap has to be smaller than the limit")
-    rows = sections.select("section_id", whole().alias("whole")).where(F.length("whole") > limit)
+    rows = sections.select("section_id", whole().alias("whole")).where(F.length("whole") > limit).select("section_id", "whole", F.xxhash64("whole").alias("text_hash"))
     kind = sections.schema["section_id"].dataType.simpleString()
-    schema = f"section_id {kind}, piece_no int, pieces int, start int, length int" + ", piece string" * text
+    schema = f"text_hash bigint, section_id {kind}, piece_no int, pieces int, start int, length int" + ", piece string" * text
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(5 + text)]
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[] for _ in range(6 + text)]
+            for key, value, own in zip(*(c.to_pylist() for c in batch.columns)):
                 found = pieces(value, limit, overlap)
                 for i, (a, b) in enumerate(found):
-                    for column, x in zip(out, (key, i, len(found), a, b - a, value[a:b])):
+                    for column, x in zip(out, (own, key, i, len(found), a, b - a, value[a:b])):
                         column.append(x)
-            kinds = [batch.schema.field(0).type, *[pa.int32()] * 4, pa.string()]
-            names = ["section_id", "piece_no", "pieces", "start", "length", "piece"]
+            kinds = [pa.int64(), batch.schema.field(0).type, *[pa.int32()] * 4, pa.string()]
+            names = ["text_hash", "section_id", "piece_no", "pieces", "start", "length", "piece"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names[: len(out)])
 
         return step
 
-    return map_batches(rows, make, schema).dropDuplicates(["section_id", "piece_no"])
+    return map_batches(rows, make, schema).dropDuplicates(["section_id", "text_hash", "piece_no"]).drop("text_hash")

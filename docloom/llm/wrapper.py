@@ -40,7 +40,7 @@ class Node:
 
     def dump(self) -> list:
         pairs = lambda x: [v for pair in x.items() for v in pair]
-        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, pairs(self.texts), pairs(self.heads), [n.dump() for n in self.inner], [n.dump() for n in self.other.values()]]
+        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, pairs(bottom(self.texts)), pairs(bottom(self.heads)), [n.dump() for n in self.inner], [n.dump() for n in self.other.values()]]
 
     @staticmethod
     def load(x: list) -> Node:
@@ -53,7 +53,7 @@ class Node:
         else:
             self.pages, self.repeated, self.titles = self.pages + other.pages, self.repeated + other.repeated, self.titles + other.titles
         self.blocks, self.chars, self.links = self.blocks + other.blocks, self.chars + other.chars, self.links + other.links
-        self.texts, self.heads = bottom(self.texts, other.texts), bottom(self.heads, other.heads)
+        self.texts, self.heads = joined(self.texts, other.texts), joined(self.heads, other.heads)
         for tag, node in other.other.items():
             self.generalise(node, tag, same_page)
         self.inner = align(self.inner, other.inner, same_page)
@@ -75,8 +75,9 @@ class Node:
 
     def recurring(self) -> float:
         """Share of the slot's texts, by the sample, that came before."""
-        held = sum(self.texts.values())
-        return sum(c for c in self.texts.values() if c > 1) / held if held else 0.0
+        counts = bottom(self.texts).values()
+        held = sum(counts)
+        return sum(c for c in counts if c > 1) / held if held else 0.0
 
     def prose(self) -> float:
         """Characters a page of text that varies and is no link."""
@@ -84,8 +85,9 @@ class Node:
 
     def is_title(self) -> bool:
         """Whether titles stand here: first headings on enough pages, and not the same on all (the site's name)."""
-        held = sum(self.heads.values())
-        return self.titles >= TITLED * self.pages and held > 0 and len(self.heads) >= (VARIED * min(held, BOTTOM) if held > 1 else 1)
+        counts = bottom(self.heads).values()
+        held = sum(counts)
+        return self.titles >= TITLED * self.pages and held > 0 and len(counts) >= (VARIED * min(held, BOTTOM) if held > 1 else 1)
 
     def is_text(self) -> bool:
         return self.links <= LINK_SHARE * self.chars and self.chars >= BLOCK_CHARS * self.blocks and self.recurring() <= RECURRING
@@ -95,14 +97,16 @@ def tag_of(name: str) -> str:
     return name.partition("[")[0]
 
 
-def bottom(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
-    """Counts by hash of both, for the BOTTOM smallest hashes: the same for any order of merging."""
-    if not b:
-        return a
-    out = dict(a)
+def bottom(counts: dict[int, int]) -> dict[int, int]:
+    """The BOTTOM smallest hashes with their counts."""
+    return counts if len(counts) <= BOTTOM else {k: counts[k] for k in nsmallest(BOTTOM, counts)}
+
+
+def joined(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    """Counts of both, of the smallest hashes: the same for any order of merging, as what is left out has BOTTOM smaller ones.  ``a`` is used up."""
     for key, n in b.items():
-        out[key] = out.get(key, 0) + n
-    return out if len(out) <= BOTTOM else {k: out[k] for k in nsmallest(BOTTOM, out)}
+        a[key] = a.get(key, 0) + n
+    return a if len(a) <= 4 * BOTTOM else bottom(a)
 
 
 def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -134,7 +134,7 @@ def test_leakage_against_brute_force(spark):
         expected |= {(d, i) for d, p in padded.items() if any(u in p for u in units)}
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:3], "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in leakage.leaked_items(d, q).collect()} == expected and expected
-    assert {(x["doc_id"], x["item_id"]) for x in leakage.leaked_items(d, q, block_chars=200).collect()} == expected
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.leaked_items(d, q, broadcast_units=0).collect()} == expected
     assert leakage.leaked_items(d, q.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), q).count() == 0
 
 
@@ -168,4 +168,44 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as form", "2 as own")
     assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     assert {r["doc_id"]: r["canonical"] for r in lookalike.canonical_text(df).collect()} == {1: "abc", 2: "abc", 3: "abc", 4: "abc", 5: "Abc", 6: None, 7: "", 8: ""}
+    skeletons = {r["doc_id"]: r["skeleton"] for r in lookalike.canonical_text(df).collect()}
+    assert skeletons[1] == skeletons[2] == skeletons[3] == skeletons[4] != skeletons[5] and skeletons[6] is None
+    assert {tuple(r) for r in lookalike.lookalike_groups(df).collect()} == {(1, 1, 1, 3, 4), (2, 1, 2, 3, 4), (3, 1, 1, 3, 4), (4, 1, 4, 3, 4)}
+    assert lookalike.lookalike_groups(df.limit(0)).count() == 0
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+
+
+def test_pairs_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "DEAL", 7)
+    rows = [(i, "abc") for i in range(60)] + [(100 + i, "аbc") for i in range(30)] + [(200, "aЬc")]
+    got = [tuple(r) for r in lookalike.lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, 100 + b) for a in range(60) for b in range(30)}
+
+
+def test_canonical_text_keeps_words_in_their_script():
+    write = lookalike.InScript()
+    assert write("рок и шоk") == "рок и шоk"  # two scripts, truly
+    assert write("пaпка рок") == "папка рок"  # Latin a in a Cyrillic word; a word of look-alikes in a Cyrillic text
+    assert write("сору the file") == "copy the file"  # look-alikes alone in a Latin text
+    assert write("pаssword") == "password" and write("ＡＢ é") == "AB é"
+    assert write("Ελλάδα και Oλα") == "Ελλάδα και Ολα"
+    assert write("ёлка") == "ёлка" and write("") == ""
+    r = random.Random(11)
+    for _ in range(300):
+        text = "".join(r.choice("aсbоpшжλο é-") for _ in range(r.randrange(20)))
+        assert write(write(text)) == write(text) and lookalike.Canonical()(write(text)) == lookalike.Canonical()(text)
+
+
+def test_an_id_with_two_texts_is_split_twice(spark):
+    df = spark.createDataFrame([(1, "a", "x " * 1500), (1, "a", "y " * 2500), (1, "a", "x " * 1500)], "section_id long, heading string, raw_content string")
+    got = splitting.split_oversized(df).collect()
+    assert sorted(r["pieces"] for r in got) == [2, 2, 3, 3, 3]
+
+
+def test_units_of_many_items_and_a_text_of_one_unit(spark):
+    unit = " ".join(WORDS)
+    d = spark.createDataFrame([(1, f"{unit} . {unit}"), (2, f"{unit} " * 50), (3, "x")], "doc_id long, text string")
+    q = spark.createDataFrame([(i, unit) for i in range(200)] + [(500, "x")], "item_id long, text string")
+    for most in (10**6, 0):
+        got = {(r["doc_id"], r["item_id"], r["places"]) for r in leakage.leaked_items(d, q, broadcast_units=most).collect()}
+        assert {(1, i, 2) for i in range(200)} | {(3, 500, 1)} <= got and len(got) == 401 and {r[2] for r in got if r[0] == 2} == {50}
