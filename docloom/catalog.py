@@ -13,7 +13,9 @@ from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import answers as A
 from docloom.operators import crawl, extract, html_markdown, search, tree
-from docloom.session import checkpointed
+from docloom.operators import index as indexes
+from docloom.questions import QUESTIONS
+from docloom.session import kept
 from docloom.sources import table
 
 FLAGSHIP = "hybrid_search"
@@ -42,6 +44,21 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text").dropDuplicates(["query_id"])
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation items, questions of each intent, and one for the output of installing the first name that a helm command installs."""
+    own = spark.createDataFrame([(-1 - i, text) for i, text in enumerate(QUESTIONS)], "query_id long, text string")
+    return asked(spark, d).unionByName(own).unionByName(install_questions(spark, d).orderBy("text").limit(1).withColumn("query_id", F.lit(-100).cast("bigint")))
+
+
+def index_of(spark: SparkSession, d: str) -> indexes.Index:
+    """The stored index of the sections, built by the application's first query that needs it."""
+    return indexes.engine(spark).index(f"{d}/sections.parquet")
+
+
+def batch_of(spark: SparkSession, d: str, rows: DataFrame | None = None) -> search.Batch:
+    return search.understood(kept(questions(spark, d)) if rows is None else rows, index_of(spark, d))
+
+
 def first_domain(found: DataFrame) -> str:
     return found.where(U.authority("url") != "").agg(F.min(U.authority("url"))).first()[0] or ""
 
@@ -282,29 +299,45 @@ def section_structural_neighbours(spark, d):
 # --- retrieval --------------------------------------------------------------------------------------------------
 
 
+@query
+def index_build(spark, d):
+    """Builds the index anew and tells what its tables hold."""
+    own = indexes.build_index(table(spark, d, "sections"))
+    held = own.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.sum("weight").alias("weights"))
+    more = [own.terms.agg(F.count("*").alias("terms")), own.keys.agg(F.count("*").alias("keys")), own.closure.agg(F.count("*").alias("closure"), F.count_if("useful").alias("useful"))]
+    for part in more:
+        held = held.join(part)  # one row each
+    return held.withColumn("sections", F.lit(own.count).cast("bigint"))
+
+
 @query
 def query_intents(spark, d):
-    return search.intents(asked(spark, d))
+    return search.intents(questions(spark, d))
 
 
 @query
 def query_subjects(spark, d):
-    return search.subjects(asked(spark, d), table(spark, d, "sections"))
+    return search.subjects(questions(spark, d), index_of(spark, d))
 
 
 @query
 def overlap_top(spark, d):
-    return search.ranked(search.overlap_scores(asked(spark, d), table(spark, d, "sections")), 10)
+    return search.ranked(search.overlap_scores(batch_of(spark, d)), 10)
+
+
+@query
+def subject_points(spark, d):
+    return search.subject_points(batch_of(spark, d))
 
 
 @query
 def lexical_search(spark, d):
-    return search.lexical_search(asked(spark, d), table(spark, d, "sections"))
+    return search.lexical_search(batch_of(spark, d))
 
 
 @query
 def bm25_search(spark, d):
-    return search.bm25_search(asked(spark, d), table(spark, d, "sections"))
+    return search.bm25_search(batch_of(spark, d))
 
 
 @query
@@ -320,92 +353,101 @@ def scores_minmax(spark, d):
 
 @query
 def ranks_fused(spark, d):
-    both = lexical_search(spark, d).select("query_id", "section_id", "rank").unionByName(bm25_search(spark, d).select("query_id", "section_id", "rank"))
+    batch = batch_of(spark, d)
+    both = search.lexical_search(batch).select("query_id", "section_id", "rank").unionByName(search.bm25_search(batch).select("query_id", "section_id", "rank"))
     return search.rrf(both).select("query_id", "section_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query
 def hybrid_ranking(spark, d):
-    return search.combined(asked(spark, d), table(spark, d, "sections"))
+    return search.combined(batch_of(spark, d))
 
 
 @query
 def anchor_sections(spark, d):
-    questions, sections = asked(spark, d), table(spark, d, "sections")
-    wanted = search.understood(questions, sections)
-    return search.anchors(questions, sections, checkpointed(search.combined(questions, sections, wanted=wanted)), wanted)
+    batch = batch_of(spark, d)
+    return search.anchors(batch, kept(search.combined(batch)))
 
 
 @query
 def hybrid_search(spark, d):
-    return search.hybrid_search(asked(spark, d), table(spark, d, "sections"))
-
+    return search.hybrid_search(batch_of(spark, d))
 
-def install_questions(spark, d, every: bool = True):
-    """A question for each name that a section's helm command installs: what comes out of installing it.
 
-    Its id is a hash of the name.  Without ``every`` it is the name's first section, and of names with the same one only the least is asked, as
-    the SQL of command_matches has it.
-    """
+def install_questions(spark, d):
+    """A question for each name that a section's helm command installs: what comes out of installing it.  Its id is a number made of the name."""
     rows = tree.nodes(table(spark, d, "sections"), "commands").select("section_id", F.explode("commands").alias("command"))
-    named = rows.select("section_id", F.regexp_extract("command", r"helm install ([a-zA-Z0-9._-]+)", 1).alias("name")).where("name <> ''")
-    names = named.select("name").distinct().select(F.xxhash64("name").alias("query_id"), "name") if every else named.groupBy("name").agg(F.min("section_id").alias("query_id")).groupBy("query_id").agg(F.min("name").alias("name"))
-    return names.select("query_id", F.concat(F.lit("what output should i expect when i install "), F.col("name")).alias("text"))
+    names = rows.select(F.regexp_extract("command", r"helm install ([a-zA-Z0-9._-]+)", 1).alias("name")).where("name <> ''").distinct()
+    key = F.conv(F.substring(F.md5("name"), 1, 12), 16, 10).cast("bigint")
+    return names.select(key.alias("query_id"), F.concat(F.lit("what output should i expect when i install "), F.col("name")).alias("text"))
 
 
 @query
 def command_matches(spark, d):
-    return search.command_matches(checkpointed(install_questions(spark, d, every=False)), table(spark, d, "sections"))
+    return search.command_matches(batch_of(spark, d, kept(install_questions(spark, d))))
 
 
 @query
 def output_bridge(spark, d):
-    return search.output_bridge(checkpointed(install_questions(spark, d)), table(spark, d, "sections"))
+    return search.output_bridge(batch_of(spark, d, kept(install_questions(spark, d))))
 
 
 @query
 def subject_tiers(spark, d):
-    sections = table(spark, d, "sections")
-    named = tree.nodes(sections, "heading").groupBy("heading").agg(F.min("section_id").alias("query_id")).select("query_id", F.col("heading").alias("subject"))
-    return A.subject_tiers(named, sections).groupBy("query_id", "tier").agg(F.count("*").alias("sections"))
+    batch = batch_of(spark, d)
+    return A.subject_tiers(search.lexical_search(batch), batch.wanted, batch.index)
+
+
+@query
+def require_filter(spark, d):
+    batch = batch_of(spark, d)
+    return A.requiring(kept(search.bm25_search(batch)), kept(search.subject_points(batch)), batch.index, "yamls")
 
 
 # --- answers ----------------------------------------------------------------------------------------------------
 
 
 def chosen(spark, d):
-    return checkpointed(bm25_search(spark, d).where("rank <= 10").select("query_id", "section_id", "rank"))
+    return kept(bm25_search(spark, d).where("rank <= 10").select("query_id", "section_id", "rank"))
 
 
 @query
 def answer_commands(spark, d):
-    return A.collected(chosen(spark, d), table(spark, d, "sections"), "commands")
+    return A.collected(chosen(spark, d), index_of(spark, d), "commands")
 
 
 @query
 def answer_sources(spark, d):
-    return A.sources(chosen(spark, d), table(spark, d, "sections"))
+    return A.sources(chosen(spark, d), index_of(spark, d))
 
 
 @query
 def answer_sentences(spark, d):
-    return A.best_sentences(chosen(spark, d), asked(spark, d), table(spark, d, "sections"))
+    return A.best_sentences(chosen(spark, d), questions(spark, d), index_of(spark, d))
 
 
 @query
 def answer_subtopics(spark, d):
     tops = tree.nodes(table(spark, d, "sections"), "level").where("level = 1").select(F.col("section_id").alias("query_id"), "section_id")
-    return A.by_subtopic(tops, table(spark, d, "sections"))
+    return A.by_subtopic(tops, index_of(spark, d))
+
+
+@query
+def answer_groups(spark, d):
+    batch = batch_of(spark, d)
+    found = kept(search.lexical_search(batch, 20))
+    return A.grouped_commands(batch, found.where("rank <= 10").select("query_id", "section_id", "rank"), kept(search.anchors(batch, found)))
 
 
 @query
 def answers(spark, d):
-    return A.answers(search.hybrid_search(asked(spark, d), table(spark, d, "sections")), asked(spark, d), table(spark, d, "sections"))
+    batch = batch_of(spark, d)
+    return A.answers(batch, search.hybrid_search(batch))
 
 
 @query
 def answer_prompts(spark, d):
-    return A.prompts(chosen(spark, d), asked(spark, d), table(spark, d, "sections"))
+    return A.prompts(chosen(spark, d), questions(spark, d), index_of(spark, d))
 
 
 @query

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import first_by_key, installs, normalized, sentences, shell_command, terms, urls
-from docloom.operators.search import intents, path_text
-from docloom.operators.tree import nodes
+from docloom.operators.index import path_text
+from docloom.operators.search import Batch, anchors, lexical_search, with_bridge
+from docloom.operators.tree import closure, nodes
+from docloom.session import kept
 
 #: How many items an answer shows.
 MOST = {"yamls": 3, "scripts": 4, "outputs": 3, "steps": 8, "sources": 8}
@@ -39,8 +41,6 @@ def sources(chosen: DataFrame, sections: DataFrame, most: int = MOST["sources"])
 
 def by_subtopic(anchor: DataFrame, sections: DataFrame) -> DataFrame:
     """(query_id, subtopic, commands): commands of an anchor's descendants, grouped by the path element below the anchor."""
-    from docloom.operators.tree import closure
-
     below = anchor.select("query_id", F.col("section_id").alias("ancestor")).join(closure(sections), "ancestor")
     paths = nodes(sections, "heading_path", "commands")
     depth = paths.select(F.col("section_id").alias("ancestor"), F.size("heading_path").alias("depth"))
@@ -61,25 +61,74 @@ def best_sentences(chosen: DataFrame, queries: DataFrame, sections: DataFrame, f
     return once.withColumn("place", place).where(F.col("place") <= most).select("query_id", "place", "sentence")
 
 
+def grouped_commands(batch: Batch, chosen: DataFrame, anchor: DataFrame) -> DataFrame:
+    """(query_id, place, label, commands): commands of the chosen sections but the anchor (query_id, section_id), grouped by what their path has below the anchor's.
+
+    A section that isn't below the anchor stands under its own heading.  Groups come in the order of their first section; of a query that wants to install, only commands that do.
+    Where no chosen section has any, the anchor's own commands are the one group.
+    """
+    rows = batch.index.rows.select("section_id", "heading", "heading_path", "commands")
+    top = anchor.join(rows, "section_id").select("query_id", F.col("section_id").alias("anchor"), F.col("heading").alias("anchor_heading"), F.size("heading_path").alias("depth"), F.col("commands").alias("anchor_commands"))
+    wanted = batch.wanted.select("query_id", "installs")
+
+    def wanted_only(commands: Column) -> Column:
+        return F.when(F.col("installs"), F.filter(commands, lambda c: installs(c))).otherwise(commands)
+
+    met = chosen.join(rows, "section_id").join(top, "query_id").join(wanted, "query_id").where("section_id <> anchor")
+    label = F.when(F.size("heading_path") > F.col("depth"), F.element_at("heading_path", F.col("depth") + 1)).otherwise(F.coalesce("heading", F.lit("")))
+    own = met.select("query_id", "rank", label.alias("label"), wanted_only(F.col("commands")).alias("own")).where("size(own) > 0")
+    made = own.groupBy("query_id", "label").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("rank", "own"))).alias("lists"))
+    made = kept(made.select("query_id", "rank", "label", first_by_key(F.flatten(F.transform("lists", lambda x: x["own"]))).alias("commands")).where("size(commands) > 0"))
+    bare = top.join(made.select("query_id").distinct(), "query_id", "left_anti").join(wanted, "query_id")
+    bare = bare.select("query_id", F.lit(1).alias("rank"), F.coalesce("anchor_heading", F.lit("")).alias("label"), first_by_key(wanted_only(F.col("anchor_commands"))).alias("commands")).where("size(commands) > 0")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "label"))
+    return made.unionByName(bare).select("query_id", place.alias("place"), "label", "commands")
+
+
 def _listing(items: Column, most: int | None = None) -> Column:
     return F.array_join(F.slice(items, 1, most) if most else items, "\n")
 
 
-def answers(chosen: DataFrame, queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, kind, answer): output, YAML, script, command or extract, by what the query wants and the sections hold; else the sections' beginnings."""
-    out = intents(queries)
-    for artefact in ("outputs", "yamls", "scripts", "commands", "steps"):
-        out = out.join(collected(chosen, sections, artefact).withColumnRenamed("items", artefact), "query_id", "left")
-    lines = best_sentences(chosen, queries, sections).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("s")).select("query_id", F.transform("s", lambda x: x["sentence"]).alias("sentences"))
-    beginnings = chosen.where("rank <= 3").join(nodes(sections, "raw_content"), "section_id").where("trim(raw_content) <> ''").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring(F.trim("raw_content"), 1, 500).alias("text")))).alias("b"))
+def answers(batch: Batch, chosen: DataFrame) -> DataFrame:
+    """(query_id, kind, answer): output, YAML, script, command or extract, by what the query wants and the sections hold; else the sections' beginnings.
+
+    Outputs of installing come from the output bridge first.  Commands are grouped below the anchor, if that has useful descendants, else listed.
+    """
+    index, bridge = batch.index, batch.bridge
+    chosen = kept(chosen)
+    out = batch.wanted.select("query_id", "installs", *(f"wants_{w}" for w in ("commands", "yaml", "output", "script", "steps")))
+    before = chosen if bridge is None else with_bridge(chosen, bridge, 1 << 20)
+    # one look at the sections for all artefacts
+    most = before.withColumn("chosen", F.lit(False)).unionByName(chosen.withColumn("chosen", F.lit(True)))
+    held = nodes(index, "outputs", "yamls", "scripts", "steps", "commands").join(most, "section_id")
+    parts = {name: F.array_sort(F.collect_list(F.when((F.col("chosen") == (name != "outputs")) & (F.size(name) > 0), F.struct("rank", F.col(name).alias("own"))))) for name in ("outputs", "yamls", "scripts", "steps", "commands")}
+    lists = held.groupBy("query_id").agg(*(x.alias(name) for name, x in parts.items()))
+    lists = lists.select("query_id", *(first_by_key(F.flatten(F.transform(name, lambda x: x["own"]))).alias(name) for name in parts))
+    out = out.join(lists, "query_id", "left").withColumn("commands", F.when(F.col("installs"), F.filter("commands", lambda c: installs(c))).otherwise(F.col("commands")))
+    for name in parts:
+        out = out.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
+    anchor = kept(anchors(batch, lexical_search(batch, 20)))
+    holds = anchor.join(index.closure.where("useful").select(F.col("ancestor").alias("section_id")).distinct(), "section_id", "left_semi")
+    groups = grouped_commands(batch, chosen, holds).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "label", "commands"))).alias("g"))
+    groups = groups.select("query_id", F.array_join(F.transform("g", lambda x: F.concat(x["label"], F.lit("\n"), F.array_join(x["commands"], "\n"))), "\n\n").alias("grouped"))
+    out = out.join(groups, "query_id", "left").join(holds.select("query_id", F.lit(True).alias("groups")), "query_id", "left")
+    lines = best_sentences(chosen, batch.wanted, index).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("s"))
+    lines = lines.select("query_id", F.transform("s", lambda x: x["sentence"]).alias("sentences"))
+    first = before.where("rank <= 3").join(nodes(index, "raw_content"), "section_id").where("trim(raw_content) <> ''")
+    beginnings = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring(F.trim("raw_content"), 1, 500).alias("text")))).alias("b"))
     beginnings = beginnings.select("query_id", F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("beginnings"))
     out = out.join(lines, "query_id", "left").join(beginnings, "query_id", "left")
     extract = F.concat_ws("\n", F.array_join("sentences", "\n"), F.when(F.col("wants_steps") & F.col("steps").isNotNull(), _listing(F.col("steps"), MOST["steps"])))
-    cases = [("output", F.col("wants_output") & F.col("outputs").isNotNull(), _listing(F.col("outputs"), MOST["outputs"])), ("yaml", F.col("wants_yaml") & ~F.col("wants_commands") & F.col("yamls").isNotNull(), _listing(F.col("yamls"), MOST["yamls"])), ("script", F.col("wants_script") & F.col("scripts").isNotNull(), _listing(F.col("scripts"), MOST["scripts"])), ("commands", F.col("wants_commands") & F.col("commands").isNotNull(), _listing(F.col("commands"))), ("extract", F.col("sentences").isNotNull(), extract), ("beginning", F.col("beginnings").isNotNull(), F.col("beginnings"))]
-    kind, answer = F.lit("none"), F.lit(NO_ANSWER)
-    for name, test, text in reversed(cases):
+    command = F.when(F.col("groups"), F.col("grouped")).otherwise(_listing(F.col("commands")))
+    # the first kind a query wants is its kind; without what that shows, the beginnings stand in
+    kinds = [("output", F.col("wants_output"), _listing(F.col("outputs"), MOST["outputs"])), ("yaml", F.col("wants_yaml") & ~F.col("wants_commands"), _listing(F.col("yamls"), MOST["yamls"]))]
+    kinds += [("script", F.col("wants_script"), _listing(F.col("scripts"), MOST["scripts"])), ("commands", F.col("wants_commands"), command), ("extract", F.lit(True), F.when(F.col("sentences").isNotNull(), extract))]
+    kind, answer = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, test, text in reversed(kinds):
         kind, answer = F.when(test, name).otherwise(kind), F.when(test, text).otherwise(answer)
-    return out.select("query_id", kind.alias("kind"), answer.alias("answer"))
+    out = out.select("query_id", kind.alias("kind"), answer.alias("answer"), "beginnings")
+    given = F.when(F.col("answer").isNotNull(), F.col("kind")).when(F.col("beginnings").isNotNull(), "beginning").otherwise("none")
+    return out.select("query_id", given.alias("kind"), F.coalesce("answer", "beginnings", F.lit(NO_ANSWER)).alias("answer"))
 
 
 def prompts(chosen: DataFrame, queries: DataFrame, sections: DataFrame, most: int = 6) -> DataFrame:
@@ -121,16 +170,21 @@ def ungrounded_commands(given: DataFrame, chosen: DataFrame, sections: DataFrame
     return rows.where(F.col("known").isNull() | ~supported(F.col("command"), F.coalesce("known", F.array().cast("array<string>")))).select("query_id", "command").distinct()
 
 
-def subject_tiers(named: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id, tier): for each query's subject the sections of the best tier there is: heading equal (1), holding it (2), title (3), content (4)."""
-    subject = named.where("subject is not null").select("query_id", normalized("subject").alias("s")).where("s <> ''")
-    keys = subject.select("s").distinct()
-    base = nodes(sections, "heading", "doc_title", "raw_content").select("section_id", normalized("heading").alias("h"), normalized("doc_title").alias("t"), normalized("raw_content").alias("c"))
-    words = base.select("section_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "h", "t", "c"), " "))).alias("word"))
-    # candidates share the subject's longest word
-    pick = F.array_sort(F.transform(F.split("s", " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    met = keys.select("s", F.element_at(pick, 1)["w"].alias("word")).join(words, "word").select("s", "section_id").distinct().join(base, "section_id")
-    tier = F.when(F.col("h") == F.col("s"), 1).when(F.col("h").contains(F.col("s")), 2).when(F.col("t").contains(F.col("s")), 3).when(F.col("c").contains(F.col("s")), 4)
-    rows = met.select("s", "section_id", tier.alias("tier")).where("tier is not null")
-    best = rows.withColumn("best", F.min("tier").over(Window.partitionBy("s"))).where("tier = best").drop("best")
-    return subject.join(best, "s").select("query_id", "section_id", "tier")
+def subject_tiers(found: DataFrame, named: DataFrame, sections: DataFrame) -> DataFrame:
+    """(query_id, section_id, tier): of the sections found for each query (query_id, section_id) those of the best tier for its subject (query_id, subject): heading
+    equal (1), holding it (2), title (3), content (4), and all of them where there is no subject or nothing holds it (5)."""
+    rows = found.select("query_id", "section_id").distinct().join(named.select("query_id", normalized("subject").alias("s")), "query_id", "left").join(nodes(sections, "heading", "doc_title", "raw_content"), "section_id")
+    s, h = F.col("s"), normalized("heading")
+    tier = F.when(s.isNull() | (s == ""), 5).when(h == s, 1).when(h.contains(s), 2).when(normalized("doc_title").contains(s), 3).when(normalized("raw_content").contains(s), 4).otherwise(5)
+    best = rows.select("query_id", "section_id", tier.alias("tier")).withColumn("best", F.min("tier").over(Window.partitionBy("query_id")))
+    return best.where("tier = best").drop("best")
+
+
+def requiring(found: DataFrame, points: DataFrame, sections: DataFrame, artefact: str) -> DataFrame:
+    """(query_id, section_id, rank): of the sections found (query_id, section_id, rank) those with the artefact and points (query_id, section_id, points) for the subject, by
+    points; where there is none, all as they were."""
+    has = nodes(sections, artefact).where(F.size(artefact) > 0).select("section_id")
+    fit = found.join(points, ["query_id", "section_id"]).join(has, "section_id", "left_semi")
+    again = fit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "rank"))).select("query_id", "section_id", "rank")
+    rest = found.join(fit.select("query_id").distinct(), "query_id", "left_anti")
+    return again.unionByName(rest.select("query_id", "section_id", "rank"))

@@ -1,23 +1,29 @@
 """Retrieval for batches of queries: understanding, lexical and BM25 scores over postings, vectors, fusion, anchors and the final choice.
 
-A batch of queries (query_id, text) is searched against all sections at once.  Scores come from an equi-join of terms, so no
-query meets a section it shares nothing with; what scores without a shared term depends on a few flags of the
-section alone and enters as the first sections of each combination of flags.  Ties go to the smaller section_id.
+A batch of queries (query_id, text) is searched against all sections of an index (see ``index``) at once.  Scores come from an equi-join of terms, so
+no query meets a section it shares nothing with; what scores without a shared term depends on a few flags of the section alone and
+enters as the best sections for each combination of intents.  Names are looked for in all texts by one automaton of the batch's names.  Ties
+go to the smaller section_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.arrowmap import map_batches
 from docloom.functions.text import contains_any, normalized, terms
-from docloom.operators.tree import ARTEFACTS, is_useful, nodes, structural_neighbours, useful_descendants
-from docloom.session import checkpointed
+from docloom.operators.index import FLAGS, Index, path_text
+from docloom.operators.tree import structural_neighbours
+from docloom.session import kept
 
 #: Phrases that tell what a query wants, and that a section verifies something.
 WANTS = {
@@ -29,15 +35,16 @@ WANTS = {
     "prereq": ["prerequisite", "prerequisites", "before installing", "requirements"],
 }
 INSTALLING = ["install", "installation", "setup", "set up", "create", "deploy", "configure", "bootstrap", "provision", "helm install", "helm upgrade"]
-VERIFYING = ["verify", "validation", "validate", "check", "checks", "expected output", "output", "install helm chart", "post installation", "post-install"]
-VERIFYING_INSTALL = ["install helm chart", "verify", "validation", "check"]
 RELEASES = [r"helm\s+install\s+([a-zA-Z0-9._-]+)", r"helm\s+upgrade\s+([a-zA-Z0-9._-]+)", r"install\s+([a-zA-Z0-9._-]+)", r"deploy\s+([a-zA-Z0-9._-]+)"]
-#: Weights of shared terms by field, of what is wanted, and of a subject's places.
-FIELD_WEIGHTS = {"heading": 12, "path": 8, "title": 6, "content": 4}
+#: Weights of what is wanted, and of a subject's places.
 WANT_WEIGHTS = {"commands": ("commands", 18), "yaml": ("yamls", 20), "output": ("outputs", 38), "script": ("scripts", 18), "steps": ("steps", 10)}
-VERIFY_WEIGHT, PREREQ_WEIGHT, VERIFY_INSTALL_WEIGHT, CONTENT_CHARS = 6, 18, 12, 1600
+VERIFY_WEIGHT, PREREQ_WEIGHT, VERIFY_INSTALL_WEIGHT = 6, 18, 12
 RELEASE_COMMAND_WEIGHT, RELEASE_CONTENT_WEIGHT = 15, 18
-K1, B, RRF_K, TOP = 1.2, 0.75, 60, 12
+K1, B, RRF_K, TOP, LEXICAL_TOP = 1.2, 0.75, 60, 12, 20
+
+
+#: Names that one automaton looks for, more being looked for in several passes; characters of queries that are sent to all tasks at a time.
+NAMES_AT_ONCE, BATCH_CHARS = 200_000, 32 << 20
 
 
 # --- queries ----------------------------------------------------------------------------------------------------
@@ -48,88 +55,187 @@ def intents(queries: DataFrame) -> DataFrame:
     q = F.col("q")
     release = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 1), F.lit("")) for p in RELEASES))
     rows = queries.select("query_id", normalized("text").alias("q"))
-    return rows.select("query_id", *(contains_any(q, words).alias(f"wants_{name}") for name, words in WANTS.items()), contains_any(q, INSTALLING).alias("installs"), release.alias("release"))
-
-
-def substrings(text: str, size: str) -> Column:
-    """All substrings of a text that have ``size`` characters, the text being no shorter."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - F.col(size) + 1), lambda i: F.substring(F.col(text), i, F.col(size)))
+    wants = [contains_any(q, words).alias(f"wants_{name}") for name, words in WANTS.items()]
+    return rows.select("query_id", *wants, contains_any(q, INSTALLING).alias("installs"), release.alias("release"))
 
 
-def _contained(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """(query_id, heading, title): the longest key of each kind that is a substring of the query, ties by what is shown, descending.
+def _contained(queries: DataFrame, keys: DataFrame, least: int = 1) -> DataFrame:
+    """(query_id, kind, key, shown): the keys of ``least`` characters or more that are a substring of the query.
 
-    The query's substrings of just the lengths that keys have are joined to the keys by equality: no nested loop.
+    Each task makes an automaton of its own keys, NAMES_AT_ONCE at a time, that reads the texts of the batch; these go to all tasks, BATCH_CHARS at a time.
     """
-    q = queries.select("query_id", normalized("text").alias("q"))
-    longest = q.agg(F.max(F.length("q"))).first()[0] or 0
-    lengths = sorted(r[0] for r in keys.select(F.length("key").alias("n")).where(F.col("n") <= longest).distinct().collect())  # no more than a query has characters
-    cut = q.select("query_id", "q", F.explode(F.lit(lengths or [longest + 1])).alias("n")).where("n <= length(q)")
-    cut = cut.select("query_id", F.explode(substrings("q", "n")).alias("key"))
-    best = F.max(F.struct(F.length("key").alias("n"), F.col("shown").alias("shown")))
-    found = cut.join(keys, "key").groupBy("query_id", "kind").agg(best.alias("best"))
-    return found.groupBy("query_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("best.shown"))).alias(k) for k in ("heading", "title")))
-
+    every = [tuple(r) for r in queries.select("query_id", normalized("text").alias("q")).where("q <> ''").collect()]
+    schema = "query_id bigint, kind string, key string, shown string"
+    out, start = None, 0
+    while start < len(every) or out is None:
+        end, held = start, 0
+        while end < len(every) and (end == start or held + len(every[end][1]) <= BATCH_CHARS):
+            held += len(every[end][1])
+            end += 1
+        block = every[start:end]
+
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            names: dict[str, list[tuple[str, str]]] = {}
+
+            def found() -> pa.RecordBatch:
+                automaton = ahocorasick.Automaton()
+                for key in names:
+                    automaton.add_word(key, key)
+                automaton.make_automaton()
+                rows = [(q, kind, key, shown) for q, text in block for key in {k for _, k in automaton.iter(text)} for kind, shown in names[key]]
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["query_id", "kind", "key", "shown"])
 
-def subjects(queries: DataFrame, sections: DataFrame) -> DataFrame:
+            for batch in batches:
+                for kind, key, shown in zip(*(c.to_pylist() for c in batch.columns)):
+                    names.setdefault(key, []).append((kind, shown))
+                if len(names) >= NAMES_AT_ONCE:
+                    yield found()
+                    names.clear()
+            if names:
+                yield found()
+
+        part = keys.where((F.length("key") >= least) & (F.col("key") != "")).select("kind", "key", "shown").mapInArrow(search, schema)
+        out = part if out is None else out.unionByName(part)
+        start = end
+        if not every:
+            break
+    return out
+
+
+def subjects(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, subject): a file name in the query, else the longest heading in it, the longest title, a release, a term that is a heading; or null."""
-    base = nodes(sections, "heading", "doc_title")
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("shown")) for kind, c in (("heading", "heading"), ("title", "doc_title"))))
-    named = base.select("section_id", F.explode(kinds).alias("k")).select("section_id", "k.kind", "k.shown").where("shown <> ''").withColumn("key", normalized("shown")).where("key <> ''")
-    keys = checkpointed(named.groupBy("kind", "key").agg(F.min_by("shown", "section_id").alias("shown")))
+    best = F.max(F.struct(F.length("key").alias("n"), F.col("shown").alias("shown")))
+    found = _contained(queries, index.keys).groupBy("query_id", "kind").agg(best.alias("best"))
+    named = found.groupBy("query_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("best.shown"))).alias(k) for k in ("heading", "title")))
     file = F.nullif(F.regexp_extract("text", r"(?i)([a-zA-Z0-9._/-]+\.(?:yaml|yml|json|sh))", 1), F.lit(""))
-    own = queries.select("query_id", file.alias("file")).join(intents(queries).select("query_id", "release"), "query_id").join(_contained(queries, keys), "query_id", "left")
-    words = queries.select("query_id", F.posexplode(terms("text")).alias("at", "key")).join(keys.where("kind = 'heading'"), "key")
+    own = queries.select("query_id", file.alias("file")).join(intents(queries).select("query_id", "release"), "query_id").join(named, "query_id", "left")
+    words = queries.select("query_id", F.posexplode(terms("text")).alias("at", "key")).join(index.keys.where("kind = 'heading'"), "key")
     word = words.groupBy("query_id").agg(F.max_by("shown", F.struct(F.length("key"), -F.col("at"))).alias("word"))
     return own.join(word, "query_id", "left").select("query_id", F.coalesce("file", "heading", "title", "release", "word").alias("subject"))
 
 
-# --- postings and lexical scores --------------------------------------------------------------------------------
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): distinct terms."""
+    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
 
 
-def path_text(path: str | Column = "heading_path") -> Column:
-    return F.coalesce(F.array_join(path, " > "), F.lit(""))
+@dataclass
+class Batch:
+    """A batch of queries with what is known of it, written once: ``wanted`` (query_id, text, wants_..., installs, release, subject), ``terms`` (query_id, term)."""
 
+    index: Index
+    wanted: DataFrame
+    terms: DataFrame
 
-def retrieval_content() -> Column:
-    """The text a section is found by: title, path, heading, artefacts (some in part) and content under labels."""
-    part = lambda label, column, glue, most: F.when(F.size(column) > 0, F.concat(F.lit(label), F.array_join(F.slice(column, 1, most) if most else F.col(column), glue)))
-    lead = [F.concat(F.lit(label), F.coalesce(x, F.lit(""))) for label, x in (("Document title: ", F.col("doc_title")), ("Heading path: ", path_text()), ("Heading: ", F.col("heading")))]
-    body = F.trim(F.regexp_replace(F.coalesce("raw_content", F.lit("")), r"^\s+|\s+\z", ""))
-    artefacts = [part("Commands:\n", "commands", "\n", 0), part("Outputs:\n", "outputs", "\n", 3), part("YAML:\n", "yamls", "\n\n", 2), part("Steps:\n", "steps", "\n", 8)]
-    return F.concat_ws("\n\n", *lead, *artefacts, F.when(body != "", F.concat(F.lit("Content:\n"), body)))
+    @property
+    def expecting(self) -> DataFrame:
+        """The queries that want the output of installing."""
+        return self.wanted.where("wants_output and installs")
 
+    @cached_property
+    def expects(self) -> bool:
+        return not self.expecting.isEmpty()
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term): distinct terms."""
-    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    @cached_property
+    def points(self) -> DataFrame:
+        """``subject_points`` and ``release_points`` of the batch, written once: (query_id, section_id, points, named)."""
+        points = subject_points(self).withColumn("named", F.lit(False))
+        released = release_points(self) if self.expects else None
+        return kept(points if released is None else points.unionByName(released.withColumn("named", F.lit(True))))
 
+    @cached_property
+    def lexical(self) -> DataFrame:
+        """The first of the lexical ranking, written once, as many as any use asks for."""
+        return kept(ranked(node_scores(self, LEXICAL_TOP), LEXICAL_TOP))
 
-def field_postings(sections: DataFrame) -> DataFrame:
-    """(term, section_id, weight): distinct terms of each field of each section with the field's weight."""
-    rows = nodes(sections, "heading", "doc_title", "heading_path", "raw_content")
-    fields = {"heading": F.col("heading"), "path": path_text(), "title": F.col("doc_title"), "content": F.substring(F.coalesce("raw_content", F.lit("")), 1, CONTENT_CHARS)}
+    @cached_property
+    def bridge(self) -> DataFrame | None:
+        """The output bridge, written once, of the queries that want one; None without such queries."""
+        return kept(output_bridge(self)) if self.expects else None
 
-    def weighted(text: Column, weight: int) -> Column:
-        return F.transform(F.array_distinct(terms(text)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
 
-    return rows.select("section_id", F.explode(F.concat(*(weighted(x, FIELD_WEIGHTS[name]) for name, x in fields.items()))).alias("p")).select("p.term", "section_id", "p.weight")
+def understood(queries: DataFrame, index: Index) -> Batch:
+    wanted = queries.select("query_id", "text").join(intents(queries), "query_id").join(subjects(queries, index), "query_id")
+    return Batch(index, kept(wanted), kept(query_terms(queries)))
 
 
-def overlap_scores(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id, score): weighted numbers of shared terms."""
-    return field_postings(sections).join(query_terms(queries), "term").groupBy("query_id", "section_id").agg(F.sum("weight").cast("double").alias("score"))
+# --- names in texts ---------------------------------------------------------------------------------------------
+
+
+def containing(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(section_id, field, word): the sections with a text (section_id, field, text) that contains a word (word), inside words too.
+
+    Words are those of a batch, their number is that of its queries; one automaton of at most NAMES_AT_ONCE of them reads all texts once.
+    """
+    every = sorted(r[0] for r in words.where("word <> ''").select("word").distinct().collect())
+    kind = texts.schema["section_id"].dataType.simpleString()
+    out = None
+    for start in range(0, max(1, len(every)), NAMES_AT_ONCE):
+        block = every[start : start + NAMES_AT_ONCE]
+
+        def make(block=block):
+            automaton = ahocorasick.Automaton()
+            for word in block:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                keys, fields, found = [], [], []
+                for key, field, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = {word for _, word in automaton.iter(text)} if text and block else ()
+                    keys += [key] * len(own)
+                    fields += [field] * len(own)
+                    found += own
+                columns = [pa.array(keys, batch.schema.field(0).type), pa.array(fields, pa.string()), pa.array(found, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=["section_id", "field", "word"])
+
+            return step
+
+        part = map_batches(texts.select("section_id", "field", "text"), make, f"section_id {kind}, field string, word string")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def command_texts(index: Index) -> DataFrame:
+    """(section_id, field, text): commands, normalised."""
+    return index.rows.select("section_id", F.lit("command").alias("field"), F.explode("commands").alias("text")).withColumn("text", normalized("text"))
+
+
+def subject_points(batch: Batch) -> DataFrame:
+    """(query_id, section_id, points > 0): for each query with a subject the sections where it is found: heading equal 100 or holding it 70, path 60, content 45, title 20, a YAML file in content 30."""
+    named = batch.wanted.where("subject is not null").select("query_id", "subject", normalized("subject").alias("word")).where("word <> ''")
+    parts = {"heading": F.col("heading"), "path": path_text(), "content": F.col("raw_content"), "title": F.col("doc_title")}
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), normalized(x).alias("text")) for name, x in parts.items()))
+    texts = batch.index.rows.select("section_id", F.explode(fields).alias("f")).select("section_id", "f.field", "f.text")
+    found = containing(texts, named.select("word"))
+    has = {name: F.max(F.col("field") == name).alias(name) for name in parts}
+    met = found.groupBy("section_id", "word").agg(*has.values()).join(named, "word")
+    met = met.join(batch.index.rows.select("section_id", normalized("heading").alias("own")), "section_id")
+    points = F.when(F.col("own") == F.col("word"), 100).when(F.col("heading"), 70).otherwise(0)
+    for name, weight in (("path", 60), ("content", 45), ("title", 20)):
+        points = points + F.when(F.col(name), weight).otherwise(0)
+    points = points + F.when(F.col("content") & (F.col("subject").endswith(".yaml") | F.col("subject").endswith(".yml")), 30).otherwise(0)
+    return met.select("query_id", "section_id", points.cast("double").alias("points"))
+
+
+def release_points(batch: Batch) -> DataFrame | None:
+    """(query_id, section_id, points) for queries that want the output of installing a release: its name in a command, and in the content of a section with outputs; None without such queries."""
+    release = batch.expecting.where("release is not null").select("query_id", F.col("release").alias("word"))
+    if release.isEmpty():
+        return None
+    contents = batch.index.rows.where("has_outputs").select("section_id", F.lit("content").alias("field"), normalized("raw_content").alias("text"))
+    found = containing(command_texts(batch.index).unionByName(contents), release.select("word"))
+    weight = F.when(F.col("field") == "command", float(RELEASE_COMMAND_WEIGHT)).otherwise(float(RELEASE_CONTENT_WEIGHT))
+    return found.groupBy("section_id", "word").agg(F.sum(weight).alias("points")).join(release, "word").select("query_id", "section_id", "points")
 
 
-def flags(sections: DataFrame) -> DataFrame:
-    """(section_id, has_..., verifies, prepares, verifies_install)."""
-    heading = F.col("bare")
-    empty = F.array().cast("array<string>")
-    has = [(F.size(F.coalesce(F.col(c), empty)) > 0).alias(f"has_{c}") for c in ARTEFACTS]
-    return nodes(sections, "heading", *ARTEFACTS).withColumn("bare", normalized("heading")).select("section_id", *has, contains_any(heading, VERIFYING).alias("verifies"), contains_any(heading, ["prereq", "preparation", "requirements"]).alias("prepares"), contains_any(heading, VERIFYING_INSTALL).alias("verifies_install"))
+# --- lexical and BM25 scores --------------------------------------------------------------------------------------
 
 
-FLAGS = [*(f"has_{c}" for c in ARTEFACTS), "verifies", "prepares", "verifies_install"]
+def overlap_scores(batch: Batch) -> DataFrame:
+    """(query_id, section_id, score): weighted numbers of shared terms."""
+    return batch.index.postings.where("weight > 0").join(batch.terms, "term").groupBy("query_id", "section_id").agg(F.sum("weight").cast("double").alias("score"))
 
 
 def flag_score() -> Column:
@@ -141,81 +247,33 @@ def flag_score() -> Column:
     return (total + F.when(F.col("wants_output") & F.col("installs") & F.col("verifies_install"), VERIFY_INSTALL_WEIGHT).otherwise(0)).cast("double")
 
 
-def subject_score(subject: Column) -> Column:
-    """Points for where the subject, normalised, is found: heading, path, content, title."""
-    s, heading, path, content, title = normalized(subject), normalized("heading"), normalized(path_text()), normalized("raw_content"), normalized("doc_title")
-    points = F.when(heading == s, 100).when(heading.contains(s), 70).otherwise(0) + F.when(path.contains(s), 60).otherwise(0) + F.when(content.contains(s), 45).otherwise(0) + F.when(title.contains(s), 20).otherwise(0)
-    points = points + F.when(F.lower(subject).rlike(r"\.ya?ml$") & content.contains(s), 30).otherwise(0)
-    return F.when(subject.isNull() | (s == ""), 0).otherwise(points).cast("double")
-
-
-def understood(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, wants_..., installs, release, subject) of each query, kept: it is small and used all over."""
-    return checkpointed(intents(queries).join(subjects(queries, sections), "query_id"))
-
-
-def subject_points(wanted: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id, points > 0) for queries with a subject: of the sections that share a term with it, or are named so, those where it is found."""
-    named = wanted.where("subject is not null").select("query_id", "subject")
-    subject = named.select("subject").distinct()
-    base = nodes(sections, "heading", "heading_path", "raw_content", "doc_title")
-    by_term = subject.select("subject", F.explode(F.array_distinct(terms("subject"))).alias("term"))
-    words = base.select("section_id", F.explode(F.array_distinct(terms(F.concat_ws(" ", "heading", path_text(), "doc_title", "raw_content")))).alias("term"))
-    shared = words.join(by_term, "term").select("subject", "section_id")
-    keys = base.select("section_id", F.explode(F.array_distinct(F.array(normalized("heading"), normalized("doc_title")))).alias("key"))
-    same = subject.withColumn("key", normalized("subject")).where("key <> ''").join(keys, "key").select("subject", "section_id")
-    met = shared.unionByName(same).distinct().join(base, "section_id").select("subject", "section_id", subject_score(F.col("subject")).alias("points")).where("points > 0")
-    return met.join(named, "subject").select("query_id", "section_id", "points")
+ASKS = [*(f"wants_{w}" for w in WANTS), "installs"]
 
 
-def containing(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(section_id, word): the sections with a text (section_id, text), normalised, that contains a word.
+def prior(batch: Batch, top: int) -> DataFrame:
+    """(query_id, section_id): for each query the ``top`` sections of best flags for its intents.
 
-    Words (word) are releases and have only the characters of RELEASES, so that they are looked for in each distinct run of those: its
-    substrings of just the lengths words have are joined by equality.
+    A section's flags and a query's intents are a few booleans each.  The first ``top`` sections of each combination of flags are all that
+    can come first by flags; they are scored once for each combination of intents there is, and queries meet them by that combination.
     """
-    words = words.distinct()
-    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # no more than a query has characters
-    runs = texts.select("section_id", F.explode(F.array_distinct(F.split("text", r"[^a-zA-Z0-9._-]+"))).alias("run")).where("run <> ''")
-    cut = runs.select("run").distinct().select("run", F.explode(F.lit(lengths or [1])).alias("n")).where("n <= length(run)")
-    holding = cut.select("run", F.explode(F.array_distinct(substrings("run", "n"))).alias("word")).join(words, "word")
-    return runs.join(holding, "run").select("section_id", "word").distinct()
-
-
-def command_texts(sections: DataFrame) -> DataFrame:
-    """(section_id, text): commands, normalised."""
-    return nodes(sections, "commands").select("section_id", F.explode("commands").alias("text")).withColumn("text", normalized("text"))
-
-
-def expecting(wanted: DataFrame) -> DataFrame:
-    """The queries that want the output of installing."""
-    return wanted.where("wants_output and installs")
-
-
-def release_points(wanted: DataFrame, sections: DataFrame) -> DataFrame | None:
-    """(query_id, section_id, points) for queries that want the output of installing a release: its name in a command, and in the content of a section with outputs; None without such queries."""
-    release = expecting(wanted).where("release is not null").select("query_id", F.col("release").alias("word"))
-    if release.isEmpty():
-        return None
-    contents = nodes(sections, "raw_content", "outputs").where("size(outputs) > 0").select("section_id", normalized("raw_content").alias("text"))
-    words = release.select("word")
-    parts = [containing(texts, words).withColumn("points", F.lit(float(weight))) for texts, weight in ((command_texts(sections), RELEASE_COMMAND_WEIGHT), (contents, RELEASE_CONTENT_WEIGHT))]
-    found = parts[0].unionByName(parts[1]).groupBy("section_id", "word").agg(F.sum("points").alias("points"))
-    return found.join(release, "word").select("query_id", "section_id", "points")
-
-
-def node_scores(queries: DataFrame, sections: DataFrame, top: int = TOP, wanted: DataFrame | None = None) -> DataFrame:
-    """(query_id, section_id, score > 0) of all sections that share a term with the query or its subject or are among the ``top`` first of their flags."""
-    wanted, known = wanted if wanted is not None else understood(queries, sections), flags(sections)
-    firsts = known.where(" or ".join(FLAGS)).withColumn("n", F.row_number().over(Window.partitionBy(*FLAGS).orderBy("section_id"))).where(F.col("n") <= top)
-    bounded = firsts.select(F.lit(1).alias("one"), "section_id")  # at most top rows for each of 2^8 combinations
-    prior = wanted.select(F.lit(1).alias("one"), "query_id").join(bounded, "one").select("query_id", "section_id", F.lit(0.0).alias("score"))
-    points = subject_points(wanted, sections)
-    if (named := release_points(wanted, sections)) is not None:
-        points = points.unionByName(named)
-    points = points.withColumnRenamed("points", "score")
-    met = overlap_scores(queries, sections).unionByName(prior).unionByName(points).groupBy("query_id", "section_id").agg(F.sum("score").alias("shared"))
-    scored = met.join(known, "section_id").join(wanted, "query_id")
+    held = batch.index.rows.where(" or ".join(FLAGS)).select("section_id", *FLAGS)
+    firsts = held.withColumn("n", F.row_number().over(Window.partitionBy(*FLAGS).orderBy("section_id"))).where(F.col("n") <= top).drop("n")
+    asks = F.concat_ws("", *(F.col(a).cast("int").cast("string") for a in ASKS))
+    combos = [(r["asks"], [r[a] for a in ASKS]) for r in batch.wanted.select(asks.alias("asks"), *ASKS).distinct().collect()]  # at most 2 ** 7
+    every = F.array(*(F.struct(F.lit(key).alias("asks"), *(F.lit(v).alias(a) for a, v in zip(ASKS, values))) for key, values in combos)) if combos else None
+    if every is None:
+        return batch.wanted.select("query_id", F.lit(None).cast("bigint").alias("section_id")).limit(0)
+    scored = firsts.select("section_id", *FLAGS, F.explode(every).alias("a")).select("section_id", *FLAGS, "a.*").withColumn("score", flag_score()).where("score > 0")
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "section_id"))).where(F.col("n") <= top).select("asks", "section_id")
+    return batch.wanted.select("query_id", asks.alias("asks")).join(F.broadcast(best), "asks").select("query_id", "section_id")  # at most top for each of 2 ** 7
+
+
+def node_scores(batch: Batch, top: int = TOP) -> DataFrame:
+    """(query_id, section_id, score > 0) of all sections that share a term with the query, hold its subject or release, or are among the ``top`` first by their flags."""
+    parts = overlap_scores(batch).unionByName(prior(batch, top).withColumn("score", F.lit(0.0)))
+    parts = parts.unionByName(batch.points.select("query_id", "section_id", F.col("points").alias("score")))
+    met = parts.groupBy("query_id", "section_id").agg(F.sum("score").alias("shared"))
+    scored = met.join(batch.index.rows.select("section_id", *FLAGS), "section_id").join(batch.wanted.select("query_id", *ASKS), "query_id")
     return scored.select("query_id", "section_id", (F.col("shared") + flag_score()).alias("score")).where("score > 0")
 
 
@@ -225,24 +283,17 @@ def ranked(scores: DataFrame, top: int | None = None, by: str = "query_id") -> D
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def lexical_search(queries: DataFrame, sections: DataFrame, top: int = TOP, wanted: DataFrame | None = None) -> DataFrame:
-    return ranked(node_scores(queries, sections, top, wanted), top)
+def lexical_search(batch: Batch, top: int = TOP) -> DataFrame:
+    return batch.lexical.where(F.col("rank") <= top) if top <= LEXICAL_TOP else ranked(node_scores(batch, top), top)
 
 
-def bm25_search(queries: DataFrame, sections: DataFrame, top: int = TOP, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(batch: Batch, top: int = TOP, k1: float = K1, b: float = B) -> DataFrame:
     """Okapi BM25 over the retrieval content: idf = ln(1 + (N - df + 0.5) / (df + 0.5)); scores to six digits."""
-    rows = nodes(sections, "heading", "doc_title", "heading_path", "raw_content", *ARTEFACTS).select("section_id", terms(retrieval_content(), []).alias("words"))
-    sized = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    found = rows.select("section_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = found.groupBy("term", "section_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = sized.first()
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0))))
-    scores = tf.join(df, "term").join(asked, "term").groupBy("query_id", "section_id").agg(F.round(F.sum(gain), 6).alias("score"))
-    return ranked(scores, top)
+    asked = batch.terms.join(batch.index.terms, "term")
+    tf = batch.index.postings.where("tf > 0").join(asked, "term")
+    idf = F.log(1 + (F.lit(float(batch.index.count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(batch.index.mean or 1.0))))
+    return ranked(tf.groupBy("query_id", "section_id").agg(F.round(F.sum(gain), 6).alias("score")), top)
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------
@@ -287,13 +338,10 @@ def vector_search(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vec
                 cosine[norms == 0] = -np.inf
                 cosine = np.round(cosine, 6)
                 many = min(top, len(keys))
-                # ties at the edge are settled by key, as in the final ranking
-                best = np.lexsort((np.broadcast_to(keys, cosine.shape), -cosine), axis=1)[:, :many]
-                q = np.repeat(ids, many)
-                at = best.ravel()
-                score = np.take_along_axis(cosine, best, 1).ravel()
-                good = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(keys[at][good], batch.schema.field(0).type), pa.array(score[good])], names=["query_id", key, "score"])
+                # what reaches the score of the last of the first ``many`` is passed on, ties and all: the final ranking settles those by key
+                edge = -np.partition(-cosine, many - 1, axis=1)[:, many - 1 : many]
+                q, at = np.nonzero((cosine >= edge) & np.isfinite(cosine))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[at], batch.schema.field(0).type), pa.array(cosine[q, at])], names=["query_id", key, "score"])
 
         part = rows.mapInArrow(search, f"query_id bigint, {key} {kind}, score double")
         parts = part if parts is None else parts.unionByName(part)
@@ -316,121 +364,142 @@ def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return rankings.groupBy("query_id", "section_id").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf"))
 
 
-#: Shares of the retrievers in the combined score, and boosts.
-SHARES, RRF_WEIGHT, EXACT_BOOST, DESCENDANT_BOOST, BRIDGE_BOOST = {"lexical": 0.45, "bm25": 0.30, "vector": 0.25}, 10.0, 2.0, 1.2, 2.75
+#: Shares of the retrievers in the combined score, and boosts; sections that stand for a ranking where nothing scores.
+SHARES, RRF_WEIGHT, EXACT_BOOST, DESCENDANT_BOOST, BRIDGE_BOOST, FALLBACK = {"lexical": 0.45, "bm25": 0.30, "vector": 0.25}, 10.0, 2.0, 1.2, 2.75, 20
 
 
-def combined(queries: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, top: int = TOP, wanted: DataFrame | None = None, bridge: DataFrame | None = None) -> DataFrame:
+def combined(batch: Batch, vectors: DataFrame | None = None, top: int = TOP, bridge: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id, score, rank): scaled scores of all retrievers, reciprocal ranks and boosts of an exact subject and of the output bridge, in one sum.
 
-    ``vectors`` are rankings (query_id, section_id, score, rank) of a vector retriever; without them it adds nothing.
+    ``vectors`` are rankings (query_id, section_id, score, rank) of a vector retriever; without them it adds nothing.  A query for which nothing scores
+    gets the first FALLBACK sections, with a score of 0.
     """
-    wanted = wanted if wanted is not None else understood(queries, sections)
-    found = [lexical_search(queries, sections, top, wanted).withColumn("retriever", F.lit("lexical")), bm25_search(queries, sections, top).withColumn("retriever", F.lit("bm25"))]
+    every = lexical_search(batch, top).withColumn("retriever", F.lit("lexical")).unionByName(bm25_search(batch, top).withColumn("retriever", F.lit("bm25")))
     if vectors is not None:
-        found.append(vectors.withColumn("retriever", F.lit("vector")))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        every = every.unionByName(vectors.select("query_id", "section_id", "score", "rank").withColumn("retriever", F.lit("vector")))
     share = F.create_map(*(F.lit(x) for pair in SHARES.items() for x in pair))
     scaled = minmax(every, ["query_id", "retriever"])
-    parts = scaled.select("query_id", "section_id", (F.col("scaled") * share[F.col("retriever")] + F.lit(RRF_WEIGHT) / (F.lit(float(RRF_K)) + F.col("rank"))).alias("part"))
-    exact = exact_subjects(wanted, sections)
-    boosts = exact.select("query_id", "section_id", F.lit(EXACT_BOOST).alias("part"))
-    below = exact.select("query_id", F.col("section_id").alias("ancestor")).join(useful_descendants(sections), "ancestor").select("query_id", F.col("descendant").alias("section_id"), F.lit(DESCENDANT_BOOST).alias("part"))
-    every = parts.unionByName(boosts).unionByName(below)
-    bridge = bridge if bridge is not None else asked_bridge(queries, sections, wanted)
+    part = F.col("scaled") * share[F.col("retriever")] + F.lit(RRF_WEIGHT) / (F.lit(float(RRF_K)) + F.col("rank"))
+    exact = exact_subjects(batch)
+    every = scaled.select("query_id", "section_id", part.alias("part")).unionByName(exact.withColumn("part", F.lit(EXACT_BOOST)))
+    below = exact.withColumnRenamed("section_id", "ancestor").join(batch.index.closure.where("useful"), "ancestor")
+    every = every.unionByName(below.select("query_id", F.col("descendant").alias("section_id"), F.lit(DESCENDANT_BOOST).alias("part")))
+    bridge = bridge if bridge is not None else batch.bridge
     if bridge is not None:
         every = every.unionByName(bridge.select("query_id", "section_id", F.lit(BRIDGE_BOOST).alias("part")))
     total = every.groupBy("query_id", "section_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    first = [r[0] for r in batch.index.rows.select("section_id").orderBy("section_id").limit(FALLBACK).collect()]
+    if first:
+        total = kept(total)
+        bare = batch.wanted.select("query_id").join(total.select("query_id").distinct(), "query_id", "left_anti")
+        total = total.unionByName(bare.select("query_id", F.explode(F.lit(first)).alias("section_id"), F.lit(0.0).alias("score")))
     return ranked(total)
 
 
-def exact_subjects(wanted: DataFrame, sections: DataFrame) -> DataFrame:
+def exact_subjects(batch: Batch) -> DataFrame:
     """(query_id, section_id): sections whose heading or title is the query's subject."""
-    named = wanted.where("subject is not null").select("query_id", normalized("subject").alias("key"))
-    keys = nodes(sections, "heading", "doc_title").select("section_id", F.explode(F.array_distinct(F.array(normalized("heading"), normalized("doc_title")))).alias("key")).where("key <> ''")
-    return named.join(keys, "key").select("query_id", "section_id").distinct()
-
-
-def command_matches(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id): sections with a command that contains the query's release, or that installs or upgrades by helm as the query says."""
-    release = checkpointed(intents(queries).where("release is not null").select("query_id", F.col("release").alias("word")))
-    commands = command_texts(sections)
-    said = F.filter(F.array(*(F.when(normalized("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
-    asked = queries.select("query_id", F.explode(said).alias("verb"))
-    done = F.filter(F.array(*(F.when(F.col("text").contains(v), F.lit(v)) for v in ("helm install", "helm upgrade"))), lambda x: x.isNotNull())
-    verbs = commands.select("section_id", F.explode(done).alias("verb")).distinct()
+    named = batch.wanted.where("subject is not null").select("query_id", normalized("subject").alias("key"))
+    keys = batch.index.rows.select("section_id", F.explode(F.array_distinct(F.array(normalized("heading"), normalized("doc_title")))).alias("key")).where("key <> ''")
+    return keys.join(named, "key").select("query_id", "section_id").distinct()
+
+
+VERBS = ("helm install", "helm upgrade")
+
+
+def command_matches(batch: Batch, of: DataFrame | None = None) -> DataFrame:
+    """(query_id, section_id): sections with a command that contains the query's release, or that installs or upgrades by helm as the query says.  ``of`` are the queries asked for."""
+    wanted = of if of is not None else batch.wanted
+    commands = command_texts(batch.index)
+
+    def said(text: str | Column) -> Column:
+        return F.filter(F.array(*(F.when(normalized(text).contains(v), F.lit(v)) for v in VERBS)), lambda x: x.isNotNull())
+
+    release = wanted.where("release is not null").select("query_id", F.col("release").alias("word"))
     named = containing(commands, release.select("word")).join(release, "word")
-    return named.select("query_id", "section_id").unionByName(verbs.join(asked, "verb").select("query_id", "section_id")).distinct()
+    verbs = commands.select("section_id", F.explode(said("text")).alias("verb")).distinct()
+    both = verbs.join(wanted.select("query_id", F.explode(said("text")).alias("verb")), "verb")
+    return named.select("query_id", "section_id").unionByName(both.select("query_id", "section_id")).distinct()
 
 
-def output_bridge(queries: DataFrame, sections: DataFrame, radius: int = 3) -> DataFrame:
+def output_bridge(batch: Batch, radius: int = 3) -> DataFrame:
     """(query_id, section_id, place): for queries that want the output of installing, the sections around matching commands that
     hold outputs or verify: first the structural neighbours of each command's section, then its file's sections with outputs."""
-    wanted = intents(queries).where("wants_output and installs").select("query_id")
-    matched = command_matches(queries, sections).join(wanted, "query_id", "left_semi")
-    around = matched.join(structural_neighbours(sections, radius), "section_id").select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").cast("bigint").alias("at"), F.col("neighbour"))
-    files = nodes(sections, "file_path", "outputs")
-    holding = files.where("size(outputs) > 0").select("file_path", F.col("section_id").alias("neighbour"))
+    matched = kept(command_matches(batch, batch.expecting))
+    near = structural_neighbours(batch.index, radius, of=matched.select("section_id").distinct())
+    around = matched.join(near, "section_id").select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").cast("bigint").alias("at"), "neighbour")
+    files = batch.index.rows.select("section_id", "file_path", "has_outputs", "verifies")
+    holding = files.where("has_outputs").select("file_path", F.col("section_id").alias("neighbour"))
     same = matched.join(files, "section_id").join(holding, "file_path").select("query_id", "section_id", F.lit(1).alias("kind"), F.col("neighbour").alias("at"), "neighbour")
-    kept = flags(sections).where("has_outputs or verifies").select(F.col("section_id").alias("neighbour"))
-    first = around.unionByName(same).join(kept, "neighbour", "left_semi").groupBy("query_id", "neighbour").agg(F.min(F.struct("section_id", "kind", "at")).alias("first"))
+    verifying = files.where("has_outputs or verifies").select(F.col("section_id").alias("neighbour"))
+    first = around.unionByName(same).join(verifying, "neighbour", "left_semi").groupBy("query_id", "neighbour").agg(F.min(F.struct("section_id", "kind", "at")).alias("first"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("first.section_id", "first.kind", "first.at", "neighbour"))
     return first.select("query_id", F.col("neighbour").alias("section_id"), place.alias("place"))
 
 
-def asked_bridge(queries: DataFrame, sections: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """The output bridge, kept, of the queries that want one; None without such queries."""
-    own = expecting(wanted).select("query_id")
-    return None if own.isEmpty() else checkpointed(output_bridge(queries.join(own, "query_id", "left_semi"), sections))
-
-
 def with_bridge(chosen: DataFrame, bridge: DataFrame, top: int = 10) -> DataFrame:
     """Chosen sections (query_id, section_id, rank) with those of an output bridge before them, where a query has one."""
-    met = chosen.select("query_id", "section_id", F.lit(1).alias("kind"), F.col("rank").alias("at")).unionByName(bridge.select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").alias("at")))
+    met = chosen.select("query_id", "section_id", F.lit(1).alias("kind"), F.col("rank").alias("at"))
+    met = met.unionByName(bridge.select("query_id", "section_id", F.lit(0).alias("kind"), F.col("place").alias("at")))
     first = met.groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
-    return first.select("query_id", "section_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id")).alias("rank")).where(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id"))
+    return first.select("query_id", "section_id", rank.alias("rank")).where(F.col("rank") <= top)
 
 
-def anchors(queries: DataFrame, sections: DataFrame, found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def anchors(batch: Batch, found: DataFrame) -> DataFrame:
     """(query_id, section_id): of the first 20 of each ranking the one with the best score for itself, its useful descendants and its subject."""
     first = found.where("rank <= 20").select("query_id", "section_id", "rank")
-    wanted = wanted if wanted is not None else understood(queries, sections)
-    own = field_postings(sections.join(first.select("section_id").distinct(), "section_id", "left_semi")).join(query_terms(queries), "term").groupBy("query_id", "section_id").agg(F.sum("weight").cast("double").alias("shared"))
-    useful = useful_descendants(sections).groupBy(F.col("ancestor").alias("section_id")).agg(F.count("*").alias("useful"))
-    rows = first.join(own, ["query_id", "section_id"], "left").join(useful, "section_id", "left").join(flags(sections), "section_id").join(wanted, "query_id").join(nodes(sections, "heading", "heading_path", "raw_content", "doc_title"), "section_id")
-    points = subject_score(F.col("subject"))
-    named = release_points(wanted, sections)
-    rows = rows.withColumn("named", F.lit(0.0)) if named is None else rows.join(named.withColumnRenamed("points", "named"), ["query_id", "section_id"], "left")
-    score = F.coalesce("named", F.lit(0.0)) + F.coalesce("shared", F.lit(0.0)) + flag_score() + points + F.least(F.coalesce("useful", F.lit(0)), F.lit(10)) * 4 + F.when(points > 0, 10).otherwise(0)
-    return rows.withColumn("score", score).groupBy("query_id").agg(F.max_by("section_id", F.struct("score", -F.col("rank"))).alias("section_id"))
-
-
-def hybrid_search(queries: DataFrame, sections: DataFrame, top: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+    useful = batch.index.closure.where("useful").groupBy(F.col("ancestor").alias("section_id")).agg(F.count("*").alias("useful"))
+    held = batch.index.rows.select("section_id", *FLAGS).join(first, "section_id").join(useful, "section_id", "left").join(batch.wanted.select("query_id", *ASKS), "query_id")
+    own = overlap_scores(batch).join(first.select("query_id", "section_id"), ["query_id", "section_id"])
+    points = batch.points.select("query_id", "section_id", (F.col("points") + F.when(F.col("named"), 0.0).otherwise(10.0)).alias("score"))
+    parts = own.select("query_id", "section_id", "score").unionByName(points)
+    shared = parts.groupBy("query_id", "section_id").agg(F.sum("score").alias("shared"))
+    score = F.coalesce("shared", F.lit(0.0)) + flag_score() + F.least(F.coalesce("useful", F.lit(0)), F.lit(10)) * 4
+    rows = held.join(shared, ["query_id", "section_id"], "left").withColumn("score", score)
+    return rows.groupBy("query_id").agg(F.max_by("section_id", F.struct("score", -F.col("rank"))).alias("section_id"))
+
+
+def expansion(batch: Batch, anchor: DataFrame) -> DataFrame:
+    """(query_id, section_id, kind, at): anchors (query_id, section_id), their useful descendants, and the useful sections of their files, in this order."""
+    own = anchor.select("query_id", "section_id", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at"))
+    below = anchor.select("query_id", F.col("section_id").alias("ancestor")).join(batch.index.closure.where("useful"), "ancestor")
+    down = below.select("query_id", F.col("descendant").alias("section_id"), F.lit(1).alias("kind"), (F.col("distance") * F.lit(1 << 40) + F.col("descendant")).alias("at"))
+    rows = batch.index.rows
+    useful = rows.where("useful").select("file_path", F.col("section_id").alias("other"))
+    same = rows.select("section_id", "file_path").join(anchor.select("query_id", "section_id"), "section_id").join(useful, "file_path").where("other <> section_id")
+    return own.unionByName(down).unionByName(same.select("query_id", F.col("other").alias("section_id"), F.lit(2).alias("kind"), F.col("other").alias("at")))
+
+
+def chosen_of(every: DataFrame, top: int) -> DataFrame:
+    """(query_id, section_id, rank): sections (query_id, section_id, kind, at) by kind and place, each once, the first ``top``."""
+    first = every.groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
+    order = Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id")
+    return first.select("query_id", "section_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
+
+
+EXPANDS = " or ".join(f"wants_{w}" for w in WANT_WEIGHTS)
+
+
+def hybrid_search(batch: Batch, top: int = 10, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id, rank): the sections chosen for each query.
 
-    A query that wants the output of installing gets its output bridge and then the ranking, if it has a bridge.  Another that wants commands, YAML, output, scripts or steps gets its anchor, the anchor's useful descendants, the useful sections of its
-    file, and for output the first six found that hold outputs; any other the ranking.
+    A query that wants the output of installing gets its output bridge and then the ranking, if it has a bridge.  Another that wants commands, YAML, output,
+    scripts or steps gets its anchor, the anchor's useful descendants, the useful sections of its file, and for output the first six found that hold outputs; any
+    other the ranking.
     """
-    known = understood(queries, sections)
-    bridge = asked_bridge(queries, sections, known)
-    found = checkpointed(combined(queries, sections, vectors, wanted=known, bridge=bridge))
-    wanted = known.withColumn("expands", F.expr(" or ".join(f"wants_{w}" for w in WANT_WEIGHTS)))
+    bridge = batch.bridge
+    found = kept(combined(batch, vectors, bridge=bridge))
+    wanted = batch.wanted.select("query_id", "wants_output", F.expr(EXPANDS).alias("expands"))
     if bridge is not None:
         bridged = bridge.select("query_id").distinct().withColumn("bridged", F.lit(True))
         wanted = wanted.join(bridged, "query_id", "left").withColumn("expands", F.col("expands") & F.col("bridged").isNull()).drop("bridged")
-    anchor = checkpointed(anchors(queries, sections, found, known)).join(wanted, "query_id").where("expands")
-    own = anchor.select("query_id", "section_id", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at"))
-    down = anchor.select("query_id", F.col("section_id").alias("ancestor")).join(useful_descendants(sections), "ancestor").select("query_id", F.col("descendant").alias("section_id"), F.lit(1).alias("kind"), (F.col("distance") * F.lit(1 << 40) + F.col("descendant")).alias("at"))
-    useful = nodes(sections, "file_path", *ARTEFACTS).where(is_useful()).select("file_path", F.col("section_id").alias("other"))
-    same = anchor.join(nodes(sections, "file_path"), "section_id").join(useful, "file_path").where("other <> section_id").select("query_id", F.col("other").alias("section_id"), F.lit(2).alias("kind"), F.col("other").alias("at"))
-    outputs = found.join(flags(sections).where("has_outputs").select("section_id"), "section_id").join(wanted.where("wants_output and expands").select("query_id"), "query_id")
-    outputs = outputs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 6").select("query_id", "section_id", F.lit(3).alias("kind"), F.col("rank").cast("bigint").alias("at"))
+    wanted = kept(wanted)
+    anchor = kept(anchors(batch, found).join(wanted.where("expands"), "query_id", "left_semi"))
+    outputs = found.join(batch.index.rows.where("has_outputs").select("section_id"), "section_id").join(wanted.where("wants_output and expands").select("query_id"), "query_id")
+    outputs = outputs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 6")
+    outputs = outputs.select("query_id", "section_id", F.lit(3).alias("kind"), F.col("rank").cast("bigint").alias("at"))
     plain = found.join(wanted.where("not expands").select("query_id"), "query_id").select("query_id", "section_id", F.lit(4).alias("kind"), F.col("rank").cast("bigint").alias("at"))
-    every = own.unionByName(down).unionByName(same).unionByName(outputs).unionByName(plain)
+    every = expansion(batch, anchor).unionByName(outputs).unionByName(plain)
     if bridge is not None:
         every = every.unionByName(bridge.select("query_id", "section_id", F.lit(-1).alias("kind"), F.col("place").cast("bigint").alias("at")))
-    chosen = every.groupBy("query_id", "section_id").agg(F.min(F.struct("kind", "at")).alias("first"))
-    order = Window.partitionBy("query_id").orderBy("first.kind", "first.at", "section_id")
-    return chosen.select("query_id", "section_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
+    return chosen_of(every, top)

@@ -6,6 +6,7 @@ over a file or equi-joins on it; no recursion.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,20 @@ HEADING = r"^(#{1,6})\s+(.*)$"
 ARTEFACTS = ("commands", "yamls", "outputs", "scripts", "steps")
 
 
-def nodes(sections: DataFrame, *columns: str) -> DataFrame:
+@dataclass
+class Nodes:
+    """Sections read and written once: ``rows``, one for each section, and, where they are known, the tables of their tree."""
+
+    rows: DataFrame
+    ancestors: DataFrame | None
+    closure: DataFrame | None
+
+
+def nodes(sections: DataFrame | Nodes, *columns: str) -> DataFrame:
     """Each section once, with the columns asked for."""
     wanted = list(dict.fromkeys(["section_id", *columns]))
+    if isinstance(sections, Nodes):
+        return sections.rows.select(*wanted)
     return sections.select(*wanted).where("section_id is not null").dropDuplicates(["section_id"])
 
 
@@ -47,12 +59,19 @@ def parse_markdown(texts: DataFrame, key: str, text: str, title: Column, fence_a
     )
 
 
+def own_file() -> tuple[Column, Column]:
+    """What sections of one file share; a section without a file stands alone."""
+    return F.col("file_path"), F.when(F.col("file_path").isNull(), F.col("section_id"))
+
+
 def with_ancestors(sections: DataFrame, deepest: int = 6) -> DataFrame:
     """(file_path, section_id, level, ancestors, parent): the ids above each section from the root down; parent is null at the top.
 
     The last section of level k before a section is above it if no section of a lesser level came in between.
     """
-    order = Window.partitionBy("file_path").orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)
+    if isinstance(sections, Nodes) and sections.ancestors is not None:
+        return sections.ancestors
+    order = Window.partitionBy(*own_file()).orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)
     lasts = [F.last(F.when(F.col("level") == k, F.col("section_id")), ignorenulls=True).over(order) for k in range(1, deepest)]
     rows = nodes(sections, "file_path", "level").select("file_path", "section_id", "level", *(x.alias(f"last_{k}") for k, x in enumerate(lasts, 1)))
     above: list[Column] = []
@@ -66,6 +85,8 @@ def with_ancestors(sections: DataFrame, deepest: int = 6) -> DataFrame:
 
 def closure(sections: DataFrame) -> DataFrame:
     """(file_path, ancestor, descendant, distance), at most five rows a section."""
+    if isinstance(sections, Nodes) and sections.closure is not None:
+        return sections.closure.select("file_path", "ancestor", "descendant", "distance")
     rows = with_ancestors(sections)
     return rows.select("file_path", F.col("section_id").alias("descendant"), F.size("ancestors").alias("depth"), F.posexplode("ancestors").alias("place", "ancestor")).select("file_path", "ancestor", "descendant", (F.col("depth") - F.col("place")).alias("distance"))
 
@@ -76,19 +97,26 @@ def is_useful() -> Column:
 
 def useful_descendants(sections: DataFrame) -> DataFrame:
     """(file_path, ancestor, descendant, distance) of the descendants with commands, YAML, outputs, scripts or steps."""
+    if isinstance(sections, Nodes) and sections.closure is not None:
+        return sections.closure.where("useful").select("file_path", "ancestor", "descendant", "distance")
     useful = nodes(sections, *ARTEFACTS).where(is_useful()).select(F.col("section_id").alias("descendant"))
     return closure(sections).join(useful, "descendant")
 
 
-def siblings(sections: DataFrame) -> DataFrame:
-    """(section_id, sibling): other children of the same parent; sections at the top have none."""
+def only(rows: DataFrame, of: DataFrame | None) -> DataFrame:
+    """Of rows (section_id, ...) those of the sections asked for (section_id); all without such."""
+    return rows if of is None else rows.join(of, "section_id", "left_semi")
+
+
+def siblings(sections: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(section_id, sibling): other children of the same parent; sections at the top have none.  ``of`` (section_id) are the sections asked for."""
     rows = with_ancestors(sections).where("parent is not null").select("parent", "section_id")
-    return rows.join(rows.select("parent", F.col("section_id").alias("sibling")), "parent").where("section_id <> sibling").select("section_id", "sibling")
+    return only(rows, of).join(rows.select("parent", F.col("section_id").alias("sibling")), "parent").where("section_id <> sibling").select("section_id", "sibling")
 
 
 def neighbours(sections: DataFrame, radius: int = 2) -> DataFrame:
     """(section_id, offset, neighbour): the sections up to ``radius`` places before and after in the file."""
-    order = Window.partitionBy("file_path").orderBy("section_id")
+    order = Window.partitionBy(*own_file()).orderBy("section_id")
     rows = nodes(sections, "file_path")
     offsets = [d for d in range(-radius, radius + 1) if d]
     rows = rows.select("section_id", *(F.lag("section_id", -d).over(order).alias(f"at_{k}") for k, d in enumerate(offsets)))
@@ -96,15 +124,19 @@ def neighbours(sections: DataFrame, radius: int = 2) -> DataFrame:
     return rows.select("section_id", F.explode(near).alias("n")).select("section_id", "n.offset", "n.neighbour").where("neighbour is not null")
 
 
-def structural_neighbours(sections: DataFrame, radius: int = 2, most_descendants: int = 6) -> DataFrame:
-    """(section_id, neighbour, place): itself, parent, first descendants, siblings, file neighbours, each once, in this order."""
-    tree = with_ancestors(sections)
+def structural_neighbours(sections: DataFrame, radius: int = 2, most_descendants: int = 6, of: DataFrame | None = None) -> DataFrame:
+    """(section_id, neighbour, place): itself, parent, first descendants, siblings, file neighbours, each once, in this order.
+
+    A section has as many siblings as its parent has children; ``of`` (section_id) keeps that to the sections asked for.
+    """
+    tree = only(with_ancestors(sections), of)
     own = tree.select("section_id", F.col("section_id").alias("neighbour"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at"))
     up = tree.where("parent is not null").select("section_id", F.col("parent").alias("neighbour"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("at"))
-    order = Window.partitionBy("ancestor").orderBy("distance", "descendant")
-    down = closure(sections).withColumn("at", F.row_number().over(order).cast("bigint")).where(F.col("at") <= most_descendants).select(F.col("ancestor").alias("section_id"), F.col("descendant").alias("neighbour"), F.lit(2).alias("kind"), "at")
-    side = siblings(sections).select("section_id", F.col("sibling").alias("neighbour"), F.lit(3).alias("kind"), F.col("sibling").alias("at"))
-    near = neighbours(sections, radius).select("section_id", "neighbour", F.lit(4).alias("kind"), F.col("offset").cast("bigint").alias("at"))
+    order = Window.partitionBy("section_id").orderBy("distance", "descendant")
+    below = only(closure(sections).select(F.col("ancestor").alias("section_id"), "descendant", "distance"), of)
+    down = below.withColumn("at", F.row_number().over(order).cast("bigint")).where(F.col("at") <= most_descendants).select("section_id", F.col("descendant").alias("neighbour"), F.lit(2).alias("kind"), "at")
+    side = siblings(sections, of).select("section_id", F.col("sibling").alias("neighbour"), F.lit(3).alias("kind"), F.col("sibling").alias("at"))
+    near = only(neighbours(sections, radius), of).select("section_id", "neighbour", F.lit(4).alias("kind"), F.col("offset").cast("bigint").alias("at"))
     met = own.unionByName(up).unionByName(down).unionByName(side).unionByName(near)
     first = met.groupBy("section_id", "neighbour").agg(F.min(F.struct("kind", "at")).alias("first"))
     place = F.row_number().over(Window.partitionBy("section_id").orderBy("first.kind", "first.at", "neighbour"))

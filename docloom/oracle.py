@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from docloom.functions.text import INSTALL_PREFIXES, STOPWORDS
 from docloom.operators.extract import TOPICS
-from docloom.operators.search import INSTALLING, PREREQ_WEIGHT, RELEASES, VERIFY_INSTALL_WEIGHT, VERIFY_WEIGHT, VERIFYING, VERIFYING_INSTALL, WANT_WEIGHTS, WANTS
+from docloom.operators.index import PREPARING, VERIFYING, VERIFYING_INSTALL
+from docloom.operators.search import INSTALLING, PREREQ_WEIGHT, RELEASES, VERIFY_INSTALL_WEIGHT, VERIFY_WEIGHT, WANT_WEIGHTS, WANTS
+from docloom.questions import QUESTIONS
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
@@ -25,7 +27,11 @@ HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1))"
 STRIP = r"regexp_replace(url, '[?#](.|\n)*$', '')"
 NORMAL = rf"regexp_replace(trim({STRIP}), '/+$', '')"
 NODES = "n AS (SELECT DISTINCT ON (section_id) * FROM sections)"
-ASKED = "q AS (SELECT DISTINCT ON (item_id) item_id AS query_id, text FROM eval_items)"
+ITEMS = "q AS (SELECT DISTINCT ON (item_id) item_id AS query_id, text FROM eval_items)"
+HELM_NAMES = "SELECT DISTINCT regexp_extract(command, 'helm install ([a-zA-Z0-9._-]+)', 1) AS name FROM (SELECT unnest(commands) AS command FROM sections)"
+FIXED = ", ".join(f"({-1 - i}, '{text}')" for i, text in enumerate(QUESTIONS))
+ASKED = f"""q AS (SELECT DISTINCT ON (item_id) item_id AS query_id, text FROM eval_items UNION ALL SELECT * FROM (VALUES {FIXED}) AS v(query_id, text)
+  UNION ALL SELECT -100, 'what output should i expect when i install ' || min(name) FROM ({HELM_NAMES}) WHERE name <> '')"""
 PATHTEXT = "coalesce(array_to_string(heading_path, ' > '), '')"
 
 ANCESTORS = f"""
@@ -36,6 +42,15 @@ up AS (SELECT b.file_path, a.section_id AS ancestor, b.section_id AS descendant
 tree AS (SELECT *, row_number() OVER (PARTITION BY descendant ORDER BY ancestor DESC) AS distance FROM up)
 """
 
+STRUCTURAL = f"""r AS (SELECT file_path, section_id, row_number() OVER (PARTITION BY file_path ORDER BY section_id) AS k FROM n),
+p1 AS (SELECT descendant AS section_id, ancestor AS parent FROM tree WHERE distance = 1),
+near0 AS (SELECT section_id, section_id AS neighbour, 0 AS kind, 0 AS place_in FROM n UNION ALL SELECT section_id, parent, 1, 0 FROM p1
+  UNION ALL SELECT ancestor, descendant, 2, row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) FROM tree QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) <= 6
+  UNION ALL SELECT a.section_id, b.section_id, 3, b.section_id FROM p1 a JOIN p1 b ON a.parent = b.parent AND a.section_id <> b.section_id
+  UNION ALL SELECT a.section_id, b.section_id, 4, b.k - a.k FROM r a JOIN r b ON a.file_path = b.file_path AND abs(b.k - a.k) BETWEEN 1 AND RADIUS),
+near1 AS (SELECT section_id, neighbour, min(row(kind, place_in)) AS first FROM near0 GROUP BY ALL),
+near AS (SELECT section_id, neighbour, CAST(row_number() OVER (PARTITION BY section_id ORDER BY first, neighbour) AS INTEGER) AS place FROM near1)"""
+
 OVERLAP = f"""
 {NODES}, {ASKED},
 qt AS (SELECT query_id, unnest(list_distinct({terms("text")})) AS term FROM q),
@@ -62,21 +77,27 @@ subj AS (SELECT q.query_id, coalesce(nullif(regexp_extract(text, '(?i)([a-zA-Z0-
   FROM q JOIN intent ON q.query_id = intent.query_id LEFT JOIN h1 ON h1.query_id = q.query_id LEFT JOIN t1 ON t1.query_id = q.query_id LEFT JOIN w2 ON w2.query_id = q.query_id)
 """
 
-S = norm("subject")
 FLAG_SCORE = " + ".join(
-    [f"CASE WHEN {any_of(norm('heading'), VERIFYING)} THEN {VERIFY_WEIGHT} ELSE 0 END"]
+    [f"CASE WHEN {any_of('h', VERIFYING)} THEN {VERIFY_WEIGHT} ELSE 0 END"]
     + [f"CASE WHEN wants_{w} AND coalesce(len({a}), 0) > 0 THEN {k} ELSE 0 END" for w, (a, k) in WANT_WEIGHTS.items()]
-    + [f"CASE WHEN wants_prereq AND {any_of(norm('heading'), ['prereq', 'preparation', 'requirements'])} THEN {PREREQ_WEIGHT} ELSE 0 END", f"CASE WHEN wants_output AND installs AND {any_of(norm('heading'), VERIFYING_INSTALL)} THEN {VERIFY_INSTALL_WEIGHT} ELSE 0 END"]
+    + [f"CASE WHEN wants_prereq AND {any_of('h', PREPARING)} THEN {PREREQ_WEIGHT} ELSE 0 END", f"CASE WHEN wants_output AND installs AND {any_of('h', VERIFYING_INSTALL)} THEN {VERIFY_INSTALL_WEIGHT} ELSE 0 END"]
 )
-SUBJECT_SCORE = f"""CASE WHEN subject IS NULL OR {S} = '' THEN 0 ELSE
-  CASE WHEN {norm("heading")} = {S} THEN 100 WHEN contains({norm("heading")}, {S}) THEN 70 ELSE 0 END
-  + CASE WHEN contains({norm(PATHTEXT)}, {S}) THEN 60 ELSE 0 END + CASE WHEN contains({norm("raw_content")}, {S}) THEN 45 ELSE 0 END
-  + CASE WHEN contains({norm("doc_title")}, {S}) THEN 20 ELSE 0 END
-  + CASE WHEN regexp_matches(lower(subject), '\\.ya?ml$') AND contains({norm("raw_content")}, {S}) THEN 30 ELSE 0 END END"""
+#: The points of a subject, from its definition: exact heading 100 or heading holding it 70, path 60, content 45, title 20, a YAML file name in content 30 more.
+SUBJECT_SCORE = """CASE WHEN s IS NULL OR s = '' THEN 0 ELSE CASE WHEN h = s THEN 100 WHEN contains(h, s) THEN 70 ELSE 0 END
+  + CASE WHEN contains(pt, s) THEN 60 ELSE 0 END + CASE WHEN contains(c, s) THEN 45 ELSE 0 END + CASE WHEN contains(t, s) THEN 20 ELSE 0 END
+  + CASE WHEN (subject LIKE '%.yaml' OR subject LIKE '%.yml') AND contains(c, s) THEN 30 ELSE 0 END END"""
+VIEWS = f"""nn AS (SELECT *, {norm("heading")} AS h, {norm(PATHTEXT)} AS pt, {norm("raw_content")} AS c, {norm("doc_title")} AS t FROM n),
+qs AS (SELECT i.*, {norm("q.text")} AS qt, subject, {norm("subject")} AS s FROM intent i JOIN q USING (query_id) JOIN subj USING (query_id)),
+cmd AS (SELECT section_id, {norm("command")} AS command FROM (SELECT section_id, unnest(commands) AS command FROM n))"""
 
-LEXICAL = f"""{OVERLAP}, {SUBJECT},
-scored AS (SELECT q.query_id, n.section_id, CAST(coalesce(o.score, 0) + {FLAG_SCORE} + {SUBJECT_SCORE} AS DOUBLE) AS score, {SUBJECT_SCORE} AS pts
-  FROM q JOIN intent ON intent.query_id = q.query_id JOIN subj ON subj.query_id = q.query_id CROSS JOIN n LEFT JOIN o ON o.query_id = q.query_id AND o.section_id = n.section_id),
+LEXICAL = f"""{OVERLAP}, {SUBJECT}, {VIEWS},
+rp AS (SELECT query_id, section_id, CAST(sum(points) AS INTEGER) AS points FROM (
+  SELECT DISTINCT query_id, section_id, 15 AS points FROM qs, cmd WHERE wants_output AND installs AND release IS NOT NULL AND contains(command, release)
+  UNION ALL SELECT query_id, section_id, 18 FROM qs, nn WHERE wants_output AND installs AND release IS NOT NULL AND contains(c, release) AND len(outputs) > 0) GROUP BY ALL),
+pts AS (SELECT query_id, section_id, {SUBJECT_SCORE} AS pts FROM qs, nn WHERE s <> ''),
+scored AS (SELECT qs.query_id, nn.section_id, coalesce(pts.pts, 0) AS pts, CAST(coalesce(o.score, 0) + {FLAG_SCORE} + coalesce(pts.pts, 0) + coalesce(rp.points, 0) AS DOUBLE) AS score
+  FROM qs CROSS JOIN nn LEFT JOIN o ON o.query_id = qs.query_id AND o.section_id = nn.section_id LEFT JOIN pts ON pts.query_id = qs.query_id AND pts.section_id = nn.section_id
+  LEFT JOIN rp ON rp.query_id = qs.query_id AND rp.section_id = nn.section_id),
 lexical AS (SELECT query_id, section_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INTEGER) AS rank FROM scored WHERE score > 0
   QUALIFY rank <= 12)
 """
@@ -145,7 +166,7 @@ SQL: dict[str, str] = {
     "page_stats": """WITH p AS (SELECT DISTINCT page_url, scope_used, html_source, unnest(map_entries(stats)) AS e FROM pages_md)
       SELECT scope_used, e.key AS part, count(*) AS pages, CAST(sum(e.value) AS BIGINT) AS total FROM p GROUP BY ALL""",
     "text_normalized": f"SELECT doc_id, md5({norm('text')}) AS digest, CAST(length({norm('text')}) AS INTEGER) AS chars FROM documents",
-    "text_terms": f"WITH {ASKED} SELECT query_id, {terms('text')} AS terms FROM q",
+    "text_terms": f"WITH {ITEMS} SELECT query_id, {terms('text')} AS terms FROM q",
     "text_term_frequencies": f"SELECT term, count(*) AS documents FROM (SELECT unnest(list_distinct({terms('text')})) AS term FROM documents) GROUP BY term",
     "text_sentences": r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents)
       SELECT doc_id, CAST(i AS INTEGER) AS "at", ss[i + 1] AS sentence FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM s)""",
@@ -181,11 +202,21 @@ SQL: dict[str, str] = {
     "scores_minmax": f"""{BM25_ONLY}, m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm)
       SELECT query_id, section_id, round(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END, 5) AS scaled FROM m""",
     "ranks_fused": f"""WITH {LEXICAL}, {BM25} SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT query_id, section_id, rank FROM lexical UNION ALL SELECT query_id, section_id, rank FROM bm) GROUP BY ALL""",
-    "subject_tiers": f"""WITH {NODES}, s AS (SELECT min(section_id) AS query_id, {norm("heading")} AS s FROM (SELECT * FROM n WHERE heading IS NOT NULL) GROUP BY heading, 2),
-      x AS (SELECT section_id, {norm("heading")} AS h, {norm("doc_title")} AS t, {norm("raw_content")} AS c FROM n),
-      y AS (SELECT query_id, section_id, CASE WHEN h = s THEN 1 WHEN contains(h, s) THEN 2 WHEN contains(t, s) THEN 3 WHEN contains(c, s) THEN 4 END AS tier FROM s, x WHERE s <> ''),
-      z AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM y WHERE tier IS NOT NULL)
-      SELECT query_id, CAST(tier AS INTEGER) AS tier, count(*) AS sections FROM z WHERE tier = best GROUP BY ALL""",
+    "subject_points": f"WITH {LEXICAL} SELECT query_id, section_id, CAST(pts AS DOUBLE) AS points FROM scored WHERE pts > 0",
+    "subject_tiers": f"""WITH {LEXICAL}, y AS (SELECT l.query_id, l.section_id, CASE WHEN s IS NULL OR s = '' THEN 5 WHEN h = s THEN 1 WHEN contains(h, s) THEN 2 WHEN contains(t, s) THEN 3 WHEN contains(c, s) THEN 4 ELSE 5 END AS tier
+        FROM lexical l JOIN qs USING (query_id) JOIN nn USING (section_id))
+      SELECT query_id, section_id, CAST(tier AS INTEGER) AS tier FROM y QUALIFY tier = min(tier) OVER (PARTITION BY query_id)""",
+    "require_filter": f"""WITH {LEXICAL}, {BM25}, fit AS (SELECT bm.query_id, bm.section_id, pts, rank FROM bm JOIN scored USING (query_id, section_id) JOIN n USING (section_id) WHERE pts > 0 AND len(yamls) > 0)
+      SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pts DESC, rank) AS INTEGER) AS rank FROM fit
+      UNION ALL SELECT query_id, section_id, rank FROM bm WHERE query_id NOT IN (SELECT query_id FROM fit)""",
+    "index_build": f"""WITH {NODES}, {BM25.replace(" bqt AS", " unused AS").split("unused AS")[0].rstrip().rstrip(",")},
+      f AS (SELECT section_id, unnest(list_distinct({terms("heading")})) AS term, 12 AS weight FROM n UNION ALL SELECT section_id, unnest(list_distinct({terms(PATHTEXT)})), 8 FROM n
+            UNION ALL SELECT section_id, unnest(list_distinct({terms("doc_title")})), 6 FROM n UNION ALL SELECT section_id, unnest(list_distinct({terms("substring(coalesce(raw_content, ''), 1, 1600)")})), 4 FROM n),
+      every AS (SELECT section_id, term FROM bt UNION SELECT section_id, term FROM f),
+      k AS (SELECT DISTINCT 'h' AS kind, {norm("heading")} AS key FROM n WHERE heading <> '' UNION SELECT DISTINCT 't', {norm("doc_title")} FROM n WHERE doc_title <> ''),
+      {ANCESTORS.replace(NODES + ",", "").strip()}
+      SELECT (SELECT count(*) FROM every) AS postings, (SELECT CAST(sum(tf) AS BIGINT) FROM bt) AS words, (SELECT CAST(sum(weight) AS BIGINT) FROM f) AS weights, (SELECT count(*) FROM bd) AS terms, (SELECT count(*) FROM k WHERE key <> '') AS keys,
+        (SELECT count(*) FROM tree) AS closure, (SELECT count(*) FROM tree JOIN n ON section_id = descendant WHERE len(commands) > 0 OR len(yamls) > 0 OR len(outputs) > 0 OR len(scripts) > 0 OR len(steps) > 0) AS useful, (SELECT count(*) FROM n) AS sections""",
     "answer_sources": f"""{BM25_ONLY}, c AS (SELECT query_id, rank, coalesce(doc_title, '') AS doc_title, coalesce(heading, '') AS heading, coalesce(nullif(page_url, ''), 'N/A') AS page_url FROM bm JOIN n USING (section_id) WHERE rank <= 10),
       f AS (SELECT query_id, doc_title, heading, page_url, min(rank) AS first FROM c GROUP BY ALL)
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, doc_title, heading, page_url) AS INTEGER) AS place, doc_title, heading, page_url FROM f QUALIFY place <= 8""",
@@ -199,16 +230,26 @@ SQL: dict[str, str] = {
     "stream_new_pages": rf"SELECT DISTINCT {STRIP} AS page_url FROM discovered_urls WHERE url IS NOT NULL",
 }
 
-HYBRID = f"""{LEXICAL}, {BM25}, {ANCESTORS.replace(NODES + ",", "").strip()},
+BRIDGE = f"""{ANCESTORS.replace(NODES + ",", "").strip()}, {STRUCTURAL.replace("RADIUS", "3")},
+matched AS (SELECT DISTINCT query_id, section_id FROM qs, cmd WHERE (release IS NOT NULL AND contains(command, release))
+  OR (contains(qt, 'helm install') AND contains(command, 'helm install')) OR (contains(qt, 'helm upgrade') AND contains(command, 'helm upgrade'))),
+mine AS (SELECT m.* FROM matched m JOIN qs USING (query_id) WHERE wants_output AND installs),
+around AS (SELECT query_id, section_id, 0 AS kind, place AS place_in, neighbour FROM mine JOIN near USING (section_id)
+  UNION ALL SELECT query_id, m.section_id, 1, b.section_id, b.section_id FROM mine m JOIN n a ON a.section_id = m.section_id JOIN n b ON b.file_path = a.file_path AND len(b.outputs) > 0),
+bridged AS (SELECT query_id, neighbour, min(row(a.section_id, kind, place_in)) AS first FROM around a JOIN nn ON nn.section_id = neighbour
+  WHERE len(nn.outputs) > 0 OR {any_of("h", VERIFYING)} GROUP BY ALL),
+bridge AS (SELECT query_id, neighbour AS section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, neighbour) AS INTEGER) AS place FROM bridged)"""
+
+HYBRID = f"""{LEXICAL}, {BM25}, {BRIDGE},
 every AS (SELECT query_id, section_id, score, rank, 'l' AS r FROM lexical UNION ALL SELECT query_id, section_id, score, rank, 'b' FROM bm),
 bounds AS (SELECT *, min(score) OVER (PARTITION BY query_id, r) AS lo, max(score) OVER (PARTITION BY query_id, r) AS hi FROM every),
-named AS (SELECT query_id, {norm("subject")} AS key FROM subj WHERE subject IS NOT NULL),
-exact AS (SELECT DISTINCT query_id, section_id FROM named JOIN n ON key <> '' AND ({norm("heading")} = key OR {norm("doc_title")} = key)),
+exact AS (SELECT DISTINCT query_id, section_id FROM qs JOIN nn ON s <> '' AND (h = s OR t = s)),
 parts AS (SELECT query_id, section_id, (CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END) * (CASE r WHEN 'l' THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END) + 10.0::DOUBLE / (60 + rank) AS part FROM bounds
-  UNION ALL SELECT query_id, section_id, 2.0::DOUBLE FROM exact
+  UNION ALL SELECT query_id, section_id, 2.0::DOUBLE FROM exact UNION ALL SELECT query_id, section_id, 2.75::DOUBLE FROM bridge
   UNION ALL SELECT query_id, d.section_id, 1.2::DOUBLE FROM exact JOIN tree ON ancestor = exact.section_id JOIN n d ON d.section_id = descendant
     WHERE len(d.commands) > 0 OR len(d.yamls) > 0 OR len(d.outputs) > 0 OR len(d.scripts) > 0 OR len(d.steps) > 0),
-total AS (SELECT query_id, section_id, round(sum(part), 6) AS score FROM parts GROUP BY ALL),
+total0 AS (SELECT query_id, section_id, round(sum(part), 6) AS score FROM parts GROUP BY ALL),
+total AS (SELECT * FROM total0 UNION ALL SELECT query_id, section_id, 0.0::DOUBLE FROM q, (SELECT section_id FROM n ORDER BY section_id LIMIT 20) WHERE query_id NOT IN (SELECT query_id FROM total0)),
 hybrid AS (SELECT query_id, section_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INTEGER) AS rank FROM total)
 """
 
@@ -236,14 +277,7 @@ SQL |= {
       b AS (SELECT query_id, rank, arg_max(sentence, row(hits, -i)) AS sentence FROM h WHERE hits > 0 GROUP BY ALL),
       f AS (SELECT query_id, sentence, min(rank) AS rank FROM b GROUP BY ALL)
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, sentence) AS INTEGER) AS place, sentence FROM f QUALIFY place <= 3""",
-    "section_structural_neighbours": f"""WITH {ANCESTORS}, r AS (SELECT file_path, section_id, row_number() OVER (PARTITION BY file_path ORDER BY section_id) AS k FROM n),
-      p AS (SELECT descendant AS section_id, ancestor AS parent FROM tree WHERE distance = 1),
-      m AS (SELECT section_id, section_id AS neighbour, 0 AS kind, 0 AS place_in FROM n UNION ALL SELECT section_id, parent, 1, 0 FROM p
-        UNION ALL SELECT ancestor, descendant, 2, row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) FROM tree QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY distance, descendant) <= 6
-        UNION ALL SELECT a.section_id, b.section_id, 3, b.section_id FROM p a JOIN p b ON a.parent = b.parent AND a.section_id <> b.section_id
-        UNION ALL SELECT a.section_id, b.section_id, 4, b.k - a.k FROM r a JOIN r b ON a.file_path = b.file_path AND abs(b.k - a.k) BETWEEN 1 AND 2),
-      f AS (SELECT section_id, neighbour, min(row(kind, place_in)) AS first FROM m GROUP BY ALL)
-      SELECT section_id, neighbour, CAST(row_number() OVER (PARTITION BY section_id ORDER BY first, neighbour) AS INTEGER) AS place FROM f""",
+    "section_structural_neighbours": f"WITH {ANCESTORS}, {STRUCTURAL.replace('RADIUS', '2')} SELECT * FROM near",
 }
 
 USEFUL = "(len({0}.commands) > 0 OR len({0}.yamls) > 0 OR len({0}.outputs) > 0 OR len({0}.scripts) > 0 OR len({0}.steps) > 0)"
@@ -253,20 +287,21 @@ anchor AS (SELECT h.query_id, arg_max(h.section_id, row(s.score + least(coalesce
   FROM hybrid h JOIN scored s ON s.query_id = h.query_id AND s.section_id = h.section_id LEFT JOIN useful u ON u.section_id = h.section_id WHERE h.rank <= 20 GROUP BY 1)
 """
 CHOSEN = f"""{ANCHOR},
-x AS (SELECT query_id, wants_commands OR wants_yaml OR wants_output OR wants_script OR wants_steps AS expands, wants_output FROM intent),
+x AS (SELECT query_id, (wants_commands OR wants_yaml OR wants_output OR wants_script OR wants_steps) AND query_id NOT IN (SELECT query_id FROM bridge) AS expands, wants_output FROM intent),
 ax AS (SELECT anchor.query_id, anchor.section_id FROM anchor JOIN x ON x.query_id = anchor.query_id WHERE expands),
 met AS (SELECT query_id, section_id, 0 AS kind, 0 AS place_in FROM ax
+  UNION ALL SELECT query_id, section_id, -1, place FROM bridge
   UNION ALL SELECT ax.query_id, d.section_id, 1, CAST(distance AS BIGINT) * 1099511627776 + d.section_id FROM ax JOIN tree ON ancestor = ax.section_id JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")}
   UNION ALL SELECT ax.query_id, m.section_id, 2, m.section_id FROM ax JOIN n a ON a.section_id = ax.section_id JOIN n m ON m.file_path = a.file_path AND m.section_id <> a.section_id WHERE {USEFUL.format("m")}
   UNION ALL (SELECT h.query_id, h.section_id, 3, h.rank FROM hybrid h JOIN n m ON m.section_id = h.section_id AND len(m.outputs) > 0 JOIN x ON x.query_id = h.query_id AND expands AND wants_output QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) <= 6)
   UNION ALL SELECT h.query_id, h.section_id, 4, h.rank FROM hybrid h JOIN x ON x.query_id = h.query_id AND NOT expands),
 firsts AS (SELECT query_id, section_id, min(row(kind, place_in)) AS first FROM met GROUP BY ALL)
 """
+#: The batch of questions for the output of installing each name, in place of the others.
+INSTALLS = f"""{LEXICAL.replace(ASKED, "q AS (SELECT CAST('0x' || substr(md5(name), 1, 12) AS BIGINT) AS query_id, 'what output should i expect when i install ' || name AS text FROM (" + HELM_NAMES + ") WHERE name <> '')")}, {BRIDGE}"""
 SQL |= {
     "anchor_sections": f"WITH {ANCHOR} SELECT query_id, section_id FROM anchor",
     "hybrid_search": f"WITH {CHOSEN} SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, section_id) AS INTEGER) AS rank FROM firsts QUALIFY rank <= 10",
-    "command_matches": rf"""WITH {NODES}, c AS (SELECT section_id, unnest(commands) AS command FROM n),
-      m AS (SELECT section_id, regexp_extract(command, 'helm install ([a-zA-Z0-9._-]+)', 1) AS name FROM c), k AS (SELECT name, min(section_id) AS query_id FROM m WHERE name <> '' GROUP BY name),
-      r AS (SELECT query_id, lower(min(name)) AS release FROM k GROUP BY query_id)
-      SELECT DISTINCT query_id, section_id FROM r, c WHERE list_contains(string_split({norm("command")}, ' '), release)""",
+    "command_matches": f"WITH {INSTALLS} SELECT query_id, section_id FROM matched",
+    "output_bridge": f"WITH {INSTALLS} SELECT * FROM bridge",
 }

@@ -64,6 +64,11 @@ def written(df: DataFrame) -> tuple[str, DataFrame]:
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small table written once in the shared folder.  Unlike a checkpoint it is of known size, so that joins broadcast it just if it is small."""
+    return written(df)[1]
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ import numpy as np
 
 from docloom.operators import answers as A
 from docloom.operators import crawl, search
+from docloom.operators.index import ARTEFACTS, Engine, build_index, open_index, retrieval_content
 
 SECTIONS = "section_id long, file_path string, doc_title string, page_url string, heading string, level int, heading_path array<string>, raw_content string, commands array<string>, yamls array<string>, scripts array<string>, outputs array<string>, steps array<string>"
 
@@ -22,33 +23,66 @@ def asked(spark):
     return spark.createDataFrame([(1, "what commands setup gateway"), (2, "storage volumes"), (3, ""), (4, None)], "query_id long, text string")
 
 
+def batch(spark, queries=None, sections=None):
+    return search.understood(asked(spark) if queries is None else queries, build_index(corpus(spark) if sections is None else sections))
+
+
 def test_understanding(spark):
-    got = {r["query_id"]: r for r in search.understood(asked(spark), corpus(spark)).collect()}
+    got = {r["query_id"]: r for r in batch(spark).wanted.collect()}
     assert got[1]["wants_commands"] and got[1]["subject"] == "Setup gateway" and got[2]["subject"] == "Storage volumes"
     assert got[3]["subject"] is None and not got[4]["wants_yaml"]
 
 
 def test_search_and_answers(spark):
-    q, s = asked(spark), corpus(spark)
-    top = {r["query_id"]: r["section_id"] for r in search.lexical_search(q, s).where("rank = 1").collect()}
+    own = batch(spark)
+    top = {r["query_id"]: r["section_id"] for r in search.lexical_search(own).where("rank = 1").collect()}
     assert top[1] == 1 and top[2] == 3
-    chosen = search.hybrid_search(q, s)
+    chosen = search.hybrid_search(own)
     first = {r["query_id"]: r["section_id"] for r in chosen.where("rank = 1").collect()}
-    assert first[1] == 1 and first[2] == 3
-    got = {r["query_id"]: r for r in A.answers(chosen, q, s).collect()}
+    assert first[1] == 1 and first[2] == 3 and first[3] == first[4] == 2  # nothing asked: what verifies scores
+    got = {r["query_id"]: r for r in A.answers(own, chosen).collect()}
     assert got[1]["kind"] == "commands" and "helm install gateway" in got[1]["answer"]
-    assert A.sources(chosen, s).where("page_url = 'N/A'").count() > 0
+    assert A.sources(chosen, own.index).where("page_url = 'N/A'").count() > 0
 
 
-def test_bm25_by_hand(spark):
-    s, q = corpus(spark), spark.createDataFrame([(1, "volumes")], "query_id long, text string")
-    got = search.bm25_search(q, s).collect()
-    from docloom.functions.text import TERM  # noqa: F401
+def test_first_sections_where_nothing_scores(spark):
+    own = batch(spark, asked(spark).where("query_id > 2"), corpus(spark).where("section_id > 2"))
+    assert {tuple(r) for r in search.combined(own).collect()} == {(q, s, 0.0, s - 2) for q in (3, 4) for s in (3, 4)}
+
+
+def test_index_is_stored_and_opened_again(spark, tmp_path):
+    made = build_index(corpus(spark), str(tmp_path / "index"))
+    again = open_index(spark, str(tmp_path / "index"))
+    assert again.count == made.count == 4 and again.mean == made.mean > 0
+    q = spark.createDataFrame([(1, "storage volumes")], "query_id long, text string")
+    assert [tuple(r) for r in search.bm25_search(search.understood(q, again)).collect()] == [tuple(r) for r in search.bm25_search(search.understood(q, made)).collect()]
+    corpus(spark).write.parquet(str(tmp_path / "sections.parquet"))
+    engine = Engine(spark)
+    assert not engine.status(str(tmp_path / "sections.parquet"))["ready"]
+    first = engine.index(str(tmp_path / "sections.parquet"))
+    assert engine.index(str(tmp_path / "sections.parquet")) is first and engine.index(str(tmp_path / "sections.parquet"), force=True) is not first
+    assert engine.status(str(tmp_path / "sections.parquet")) == {"ready": True, "sections": 4, "last_error": None}
 
-    rows = {r["section_id"]: r["words"] for r in search.nodes(s, "heading", "doc_title", "heading_path", "raw_content", *search.ARTEFACTS).select("section_id", search.terms(search.retrieval_content(), []).alias("words")).collect()}
+
+def test_subject_points_find_names_inside_words_and_stop_words(spark):
+    row = lambda i, heading, text, title=None: (i, "a", title, "u", heading, 1, [heading] if heading else None, text, [], [], [], [], [])
+    sections = spark.createDataFrame([row(1, "Cluster sizing table", "the cluster"), row(2, "Installing it", "x"), row(3, "Cluster", None), row(4, None, "my-gateway.", "x"), row(5, "install", "y", "How to install"), row(6, "a.yaml", "see a.yaml")], SECTIONS)
+    q = spark.createDataFrame([(1, "Cluster"), (2, "install"), (3, "a.yaml")], "query_id long, text string")
+    own = batch(spark, q, sections)
+    got = {(r["query_id"], r["section_id"]): r["points"] for r in search.subject_points(own).collect()}
+    assert got[1, 1] == 70 + 60 + 45 and got[1, 3] == 160 and got[2, 2] == 130 and got[2, 5] == 180 and got[3, 6] == 100 + 60 + 45 + 30
+    tiers = {(r["query_id"], r["section_id"]): r["tier"] for r in A.subject_tiers(spark.createDataFrame([(2, 2), (2, 1), (1, 4)], "query_id long, section_id long"), own.wanted, own.index).collect()}
+    assert tiers == {(2, 2): 2, (1, 4): 5}
+
+
+def test_bm25_by_hand(spark):
+    own = batch(spark, spark.createDataFrame([(1, "volumes")], "query_id long, text string"))
+    got = search.bm25_search(own).collect()
+    rows = {r["section_id"]: r["words"] for r in own.index.rows.select("section_id", search.terms(retrieval_content(), []).alias("words")).collect()}
     mean, tf = sum(map(len, rows.values())) / len(rows), rows[3].count("volumes")
     idf = math.log(1 + (len(rows) - 1 + 0.5) / 1.5)
     assert len(got) == 1 and math.isclose(got[0]["score"], idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(rows[3]) / mean)), abs_tol=1e-5)
+    assert ARTEFACTS
 
 
 def test_vectors_against_brute_force(spark):
@@ -87,10 +121,10 @@ def test_frontier(spark):
 
 
 def test_output_bridge(spark):
-    s = corpus(spark)
     q = spark.createDataFrame([(1, "what output should i expect when i install gateway"), (2, "install gateway"), (3, "expected output of helm install")], "query_id long, text string")
-    assert {tuple(r) for r in search.command_matches(q, s).collect()} == {(1, 1), (2, 1), (3, 1)}
-    bridge = search.output_bridge(q, s)
+    own = batch(spark, q)
+    assert {tuple(r) for r in search.command_matches(own).collect()} == {(1, 1), (2, 1), (3, 1)}
+    bridge = search.output_bridge(own)
     assert {tuple(r) for r in bridge.collect()} == {(1, 2, 1), (3, 2, 1)}
     chosen = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 3, 1)], "query_id long, section_id long, rank int")
     assert {tuple(r) for r in search.with_bridge(chosen, bridge).collect()} == {(1, 2, 1), (1, 1, 2), (2, 3, 1), (3, 2, 1)}
@@ -101,7 +135,7 @@ def test_command_matches_contain_the_release(spark):
     rows = [(10 + i, "c", "T", "u", "H", 1, ["H"], "x", [c], [], [], [], []) for i, c in enumerate(commands)]
     q = spark.createDataFrame([(1, "install gateway"), (2, "install way"), (3, "nothing")], "query_id long, text string")
     expected = {(1, 10), (1, 11), (1, 12), (1, 14), (2, 10), (2, 11), (2, 12), (2, 13), (2, 14)}
-    assert {tuple(r) for r in search.command_matches(q, spark.createDataFrame(rows, SECTIONS)).collect()} == expected
+    assert {tuple(r) for r in search.command_matches(batch(spark, q, spark.createDataFrame(rows, SECTIONS))).collect()} == expected
 
 
 def test_questions_for_the_output_of_installing(spark):
@@ -109,15 +143,15 @@ def test_questions_for_the_output_of_installing(spark):
     rows = [row(1, "a", "One", "x", ["run zorvex-1"]), row(2, "b", "Two", "see myzorvex here", outputs=["up"]), row(3, "a", "Three", "x", outputs=["ok"]), row(4, "c", "Four", "zorvex zorvex install output"), row(5, "d", "Five", "x", outputs=["no"])]
     s = spark.createDataFrame(rows, SECTIONS)
     q = spark.createDataFrame([(1, "output of install zorvex"), (2, "install zorvex")], "query_id long, text string")
-    scores = {tuple(r)[:2]: r["score"] for r in search.node_scores(q, s).collect()}
+    own = batch(spark, q, s)
+    scores = {tuple(r)[:2]: r["score"] for r in search.node_scores(own).collect()}
     # the release in a command 15, in content with outputs 18; commands 18 and outputs 38 as wanted
-    assert scores[1, 1] == 15.0 + 18.0 and scores[1, 2] == 18.0 + 38.0 and scores[1, 3] == scores[1, 5] == 38.0 and scores[2, 1] == 18.0
-    wanted = search.understood(q, s)
-    plain = {tuple(r)[:2]: r["score"] for r in search.combined(q, s, wanted=wanted, bridge=spark.createDataFrame([], "query_id long, section_id long, place int")).collect()}
-    boosted = {tuple(r)[:2]: r["score"] for r in search.combined(q, s, wanted=wanted).collect()}
+    assert scores[1, 1] == 15.0 + 18.0 and scores[1, 2] == 18.0 + 38.0 + 45.0 and scores[1, 3] == scores[1, 5] == 38.0 and scores[2, 1] == 18.0
+    plain = {tuple(r)[:2]: r["score"] for r in search.combined(own, bridge=spark.createDataFrame([], "query_id long, section_id long, place int")).collect()}
+    boosted = {tuple(r)[:2]: r["score"] for r in search.combined(own).collect()}
     assert {k: round(v - plain[k], 6) for k, v in boosted.items() if v != plain[k]} == {(1, 3): 2.75}
-    chosen = {r["rank"]: r["section_id"] for r in search.hybrid_search(q, s).where("query_id = 1").collect()}
-    ranking = [r["section_id"] for r in search.combined(q, s).where("query_id = 1").orderBy("rank").collect()]
+    chosen = {r["rank"]: r["section_id"] for r in search.hybrid_search(own).where("query_id = 1").collect()}
+    ranking = [r["section_id"] for r in search.combined(own).where("query_id = 1").orderBy("rank").collect()]
     assert [chosen[k] for k in sorted(chosen)] == [3, *(i for i in ranking if i != 3)]
 
 
