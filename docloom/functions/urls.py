@@ -71,9 +71,18 @@ def export_view(url: str | Column) -> Column:
 
 
 def embedded_links(html: str | Column) -> Column:
-    """Links in JSON inside of pages: values of "href" and then of "url", slashes unescaped."""
+    """Links in JSON inside of pages: values of "href" and then of "url", unescaped as JSON where they can be, each once."""
     found = F.concat(*(F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(f'"{k}"\\s*:\\s*"([^"]+)"'), F.lit(1)) for k in ("href", "url")))
-    return F.array_distinct(F.transform(found, lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))))
+    read = lambda u: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), u, F.lit('"]')), "array<string>"), 0), u)
+    return F.array_distinct(F.transform(found, lambda u: F.when(u.contains("\\"), read(u)).otherwise(u)))
+
+
+def without_typos(url: str | Column, typos: dict[str, str]) -> Column:
+    """With known misspellings replaced."""
+    out = col(url)
+    for wrong, right in typos.items():
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return out
 
 
 def followable(url: str | Column) -> Column:
