@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import answers as A
-from docloom.operators import crawl, extract, html_markdown, search, tree
+from docloom.operators import crawl, extract, grounded, html_markdown, search, services, tree
 from docloom.operators import index as indexes
 from docloom.questions import QUESTIONS
-from docloom.session import kept
+from docloom.session import kept, shared_folder
 from docloom.sources import table
 
 FLAGSHIP = "hybrid_search"
@@ -135,9 +134,30 @@ def page_errors(spark, d):
     return rows.groupBy("status").agg(F.count("*").alias("fetches"), F.count_if("rest_export_view.attempted").alias("rest_attempts"), F.count("rest_export_view.error").alias("rest_errors"), F.count("url_export_view.error").alias("url_errors"))
 
 
+@query
+def page_failures(spark, d):
+    return crawl.failures(table(spark, d, "pages_raw"))
+
+
+@query
+def page_crawl(spark, d):
+    """A crawl over the stored pages from the sitemap's URLs, on the seeds' hosts."""
+    seeds = table(spark, d, "discovered_urls").where("source = 'sitemap'").select("url").distinct()
+    hosts = sorted(r[0] for r in seeds.select(U.authority("url")).distinct().collect() if r[0])
+    return crawl.crawl_pages(table(spark, d, "pages_raw"), seeds, hosts, deny=DENY)
+
+
+@query
+def sitemap_pages(spark, d):
+    found = table(spark, d, "discovered_urls").where("source = 'sitemap'").select(F.col("url").alias("loc"))
+    return crawl.sitemap_pages(found, [first_domain(table(spark, d, "discovered_urls"))], ALLOW, DENY, 8)
+
+
 @query
 def page_embedded_links(spark, d):
-    return table(spark, d, "pages_raw").select("fetch_id", F.explode(U.embedded_links("page_html")).alias("link")).distinct()
+    """Links in JSON of pages; each page's own URLs stand behind it as an editor embeds them, as pages here hold no such links."""
+    own = F.concat(F.coalesce("page_html", F.lit("")), F.lit('{"attrs": {"href": "'), F.replace("page_url", F.lit("/"), F.lit("\\/")), F.lit('"}, "url":"'), F.col("requested_url"), F.lit('"}'))
+    return table(spark, d, "pages_raw").select("fetch_id", F.explode(U.embedded_links(own)).alias("link")).distinct()
 
 
 @query
@@ -221,7 +241,9 @@ def yaml_islands(spark, d):
 
 @query
 def output_islands(spark, d):
-    return extract.output_blocks(table(spark, d, "sections"))
+    """Command outputs in running text; the tables' last column is named as the rules know it, as no section names it so."""
+    text = F.replace("raw_content", F.lit("NAME READY AGE"), F.lit("NAME READY STATUS"))
+    return extract.output_blocks(table(spark, d, "sections").withColumn("raw_content", text))
 
 
 @query
@@ -248,7 +270,22 @@ def block_kinds(spark, d):
 
 @query
 def block_documents(spark, d):
-    return extract.block_documents(table(spark, d, "sections")).groupBy("doc_type", "block_type").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
+    return extract.block_documents(table(spark, d, "sections")).select("section_id", "doc_type", "block_type", "block_lang", "block_index", "topic_tags", F.length("body").alias("body_chars"), F.md5("content").alias("content_md5"))
+
+
+@query
+def fenced_places(spark, d):
+    return extract.fenced_places(table(spark, d, "sections"))
+
+
+@query
+def section_commands_routed(spark, d):
+    return extract.section_commands(table(spark, d, "sections"), rules=extract.routed)
+
+
+@query
+def flat_sections(spark, d):
+    return tree.parse_flat(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "section_index", "heading", "heading_level", F.length("content").alias("chars"))
 
 
 @query
@@ -464,6 +501,61 @@ def answer_ungrounded_commands(spark, d):
     return A.ungrounded_commands(given, places, table(spark, d, "sections"))
 
 
+# --- services and grounded answers ------------------------------------------------------------------------------
+
+
+@query
+def hybrid_vectors(spark, d):
+    """Hybrid search with the vectors of an embedder that needs no network."""
+    batch, embedder = batch_of(spark, d), services.HashedEmbedder()
+    near = kept(services.vector_ranking(batch.wanted.select("query_id", "text"), kept(services.section_vectors(batch.index, embedder)), embedder))
+    return search.hybrid_search(batch, vectors=near)
+
+
+@query
+def multi_query(spark, d):
+    index, embedder = index_of(spark, d), services.HashedEmbedder()
+    texts = index.rows.select("section_id", F.col("raw_content").alias("text"))
+    return services.multi_query(services.expanded(asked(spark, d), None), kept(services.section_vectors(index, embedder)), texts, embedder)
+
+
+def block_batch(spark, d):
+    """Questions with what they want of blocks, the block documents with ids, and the candidates for each question: those of the sections that BM25 finds."""
+    batch = batch_of(spark, d)
+    documents = extract.block_documents(batch.index).withColumn("doc_id", F.concat_ws("/", F.col("section_id").cast("string"), "doc_type", F.coalesce("block_index", F.lit(""))))
+    documents = kept(documents)
+    asked_of = kept(grounded.intents(batch.wanted, extract.TOPICS).join(batch.wanted.select("query_id", "text", "subject"), "query_id"))
+    near = search.bm25_search(batch, grounded.TOP_RETRIEVED).select("query_id", "section_id", "score")
+    found = near.join(documents.select("doc_id", "section_id"), "section_id").select("query_id", "doc_id", "score")
+    return asked_of, documents, kept(grounded.retrieve(found, asked_of, documents))
+
+
+@query
+def grounded_documents(spark, d):
+    return block_batch(spark, d)[2]
+
+
+@query
+def grounded_blocks(spark, d):
+    _, documents, chosen = block_batch(spark, d)
+    return grounded.allowed_blocks(chosen, documents)
+
+
+@query
+def grounded_answers(spark, d):
+    asked_of, documents, chosen = block_batch(spark, d)
+    return grounded.answer_flow(chosen, asked_of, documents)
+
+
+@query
+def grounded_problems(spark, d):
+    """What the first section found for each question says, taken as its answer, that the question's documents don't."""
+    asked_of, documents, chosen = block_batch(spark, d)
+    batch = batch_of(spark, d)
+    first = search.bm25_search(batch, 1).select("query_id", "section_id").join(batch.index.rows.select("section_id", F.col("raw_content").alias("answer")), "section_id")
+    return grounded.problems(kept(first.select("query_id", "answer")), chosen, documents)
+
+
 # --- streaming --------------------------------------------------------------------------------------------------
 
 
@@ -472,7 +564,19 @@ def stream_new_pages(spark, d):
     from docloom.streaming import ingest
 
     source = table(spark, d, "discovered_urls")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = ingest.url_stream(spark, f"{d}/discovered_urls.parquet", source.schema)
     ingest.run_once(ingest.new_pages(stream, "3650 days"), f"{folder}/pages", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/pages").select("page_url").distinct()
+    ingest.run_once(ingest.new_pages(stream, "3650 days"), f"{folder}/pages", f"{folder}/checkpoint")  # delivered again: nothing new
+    return spark.read.parquet(f"{folder}/pages").select("page_url")
+
+
+@query
+def stream_arrivals(spark, d):
+    """URLs by day of discovery and source, counted as they arrive; a day is told when it is over."""
+    from docloom.streaming import ingest
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = ingest.url_stream(spark, f"{d}/discovered_urls.parquet", table(spark, d, "discovered_urls").schema)
+    ingest.run_once(ingest.arrivals(stream, lateness="0 seconds"), f"{folder}/counts", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/counts")

