@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -25,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from docloom.functions.arrowmap import chunks_by_chars, map_batches
@@ -308,12 +310,19 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(Vocabulary(path))
 
 
+_sent: set[tuple[str, str]] = set()
+
+
 def encode_column(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids ARRAY<INT>) of each row of ``df``; ``vocabulary`` is the path of a rank file on every executor."""
+    """(key, ids ARRAY<INT>) of each row of ``df``; ``vocabulary`` is the path of a rank file on the driver, which sends it to the executors."""
     kind = df.schema[key].dataType.simpleString()
+    context, name = df.sparkSession.sparkContext, os.path.basename(vocabulary)
+    if (context.applicationId, vocabulary) not in _sent:
+        context.addFile(vocabulary)  # once for each application; a file of that name that differs is refused
+        _sent.add((context.applicationId, vocabulary))
 
     def make():
-        encoder = encoder_for(vocabulary)
+        encoder = encoder_for(SparkFiles.get(name))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, values, counts = batch.column(1).to_pylist(), [], []

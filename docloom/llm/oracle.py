@@ -5,6 +5,11 @@ SELECT DISTINCT section_id FROM sections
 WHERE length(coalesce(heading, '') || chr(10) || coalesce(raw_content, '')) > 2000
 """
 
+P1_REBUILT = r"""
+SELECT DISTINCT section_id, md5(coalesce(heading, '') || chr(10) || coalesce(raw_content, '')) AS digest, true AS fits FROM sections
+WHERE length(coalesce(heading, '') || chr(10) || coalesce(raw_content, '')) > 2000
+"""
+
 P5_LINES = r"""
 WITH s AS (
   SELECT section_id, file_path, string_split(raw_content, chr(10)) AS parts,
@@ -79,4 +84,4 @@ P7_REPORT = P7_HITS + "SELECT item_id, count(*) AS documents, CAST(sum(places) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}
+    return {"p1_found": P1, "p1_rebuilt": P1_REBUILT, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p5_clean": P5_CLEAN, "p7_found": P7, "p7_report": P7_REPORT}

@@ -32,6 +32,15 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "sections"))
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """For every oversized section: its pieces put together again without their overlaps, as a digest, and whether all keep to the limit and overlap."""
+    made = splitting.split_oversized(table(spark, d, "sections"))
+    own = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", splitting.OVERLAP + 1, splitting.LIMIT))
+    whole = made.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own"), "start", "piece"))).alias("p"), F.max("length").alias("longest"))
+    shared = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i)["start"] + splitting.OVERLAP == F.get("p", i - 1)["start"] + F.length(F.get("p", i - 1)["piece"]))
+    return whole.select("section_id", F.md5(F.array_join(F.transform("p", lambda x: x["own"]), "")).alias("digest"), ((F.col("longest") <= splitting.LIMIT) & shared).alias("fits"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_fetches(table(spark, d, "pages_raw"))
 
@@ -89,5 +98,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_groups, p8_canonical]
+    own = [p1_found, p1_pieces, p1_rebuilt, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_found, p7_report, p8_found, p8_groups, p8_canonical]
     return {f.__name__: f for f in own}
