@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import answers as A
-from docloom.operators import crawl, extract, grounded, html_markdown, search, services, tree
+from docloom.operators import crawl, extract, grounded, html_markdown, scored, search, services, tree
 from docloom.operators import index as indexes
 from docloom.questions import QUESTIONS
 from docloom.session import kept, shared_folder
@@ -338,8 +338,8 @@ def section_structural_neighbours(spark, d):
 
 @query
 def index_build(spark, d):
-    """Builds the index anew and tells what its tables hold."""
-    own = indexes.build_index(table(spark, d, "sections"))
+    """Builds the application's index of the sections anew and tells what its tables hold."""
+    own = indexes.engine(spark).index(f"{d}/sections.parquet", force=True)
     held = own.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.sum("weight").alias("weights"))
     more = [own.terms.agg(F.count("*").alias("terms")), own.keys.agg(F.count("*").alias("keys")), own.closure.agg(F.count("*").alias("closure"), F.count_if("useful").alias("useful"))]
     for part in more:
@@ -501,6 +501,33 @@ def answer_ungrounded_commands(spark, d):
     return A.ungrounded_commands(given, places, table(spark, d, "sections"))
 
 
+# --- retrieval by scored subjects -------------------------------------------------------------------------------
+
+
+def scored_batch(spark, d, profile: str = "sections"):
+    return scored.understood(kept(questions(spark, d)), index_of(spark, d), profile)
+
+
+@query
+def scored_subjects(spark, d):
+    return scored.subjects(questions(spark, d), index_of(spark, d))
+
+
+@query
+def scored_ranking(spark, d):
+    return scored_batch(spark, d).ranking
+
+
+@query
+def scored_search(spark, d):
+    return scored.search(scored_batch(spark, d))
+
+
+@query
+def scored_search_headings(spark, d):
+    return scored.search(scored_batch(spark, d, "headings"))
+
+
 # --- services and grounded answers ------------------------------------------------------------------------------
 
 

@@ -25,13 +25,14 @@ VERIFYING_INSTALL = ["install helm chart", "verify", "validation", "check"]
 PREPARING = ["prereq", "preparation", "requirements"]
 #: Weights of shared terms by field; characters of the content that count.
 FIELD_WEIGHTS, CONTENT_CHARS = {"heading": 12, "path": 8, "title": 6, "content": 4}, 1600
+FIELD_BITS = {"heading": 1, "path": 2, "title": 4, "content": 8, "whole": 16}
 FLAGS = [*(f"has_{c}" for c in ARTEFACTS), "verifies", "prepares", "verifies_install"]
 TABLES = ("rows", "postings", "terms", "keys", "ancestors", "closure")
 
 
 @dataclass
 class Index(tree.Nodes):
-    """Tables of an index: ``rows`` (each section once, with flags), ``postings`` (term, section_id, weight, tf, length), ``terms`` (term, df), ``keys`` (kind,
+    """Tables of an index: ``rows`` (each section once, with flags), ``postings`` (term, section_id, weight, fields, tf, length), ``terms`` (term, df), ``keys`` (kind,
     key, shown: headings and titles), ``ancestors`` and ``closure`` as the tree has them; the number of sections and the mean of their words."""
 
     postings: DataFrame
@@ -67,17 +68,17 @@ def _flags() -> list[Column]:
 
 
 def _postings(rows: DataFrame) -> DataFrame:
-    """Of each section and term: the weight of the fields that have it, how often it comes and the section's number of words."""
-    fields = {"heading": F.col("heading"), "path": path_text(), "title": F.col("doc_title"), "content": F.substring(F.coalesce("raw_content", F.lit("")), 1, CONTENT_CHARS)}
+    """Of each section and term: the weight of the fields that have it, those fields as bits, how often it comes and the section's number of words."""
+    content = F.coalesce("raw_content", F.lit(""))
+    texts = {"heading": F.col("heading"), "path": path_text(), "title": F.col("doc_title"), "content": F.substring(content, 1, CONTENT_CHARS), "whole": content}
 
-    def weighed(text: Column, weight: int) -> Column:
-        return F.transform(F.array_distinct(terms(text)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(0).alias("tf")))
+    def said(words: Column, weight: int, bit: int, tf: int) -> Column:
+        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(bit).alias("fields"), F.lit(tf).alias("tf")))
 
-    weighted = [weighed(x, FIELD_WEIGHTS[name]) for name, x in fields.items()]
-    words = F.transform("words", lambda t: F.struct(t.alias("term"), F.lit(0).alias("weight"), F.lit(1).alias("tf")))
-    every = rows.withColumn("words", terms(retrieval_content(), [])).select("section_id", F.size("words").alias("length"), F.explode(F.concat(*weighted, words)).alias("p"))
-    # the sums of a section's terms are made within its own row's batch where the map side can
-    return every.groupBy(F.col("p.term").alias("term"), "section_id", "length").agg(F.sum("p.weight").cast("int").alias("weight"), F.sum("p.tf").cast("int").alias("tf"))
+    fields = [said(F.array_distinct(terms(text)), FIELD_WEIGHTS.get(name, 0), FIELD_BITS[name], 0) for name, text in texts.items()]
+    every = rows.withColumn("words", terms(retrieval_content(), [])).select("section_id", F.size("words").alias("length"), F.explode(F.concat(*fields, said(F.col("words"), 0, 0, 1))).alias("p"))
+    sums = [F.sum("p.weight").cast("int").alias("weight"), F.bit_or("p.fields").alias("fields"), F.sum("p.tf").cast("int").alias("tf")]
+    return every.groupBy(F.col("p.term").alias("term"), "section_id", "length").agg(*sums)
 
 
 def build_index(sections: DataFrame, folder: str | None = None) -> Index:
@@ -90,7 +91,7 @@ def build_index(sections: DataFrame, folder: str | None = None) -> Index:
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     base = nodes(sections, "file_path", "doc_title", "page_url", "heading", "level", "heading_path", "raw_content", *ARTEFACTS)
-    rows = keep("rows", base.select("*", *_flags()))
+    rows = keep("rows", base.select("*", *_flags(), F.size(terms(retrieval_content(), [])).alias("length")))
     postings = keep("postings", _postings(rows).repartition("term").sortWithinPartitions("term"))
     keep("terms", postings.where("tf > 0").groupBy("term").agg(F.count("*").alias("df")))
     kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("shown")) for kind, c in (("heading", "heading"), ("title", "doc_title"))))
@@ -100,8 +101,7 @@ def build_index(sections: DataFrame, folder: str | None = None) -> Index:
     useful = rows.where("useful").select(F.col("section_id").alias("descendant"), "useful")
     closure = tree.closure(tree.Nodes(rows, ancestors, None)).join(useful, "descendant", "left").withColumn("useful", F.coalesce("useful", F.lit(False)))
     keep("closure", closure)
-    # each section's number of words, once
-    found = rows.agg(F.count("*").alias("count"), F.avg(F.size(terms(retrieval_content(), []))).alias("mean")).first()
+    found = rows.agg(F.count("*").alias("count"), F.avg("length").alias("mean")).first()
     spark.createDataFrame([(json.dumps({"count": found["count"], "mean": found["mean"] or 0.0}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/stats")
     return open_index(spark, folder)
 

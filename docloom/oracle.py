@@ -5,6 +5,7 @@ from __future__ import annotations
 from docloom.functions.text import INSTALL_PREFIXES, STOPWORDS
 from docloom.operators.extract import TOPICS
 from docloom.operators.index import PREPARING, VERIFYING, VERIFYING_INSTALL
+from docloom.operators import grounded, scored
 from docloom.operators.search import INSTALLING, PREREQ_WEIGHT, RELEASES, VERIFY_INSTALL_WEIGHT, VERIFY_WEIGHT, WANT_WEIGHTS, WANTS
 from docloom.questions import QUESTIONS
 
@@ -348,5 +349,47 @@ SQL |= {
       known AS (SELECT query_id, {CMD.replace("raw", "command")} AS k FROM (SELECT query_id, unnest(commands) AS command FROM near JOIN n USING (section_id)) WHERE trim(command) <> '')
       SELECT query_id, command FROM said WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.query_id = said.query_id AND (k = own OR starts_with(k, own) OR starts_with(own, k)
         OR ' ' || replace(k, ' ', '  ') || ' ' LIKE '% ' || {TOKENS.format("own")} || ' %' ESCAPE '!'))""",
-    "stream_arrivals": "SELECT date_trunc('day', found_at) AS start, source, count(*) AS urls FROM discovered_urls GROUP BY ALL HAVING date_trunc('day', found_at) + INTERVAL 1 DAY <= (SELECT max(found_at) FROM discovered_urls)",
+    "stream_arrivals": """WITH w AS (SELECT date_trunc('day', found_at) AS start, source FROM discovered_urls)
+      SELECT start, source, count(*) AS urls FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(found_at) FROM discovered_urls) GROUP BY start, source""",
+}
+
+SCORED_SUBJECT = f"""{NODES}, {ASKED},
+keyed AS (SELECT DISTINCT 'heading' AS kind, {norm("heading")} AS key FROM n WHERE heading <> '' UNION SELECT DISTINCT 'title', {norm("doc_title")} FROM n WHERE doc_title <> ''),
+cand AS (SELECT query_id, kind, key, CASE WHEN contains({norm("text")}, key) THEN CASE kind WHEN 'heading' THEN 80 ELSE 70 END ELSE 0 END
+    + len(list_intersect(list_distinct({terms("text")}), list_distinct({terms("key")}))) * CASE kind WHEN 'heading' THEN 10 ELSE 8 END AS points FROM q, keyed WHERE length(key) >= 3
+  UNION ALL SELECT query_id, 'file', regexp_extract(text, '\\b[A-Za-z0-9_.-]+\\.(?:yaml|yml|sh|jar)\\b'), 200 FROM q WHERE regexp_extract(text, '\\b[A-Za-z0-9_.-]+\\.(?:yaml|yml|sh|jar)\\b') <> ''),
+best AS (SELECT query_id, key AS subject, points FROM cand WHERE points >= CASE kind WHEN 'heading' THEN 20 WHEN 'title' THEN 18 ELSE 0 END QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, kind, key) = 1),
+subj AS (SELECT q.query_id, text, subject, CAST(points AS INTEGER) AS points FROM q LEFT JOIN best USING (query_id))"""
+SCORED = f"""{SCORED_SUBJECT}, {ANCESTORS.replace(NODES + ",", "").strip()},
+qs AS (SELECT query_id, {norm("text")} AS qt, {norm("subject")} AS s, {", ".join(f"{any_of(norm('text'), words)} AS wants_{name}" for name, words in grounded.WANTS.items())} FROM subj),
+nn AS (SELECT *, {norm("heading")} AS h, {norm(PATHTEXT)} AS pt, {norm("raw_content")} AS c, {norm("doc_title")} AS t FROM n),
+terms_of AS (SELECT section_id, 1 AS f, unnest(list_distinct({terms("heading")})) AS term FROM n UNION ALL SELECT section_id, 2, unnest(list_distinct({terms(PATHTEXT)})) FROM n
+  UNION ALL SELECT section_id, 4, unnest(list_distinct({terms("doc_title")})) FROM n UNION ALL SELECT section_id, 16, unnest(list_distinct({terms("raw_content")})) FROM n),
+asked_terms AS (SELECT query_id, unnest(list_distinct({terms("text")})) AS term FROM q),
+sh AS (SELECT query_id, section_id, count(*) FILTER (WHERE f = 1) * 10 + count(*) FILTER (WHERE f = 2) * 8 + count(*) FILTER (WHERE f = 4) * 5 + least(count(*) FILTER (WHERE f = 16), 8) * 2 AS points FROM terms_of JOIN asked_terms USING (term) GROUP BY ALL),
+below AS (SELECT ancestor AS section_id, count(*) AS below FROM tree JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")} GROUP BY 1),
+sc AS (SELECT qs.query_id, nn.section_id, CAST(coalesce(sh.points, 0) + CASE WHEN qt <> '' AND contains(h, qt) THEN 30 ELSE 0 END + CASE WHEN qt <> '' AND contains(pt, qt) THEN 24 ELSE 0 END + CASE WHEN qt <> '' AND contains(t, qt) THEN 18 ELSE 0 END
+    + CASE WHEN s = '' THEN 0 WHEN h = s THEN 45 WHEN contains(h, s) THEN 30 WHEN contains(pt, s) THEN 22 WHEN contains(t, s) THEN 18 WHEN contains(c, s) THEN 10 ELSE 0 END
+    + {" + ".join(f"CASE WHEN wants_{w} AND len({a}) > 0 THEN {k} ELSE 0 END" for w, (a, k) in scored.WANTED.items())} + least(coalesce(below, 0), 8) * 3 AS DOUBLE) AS score
+  FROM qs CROSS JOIN nn LEFT JOIN sh ON sh.query_id = qs.query_id AND sh.section_id = nn.section_id LEFT JOIN below ON below.section_id = nn.section_id)"""
+SQL |= {
+    "scored_subjects": f"WITH {SCORED_SUBJECT} SELECT query_id, subject, points FROM subj",
+    "scored_ranking": f"WITH {SCORED} SELECT query_id, section_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INTEGER) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20",
+}
+
+#: Commands of a query's chosen sections; of a question that wants to install, only those that do.
+GROUPS = f"""{LEXICAL}, {ANCESTORS.replace(NODES + ",", "").strip()},
+useful AS (SELECT ancestor AS section_id, count(*) AS useful FROM tree JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")} GROUP BY 1),
+top20 AS (SELECT query_id, section_id, score, pts, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
+anchor AS (SELECT query_id, arg_max(section_id, row(score + least(coalesce(useful, 0), 10) * 4 + CASE WHEN pts > 0 THEN 10 ELSE 0 END, -rank)) AS anchor FROM top20 LEFT JOIN useful USING (section_id) GROUP BY 1),
+met AS (SELECT x.query_id, x.rank, CASE WHEN len(b.heading_path) > len(a.heading_path) THEN b.heading_path[len(a.heading_path) + 1] ELSE coalesce(b.heading, '') END AS label, b.commands AS cs
+  FROM top20 x JOIN anchor y USING (query_id) JOIN n a ON a.section_id = y.anchor JOIN n b ON b.section_id = x.section_id WHERE x.rank <= 10 AND x.section_id <> y.anchor),
+own AS (SELECT query_id, rank, label, list_filter(cs, lambda raw: NOT installs OR {" OR ".join(f"starts_with({CMD}, '{p}')" for p in INSTALL_PREFIXES)}) AS cs FROM met JOIN intent USING (query_id)),
+flat AS (SELECT query_id, label, min(rank) AS rank, flatten(list(cs ORDER BY rank)) AS items FROM own WHERE len(cs) > 0 GROUP BY ALL),
+made AS (SELECT query_id, label, rank, list_filter(items, lambda x, i: trim(x) <> '' AND list_position(list_transform(items, lambda y: trim(y)), trim(x)) = i) AS commands FROM flat),
+bare AS (SELECT query_id, coalesce(a.heading, '') AS label, 1 AS rank, list_filter(a.commands, lambda raw: NOT installs OR {" OR ".join(f"starts_with({CMD}, '{p}')" for p in INSTALL_PREFIXES)}) AS items
+  FROM anchor JOIN n a ON a.section_id = anchor JOIN intent USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM made WHERE len(commands) > 0)),
+every AS (SELECT * FROM made WHERE len(commands) > 0 UNION ALL SELECT query_id, label, rank, list_filter(items, lambda x, i: trim(x) <> '' AND list_position(list_transform(items, lambda y: trim(y)), trim(x)) = i) FROM bare)"""
+SQL |= {
+    "answer_groups": f"WITH {GROUPS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, label) AS INTEGER) AS place, label, commands FROM every WHERE len(commands) > 0",
 }

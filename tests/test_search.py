@@ -162,3 +162,21 @@ def test_a_question_for_each_installed_name(spark, tmp_path):
     spark.createDataFrame(rows, SECTIONS).write.parquet(str(tmp_path / "sections.parquet"))
     asked_for = catalog.install_questions(spark, str(tmp_path)).collect()
     assert {r["text"].split()[-1] for r in asked_for} == {"one", "two"} and len({r["query_id"] for r in asked_for}) == 2
+
+
+def test_scored_subjects_and_search(spark):
+    from docloom.operators import scored
+
+    row = lambda i, file, level, path, text, commands=(), yamls=(): (i, file, "Guide of keys", "u", path[-1], level, path, text, list(commands), list(yamls), [], [], [])
+    rows = [row(1, "a", 1, ["Gateway setup"], "x"), row(2, "a", 2, ["Gateway setup", "Steps"], "y", ["helm install a"]), row(3, "a", 2, ["Gateway setup", "More"], "z"), row(4, "b", 1, ["Storage"], "see a.yaml", yamls=["k: v"]), row(5, "b", 1, ["Nothing"], "gateway text")]
+    index = build_index(spark.createDataFrame(rows, SECTIONS))
+    q = spark.createDataFrame([(1, "what commands for gateway setup"), (2, "show yaml a.yaml"), (3, "text"), (4, None)], "query_id long, text string")
+    assert {r["query_id"]: (r["subject"], r["points"]) for r in scored.subjects(q, index).collect()} == {1: ("gateway setup", 100), 2: ("a.yaml", 200), 3: (None, None), 4: (None, None)}
+    got = {}
+    for r in scored.search(scored.understood(q, index)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["section_id"])
+    assert got[1][:2] == [1, 2] and got[2] == [4] and got[3][:2] == [1, 5] and got[4] == [1, 2, 3, 4, 5]
+    headings = scored.search(scored.understood(q, index, "headings")).where("query_id = 1").orderBy("rank").collect()
+    assert [r["section_id"] for r in headings] == [1, 2]
+    scores = {(r["query_id"], r["section_id"]): r["score"] for r in scored.scores(scored.understood(q, index)).collect()}
+    assert scores[1, 1] == 2 * 10 + 2 * 8 + 45 + 3 and scores[1, 2] == 2 * 8 + 22 + 12 and scores[3, 5] == 2
