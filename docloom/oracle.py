@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.text import INSTALL_PREFIXES, STOPWORDS
-from docloom.operators.extract import TOPICS
+from docloom.operators.extract import AFTER_COLON, INLINE_COMMANDS, SCRIPT_STARTS, TOPICS
 from docloom.operators.index import PREPARING, VERIFYING, VERIFYING_INSTALL
 from docloom.operators import grounded, scored
 from docloom.operators.search import INSTALLING, PREREQ_WEIGHT, RELEASES, VERIFY_INSTALL_WEIGHT, VERIFY_WEIGHT, WANT_WEIGHTS, WANTS
@@ -393,3 +393,76 @@ every AS (SELECT * FROM made WHERE len(commands) > 0 UNION ALL SELECT query_id,
 SQL |= {
     "answer_groups": f"WITH {GROUPS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, label) AS INTEGER) AS place, label, commands FROM every WHERE len(commands) > 0",
 }
+
+
+def form(x: str) -> str:
+    """A command in one form."""
+    return CMD.replace("raw", x)
+
+
+def joined(x: str) -> str:
+    """Lines of a text with their continuations."""
+    plain = rf"regexp_replace({x}, '[ \t\r\f\v]+(\n|$)', '\1', 'g')"
+    unit = r"((?:[^\n]*\\\n)*[^\n]*)((?:\n[ \t]*(?:--[A-Za-z0-9_-]|-[A-Za-z0-9])[^\n]*)*)(?:\n|$)"
+    return rf"list_transform(list_zip(regexp_extract_all({plain}, '{unit}', 1), regexp_extract_all({plain}, '{unit}', 2)), lambda z: regexp_replace(z[1], '[ \t]*\\+\n[ \t]*', ' ', 'g') || regexp_replace(z[2], '\n[ \t]*', ' ', 'g'))"
+
+
+def once(x: str) -> str:
+    return f"list_filter({x}, lambda a, k: trim(a) <> '' AND list_position({x}, a) = k)"
+
+
+HITS = " || ".join(f"regexp_extract_all(y, '(?i){p}')" for p in INLINE_COMMANDS.values())
+AFTER = f"regexp_extract(y, '(?i):\\s*({'|'.join(INLINE_COMMANDS[name] for name in AFTER_COLON['sections'])})', 1)"
+STARTS = lambda x, starts: "(" + " OR ".join(f"starts_with({x}, '{p}')" for p in starts) + ")"
+BODY = r"regexp_replace(bodies[i], '\s+$', '')"
+COMMANDS = rf"""{NODES}, tx AS (SELECT section_id, regexp_replace(regexp_replace(coalesce(raw_content, ''), '^\s+', ''), '\s+$', '') AS x FROM n),
+tl AS (SELECT section_id, x, {joined("x")} AS ls, regexp_extract_all(x, '(?ms)```([a-zA-Z0-9_-]*)\n(.*?)^```', 1) AS langs, regexp_extract_all(x, '(?ms)```([a-zA-Z0-9_-]*)\n(.*?)^```', 2) AS bodies FROM tx),
+fe AS (SELECT section_id, i, lower(langs[i]) AS lang, list_transform({joined(BODY)}, lambda y: {form("y")}) AS own FROM (SELECT *, unnest(range(1, len(langs) + 1)) AS i FROM tl)),
+fc AS (SELECT section_id, flatten(list(CASE WHEN lang IN ('bash', 'sh', 'shell') THEN own WHEN lang IN ('yaml', 'yml', 'text', 'plain') THEN [] ELSE list_filter(own, lambda y: {STARTS("y", INSTALL_PREFIXES)}) END ORDER BY i)) AS cs,
+    flatten(list(CASE WHEN lang IN ('bash', 'sh', 'shell') THEN own ELSE [] END ORDER BY i)) AS shell, flatten(list(CASE WHEN lang IN ('bash', 'sh', 'shell') THEN list_filter(own, lambda y: {STARTS("y", SCRIPT_STARTS)}) ELSE [] END ORDER BY i)) AS ss FROM fe GROUP BY section_id),
+ic AS (SELECT section_id, list_transform(flatten(list_transform(ls, lambda y: {HITS} || CASE WHEN {AFTER} <> '' THEN [{AFTER}] ELSE [] END)), lambda y: {form("y")}) AS cs FROM tl),
+sql_of AS (SELECT section_id, list(trim(regexp_replace(regexp_replace(bodies[i], '^\s+', ''), '\s+$', '')) ORDER BY i) AS qs FROM (SELECT *, unnest(range(1, len(langs) + 1)) AS i FROM tl) WHERE lower(langs[i]) = 'sql' AND trim(regexp_replace(bodies[i], '\s+', '', 'g')) <> '' GROUP BY section_id),
+cm AS (SELECT section_id, coalesce(fc.cs, []) || ic.cs AS cs, coalesce(shell, []) || ic.cs AS routed, coalesce(ss, []) AS ss, coalesce(qs, []) AS qs FROM ic LEFT JOIN fc USING (section_id) LEFT JOIN sql_of USING (section_id)),
+cf AS (SELECT section_id, {once("cs")} AS commands, {once("ss")} AS scripts, {once("routed")} AS routed, qs FROM cm)"""
+WORDY = r"regexp_replace(regexp_replace({0}, '^ +', ''), ' +$', '')"
+SQL |= {
+    "section_commands": f"WITH {COMMANDS} SELECT section_id, commands, scripts FROM cf",
+    "section_commands_routed": f"WITH {COMMANDS}, r AS (SELECT section_id, routed AS commands, qs || list_filter(routed, lambda y: {STARTS('y', SCRIPT_STARTS)}) AS ss FROM cf) SELECT section_id, commands, {once('ss')} AS scripts FROM r",
+    "section_artefacts": f"""WITH {COMMANDS}, {FENCES},
+      yi AS ({SQL["yaml_islands"].replace("WITH " + NODES + ",", "WITH", 1)}), oi AS ({SQL["output_islands"].replace("WITH " + NODES + ",", "WITH", 1).replace("replace(coalesce(raw_content, ''), 'NAME READY AGE', 'NAME READY STATUS')", "coalesce(raw_content, '')")}),
+      st AS ({SQL["numbered_steps"].replace("WITH " + NODES + ",", "WITH", 1)}),
+      fy AS (SELECT section_id, list({WORDY.format("content")} ORDER BY block_no) FILTER (WHERE lang IN ('yaml', 'yml')) AS ys, list({WORDY.format("content")} ORDER BY block_no) FILTER (WHERE lang IN ('text', 'plain')) AS os FROM fence WHERE content <> '' GROUP BY section_id),
+      yl AS (SELECT section_id, list(block ORDER BY "at") AS bs FROM yi GROUP BY section_id), ol AS (SELECT section_id, list(block ORDER BY "at") AS bs FROM oi GROUP BY section_id), sl AS (SELECT section_id, list(step ORDER BY "at") AS steps FROM st GROUP BY section_id),
+      a AS (SELECT cf.section_id, commands, scripts, coalesce(ys, []) || coalesce(yl.bs, []) AS yy, coalesce(os, []) || coalesce(ol.bs, []) AS oo, coalesce(steps, []) AS steps
+        FROM cf LEFT JOIN fy ON fy.section_id = cf.section_id LEFT JOIN yl ON yl.section_id = cf.section_id LEFT JOIN ol ON ol.section_id = cf.section_id LEFT JOIN sl ON sl.section_id = cf.section_id)
+      SELECT section_id, commands, scripts, list_filter(yy, lambda x, i: trim(x) <> '' AND list_position(list_transform(yy, lambda z: trim(z)), trim(x)) = i) AS yamls,
+        list_filter(oo, lambda x, i: trim(x) <> '' AND list_position(list_transform(oo, lambda z: trim(z)), trim(x)) = i) AS outputs, steps FROM a""",
+}
+
+
+BARE = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+ANYWHERE = r"(?s)```([a-zA-Z0-9_-]*)\n(.*?)```"
+BLOCK_HITS = " || ".join(f"regexp_extract_all(y, '(?i){p}')" for name, p in INLINE_COMMANDS.items() if name != "helm upgrade")
+BLOCK_AFTER = f"regexp_extract(y, '(?i):\\s*({'|'.join(INLINE_COMMANDS[name] for name in AFTER_COLON['blocks'])})', 1)"
+KIND_OF = rf"""CASE WHEN lang IN ('yaml', 'yml') THEN 'yaml' WHEN lang IN ('bash', 'sh', 'shell') THEN 'shell_command' WHEN lang = 'sql' THEN 'sql' WHEN lang = 'json' THEN 'json' WHEN starts_with(tc, '#!') THEN 'script'
+  WHEN regexp_matches(tc, '^(apiVersion|kind|metadata|spec):') THEN 'yaml' WHEN regexp_matches(tc, '^(\$ )?(kubectl|helm|terraform|eksctl|aws|curl|export|java -jar|\./)') THEN 'shell_command' WHEN starts_with(tc, 'SQL>') THEN 'sql'
+  WHEN contains(ctx, 'output') OR {HEADERS.replace("(line,", "(tc,")} THEN 'output' WHEN regexp_matches(tc, '^NAME\s+READY') THEN 'output' ELSE 'code' END"""
+TAGS = "list_filter([" + ", ".join(f"CASE WHEN {any_of('w', needles)} THEN '{tag}' END" for tag, needles in sorted(TOPICS.items())) + "], lambda x: x IS NOT NULL)"
+SQL |= {
+    "block_documents": rf"""WITH {NODES}, b AS (SELECT section_id, coalesce(doc_title, '') AS title, coalesce(heading, '') AS heading, coalesce(raw_content, '') AS x, {TAGS} AS topic_tags FROM (SELECT *, {norm("concat_ws(' ', doc_title, heading, raw_content)")} AS w FROM n)),
+      fa AS (SELECT section_id, heading, x, regexp_extract_all(x, '{ANYWHERE}', 0) AS bs, regexp_extract_all(x, '{ANYWHERE}', 1) AS langs, regexp_extract_all(x, '{ANYWHERE}', 2) AS cs, string_split_regex(x, '{ANYWHERE}') AS ts FROM b),
+      fi AS (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM fa),
+      fp AS (SELECT section_id, heading, x, i, lower(langs[i]) AS lang, regexp_replace(cs[i], '\s+$', '') AS c, list_sum(list_transform(ts[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(bs[1:i - 1], lambda t: length(t))), 0) AS start, length(bs[i]) AS size FROM fi),
+      fk AS (SELECT section_id, i, lang, c, trim(c) AS tc, lower(heading || chr(10) || substring(x, CAST(greatest(start - 250, 0) + 1 AS BIGINT), CAST(least(start, 250) AS BIGINT)) || chr(10) || substring(x, CAST(start + size + 1 AS BIGINT), 250)) AS ctx FROM fp),
+      sl0 AS (SELECT section_id, list_transform(flatten(list_transform({joined("x")}, lambda y: {BLOCK_HITS} || CASE WHEN {BLOCK_AFTER} <> '' THEN [{BLOCK_AFTER}] ELSE [] END)), lambda y: {form("y")}) AS cs FROM b),
+      sl AS (SELECT section_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT section_id, {once("cs")} AS cs FROM sl0)),
+      yi AS ({SQL["yaml_islands"].replace("WITH " + NODES + ",", "WITH", 1)}), oi AS ({SQL["output_islands"].replace("WITH " + NODES + ",", "WITH", 1).replace("replace(coalesce(raw_content, ''), 'NAME READY AGE', 'NAME READY STATUS')", "coalesce(raw_content, '')")}),
+      every AS (SELECT section_id, 'section' AS doc_type, NULL AS block_type, NULL AS block_lang, NULL AS block_index, {BARE.format(f"regexp_replace(x, '{ANYWHERE}', '', 'g')")} AS body FROM b
+        UNION ALL SELECT section_id, 'block', {KIND_OF}, CASE WHEN lang = '' THEN 'plain' ELSE lang END, CAST(i AS VARCHAR), c FROM fk
+        UNION ALL SELECT section_id, 'block', 'shell_command', 'bash', 'inline-shell-' || (i - 1), cs[i] FROM sl
+        UNION ALL SELECT section_id, 'block', 'yaml', 'yaml', 'inline-yaml-' || (row_number() OVER (PARTITION BY section_id ORDER BY "at") - 1), block FROM yi
+        UNION ALL SELECT section_id, 'block', 'output', 'text', 'inline-output-' || (row_number() OVER (PARTITION BY section_id ORDER BY "at") - 1), block FROM oi)
+      SELECT section_id, doc_type, block_type, block_lang, block_index, topic_tags, CAST(length(body) AS INTEGER) AS body_chars,
+        md5({BARE.format("CASE WHEN doc_type = 'section' THEN '# ' || title || chr(10) || '## ' || heading || chr(10) || chr(10) || body ELSE '# ' || title || chr(10) || '## ' || heading || chr(10) || '[BLOCK TYPE: ' || block_type || ']' || chr(10) || '```' || CASE WHEN block_lang = 'plain' THEN '' ELSE block_lang END || chr(10) || body || chr(10) || '```' END")}) AS content_md5
+      FROM every JOIN b USING (section_id)""",
+}
