@@ -233,9 +233,14 @@ def release_points(batch: Batch) -> DataFrame | None:
 # --- lexical and BM25 scores --------------------------------------------------------------------------------------
 
 
+def shared_weights(batch: Batch) -> DataFrame:
+    """(query_id, section_id, score): the weight of each shared term."""
+    return batch.index.postings.where("weight > 0").join(batch.terms, "term").select("query_id", "section_id", F.col("weight").cast("double").alias("score"))
+
+
 def overlap_scores(batch: Batch) -> DataFrame:
     """(query_id, section_id, score): weighted numbers of shared terms."""
-    return batch.index.postings.where("weight > 0").join(batch.terms, "term").groupBy("query_id", "section_id").agg(F.sum("weight").cast("double").alias("score"))
+    return shared_weights(batch).groupBy("query_id", "section_id").agg(F.sum("score").cast("double").alias("score"))
 
 
 def flag_score() -> Column:
@@ -270,7 +275,8 @@ def prior(batch: Batch, top: int) -> DataFrame:
 
 def node_scores(batch: Batch, top: int = TOP) -> DataFrame:
     """(query_id, section_id, score > 0) of all sections that share a term with the query, hold its subject or release, or are among the ``top`` first by their flags."""
-    parts = overlap_scores(batch).unionByName(prior(batch, top).withColumn("score", F.lit(0.0)))
+    # one sum over all there is
+    parts = shared_weights(batch).unionByName(prior(batch, top).withColumn("score", F.lit(0.0)))
     parts = parts.unionByName(batch.points.select("query_id", "section_id", F.col("points").alias("score")))
     met = parts.groupBy("query_id", "section_id").agg(F.sum("score").alias("shared"))
     scored = met.join(batch.index.rows.select("section_id", *FLAGS), "section_id").join(batch.wanted.select("query_id", *ASKS), "query_id")
