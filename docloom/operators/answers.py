@@ -185,6 +185,6 @@ def requiring(found: DataFrame, points: DataFrame, sections: DataFrame, artefact
     points; where there is none, all as they were."""
     has = nodes(sections, artefact).where(F.size(artefact) > 0).select("section_id")
     fit = found.join(points, ["query_id", "section_id"]).join(has, "section_id", "left_semi")
-    again = fit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "rank"))).select("query_id", "section_id", "rank")
+    again = fit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "rank", "section_id"))).select("query_id", "section_id", "rank")
     rest = found.join(fit.select("query_id").distinct(), "query_id", "left_anti")
     return again.unionByName(rest.select("query_id", "section_id", "rank"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import INSTALL_PREFIXES, STOPWORDS
+from docloom.functions.text import BLOCK_STOPWORDS, INSTALL_PREFIXES, STOPWORDS
+from docloom.operators.answers import MOST, NO_ANSWER
 from docloom.operators.extract import AFTER_COLON, INLINE_COMMANDS, SCRIPT_STARTS, TOPICS
 from docloom.operators.index import PREPARING, VERIFYING, VERIFYING_INSTALL
 from docloom.operators import grounded, scored
@@ -466,3 +467,88 @@ SQL |= {
         md5({BARE.format("CASE WHEN doc_type = 'section' THEN '# ' || title || chr(10) || '## ' || heading || chr(10) || chr(10) || body ELSE '# ' || title || chr(10) || '## ' || heading || chr(10) || '[BLOCK TYPE: ' || block_type || ']' || chr(10) || '```' || CASE WHEN block_lang = 'plain' THEN '' ELSE block_lang END || chr(10) || body || chr(10) || '```' END")}) AS content_md5
       FROM every JOIN b USING (section_id)""",
 }
+
+
+def first_ones(x: str) -> str:
+    """Items without later ones of equal trimmed text and blank ones."""
+    return f"list_filter({x}, lambda a, k: trim(a) <> '' AND list_position(list_transform({x}, lambda b: trim(b)), trim(a)) = k)"
+
+
+GATHERED = ", ".join(f"{first_ones(f'flatten(list({name} ORDER BY rank) FILTER (WHERE len({name}) > 0))')} AS {name}" for name in ("yamls", "scripts", "steps", "commands"))
+LISTED = lambda name, most: f"array_to_string({name}[1:{most}], chr(10))"
+#: Answers: the sections chosen for each question, what they hold in their order, the anchor of the lexical ranking and the commands below it, and the first kind that is wanted.
+ANSWERS = f"""{CHOSEN},
+ch AS (SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, section_id) AS INTEGER) AS rank FROM firsts QUALIFY rank <= 10),
+bf0 AS (SELECT query_id, section_id, min(row(kind, at_)) AS first FROM (SELECT query_id, section_id, 0 AS kind, place AS at_ FROM bridge UNION ALL SELECT query_id, section_id, 1, rank FROM ch) GROUP BY ALL),
+bf AS (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY first, section_id) AS rank FROM bf0),
+got AS (SELECT query_id, {GATHERED} FROM ch JOIN n USING (section_id) GROUP BY query_id),
+outs AS (SELECT query_id, {first_ones("flatten(list(outputs ORDER BY rank) FILTER (WHERE len(outputs) > 0))")} AS outputs FROM bf JOIN n USING (section_id) GROUP BY query_id),
+{("top20 AS" + GROUPS.split("top20 AS", 1)[1]).replace(" anchor AS (", " ganchor AS (").replace("JOIN anchor y", "JOIN holds y").replace("FROM anchor JOIN n a", "FROM holds JOIN n a").replace("FROM top20 x", "FROM ch x").replace("met AS (SELECT x.query_id", "holds AS (SELECT g.* FROM ganchor g JOIN useful ON useful.section_id = g.anchor), gmet AS (SELECT x.query_id").replace("FROM met JOIN", "FROM gmet JOIN").replace("every AS (", "gevery AS (").replace(chr(10) + "anchor AS (", chr(10) + "ganchor AS (").replace(chr(10) + "own AS (", chr(10) + "gown AS (").replace("FROM own WHERE", "FROM gown WHERE")},
+gtext AS (SELECT query_id, string_agg(label || chr(10) || array_to_string(commands, chr(10)), chr(10) || chr(10) ORDER BY rank, label) AS grouped FROM gevery WHERE len(commands) > 0 GROUP BY query_id),
+asked AS (SELECT query_id, list_distinct({terms("text")}) AS asked FROM q),
+sn AS (SELECT query_id, rank, {SENTENCES} AS ss FROM ch JOIN n USING (section_id) WHERE rank <= 5),
+se AS (SELECT query_id, rank, i, ss[i + 1] AS sentence FROM (SELECT *, unnest(range(0, len(ss))) AS i FROM sn)),
+sh AS (SELECT query_id, rank, i, sentence, len(list_intersect(asked, {terms("sentence")})) AS hits FROM se JOIN asked USING (query_id)),
+sb AS (SELECT query_id, rank, arg_max(sentence, row(hits, -i)) AS sentence FROM sh WHERE hits > 0 GROUP BY ALL),
+sf AS (SELECT query_id, sentence, min(rank) AS rank FROM sb GROUP BY ALL),
+sp AS (SELECT query_id, sentence, row_number() OVER (PARTITION BY query_id ORDER BY rank, sentence) AS place FROM sf QUALIFY place <= 3),
+st AS (SELECT query_id, string_agg(sentence, chr(10) ORDER BY place) AS said FROM sp GROUP BY query_id),
+bg AS (SELECT query_id, string_agg(substring(trim(raw_content), 1, 500), chr(10) || chr(10) ORDER BY rank) AS beginnings FROM bf JOIN n USING (section_id) WHERE rank <= 3 AND trim(raw_content) <> '' GROUP BY query_id),
+cd AS (SELECT query_id, CASE WHEN installs THEN list_filter(commands, lambda raw: {" OR ".join(f"starts_with({CMD}, '{p}')" for p in INSTALL_PREFIXES)}) ELSE commands END AS commands FROM got JOIN intent USING (query_id)),
+al AS (SELECT i.query_id, CASE WHEN wants_output THEN 'output' WHEN wants_yaml AND NOT wants_commands THEN 'yaml' WHEN wants_script THEN 'script' WHEN wants_commands THEN 'commands' ELSE 'extract' END AS kind, beginnings,
+    CASE WHEN wants_output THEN CASE WHEN len(outputs) > 0 THEN {LISTED("outputs", MOST["outputs"])} END WHEN wants_yaml AND NOT wants_commands THEN CASE WHEN len(yamls) > 0 THEN {LISTED("yamls", MOST["yamls"])} END
+      WHEN wants_script THEN CASE WHEN len(scripts) > 0 THEN {LISTED("scripts", MOST["scripts"])} END
+      WHEN wants_commands THEN CASE WHEN holds.query_id IS NOT NULL THEN grouped WHEN len(cd.commands) > 0 THEN array_to_string(cd.commands, chr(10)) END
+      WHEN said IS NOT NULL THEN said || CASE WHEN wants_steps AND len(steps) > 0 THEN chr(10) || {LISTED("steps", MOST["steps"])} ELSE '' END END AS answer
+  FROM intent i LEFT JOIN got ON got.query_id = i.query_id LEFT JOIN outs ON outs.query_id = i.query_id LEFT JOIN cd ON cd.query_id = i.query_id LEFT JOIN holds ON holds.query_id = i.query_id
+  LEFT JOIN gtext ON gtext.query_id = i.query_id LEFT JOIN st ON st.query_id = i.query_id LEFT JOIN bg ON bg.query_id = i.query_id)"""
+SQL |= {
+    "answers": f"WITH {ANSWERS} SELECT query_id, CASE WHEN answer IS NOT NULL THEN kind WHEN beginnings IS NOT NULL THEN 'beginning' ELSE 'none' END AS kind, coalesce(answer, beginnings, '{NO_ANSWER}') AS answer FROM al",
+}
+
+SCORED_CHOSEN = f"""{SCORED},
+rk AS (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20),
+exact AS (SELECT query_id, section_id FROM qs JOIN nn ON s <> '' AND (h = s OR t = s)),
+topn AS (SELECT query_id, arg_max(section_id, row(score, -section_id)) AS section_id FROM exact JOIN sc USING (query_id, section_id) GROUP BY 1),
+best1 AS (SELECT query_id, section_id FROM topn JOIN below USING (section_id)),
+rest1 AS (SELECT qs.*, subject FROM qs JOIN subj USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM best1)),
+req0 AS (SELECT query_id, section_id, CASE WHEN h = s THEN 100 WHEN contains(h, s) THEN 70 ELSE 0 END + CASE WHEN contains(pt, s) THEN 60 ELSE 0 END + CASE WHEN contains(c, s) THEN 80 ELSE 0 END + CASE WHEN contains(t, s) THEN 15 ELSE 0 END AS points
+  FROM rest1 JOIN nn ON wants_yaml AND (subject LIKE '%.yaml' OR subject LIKE '%.yml') AND len(yamls) > 0),
+req AS (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, coalesce(rank, 21), section_id) AS at_ FROM req0 LEFT JOIN rk USING (query_id, section_id) WHERE points > 0),
+rest2 AS (SELECT * FROM rest1 WHERE query_id NOT IN (SELECT query_id FROM req)),
+cands AS (SELECT query_id, section_id, min(rank) AS rank FROM (SELECT query_id, section_id, 0 AS rank FROM exact UNION ALL SELECT query_id, section_id, rank FROM rk) GROUP BY ALL),
+parts_of AS (SELECT query_id, section_id, count(*) FILTER (WHERE f = 1) * 12 + count(*) FILTER (WHERE f = 2) * 10 + count(*) FILTER (WHERE f = 4) * 8 AS points FROM terms_of JOIN asked_terms USING (term) GROUP BY ALL),
+anchor2 AS (SELECT x.query_id, arg_max(x.section_id, row(coalesce(p.points, 0) + least(below, 10) * 4 + CASE WHEN s <> '' AND h = s THEN 50 ELSE 0 END + CASE WHEN s <> '' AND contains(t, s) THEN 20 ELSE 0 END + CASE WHEN s <> '' AND contains(pt, s) THEN 18 ELSE 0 END, -rank, -x.section_id)) AS section_id
+  FROM cands x JOIN below USING (section_id) JOIN rest2 USING (query_id) JOIN nn ON nn.section_id = x.section_id LEFT JOIN parts_of p ON p.query_id = x.query_id AND p.section_id = x.section_id
+  WHERE {" OR ".join(f"wants_{w}" for w in scored.WANTED)} GROUP BY 1),
+tops AS (SELECT * FROM best1 UNION ALL SELECT * FROM anchor2),
+met AS (SELECT query_id, section_id, 0 AS kind, 0 AS place_in FROM tops
+  UNION ALL SELECT query_id, d.section_id, 1, CAST(distance AS BIGINT) * 1099511627776 + d.section_id FROM tops JOIN tree ON ancestor = tops.section_id JOIN n d ON d.section_id = descendant WHERE {USEFUL.format("d")}
+  UNION ALL SELECT query_id, m.section_id, 2, m.section_id FROM tops JOIN n a ON a.section_id = tops.section_id JOIN n m ON m.file_path = a.file_path AND m.section_id <> a.section_id WHERE {USEFUL.format("m")}
+  UNION ALL SELECT query_id, section_id, 0, at_ FROM req
+  UNION ALL SELECT rk.query_id, rk.section_id, 0, rank FROM rk JOIN rest2 USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM anchor2)
+  UNION ALL SELECT query_id, section_id, 9, k FROM rest2, (SELECT section_id, row_number() OVER (ORDER BY section_id) - 1 AS k FROM n QUALIFY k < 8) WHERE query_id NOT IN (SELECT query_id FROM anchor2)),
+firsts AS (SELECT query_id, section_id, min(row(kind, place_in)) AS first FROM met GROUP BY ALL)"""
+SQL |= {
+    "scored_search": f"WITH {SCORED_CHOSEN} SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, section_id) AS INTEGER) AS rank FROM firsts QUALIFY rank <= 8",
+}
+
+BLOCK_STOP = "[" + ", ".join(f"'{w}'" for w in BLOCK_STOPWORDS) + "]"
+BLOCK_ROWS, BLOCK_REST = SQL["block_documents"].split("SELECT section_id, doc_type, block_type, block_lang, block_index, topic_tags, CAST(length(body)", 1)
+CONTENT_OF = BLOCK_REST.split("md5(", 1)[1].rsplit(") AS content_md5", 1)[0]
+TOPIC_OF = "CASE " + " ".join(f"WHEN {any_of(norm('q.text'), needles)} THEN '{name}'" for name, needles in TOPICS.items()) + " END"
+GROUNDED = f"""{BLOCK_ROWS.strip()}, {ASKED}, {SUBJECT}, {BM25.replace("rank <= 12", f"rank <= {grounded.TOP_RETRIEVED}")},
+docs AS (SELECT section_id, section_id || '/' || doc_type || '/' || coalesce(block_index, '') AS doc_id, doc_type, block_type, body, heading, title, topic_tags, {CONTENT_OF} AS content FROM every JOIN b USING (section_id)),
+dn AS (SELECT *, {norm("heading")} AS h, {norm("title")} AS t, {norm("content")} AS c, list_distinct({terms("content", BLOCK_STOP)}) AS words FROM docs),
+gi AS (SELECT q.query_id, {norm("subject")} AS s, {TOPIC_OF} AS topic, list_distinct({terms("q.text", BLOCK_STOP)}) AS asked, {", ".join(f"{any_of(norm('q.text'), words)} AS wants_{name}" for name, words in grounded.WANTS.items())} FROM q JOIN subj USING (query_id)),
+gx AS (SELECT query_id, doc_id, score, CASE WHEN s = '' THEN 5 WHEN h = s THEN 1 WHEN contains(h, s) THEN 2 WHEN contains(t, s) THEN 3 WHEN contains(c, s) THEN 4 ELSE 5 END AS tier,
+    {" + ".join(f"CASE WHEN wants_{w} AND block_type IN ({', '.join(repr(k) for k in kinds)}) THEN {n} ELSE 0 END" for w, (kinds, n) in grounded.KIND_BONUS.items())}
+    + CASE WHEN wants_steps AND doc_type = 'section' THEN {grounded.SECTION_BONUS} ELSE 0 END + CASE WHEN list_contains(topic_tags, topic) THEN {grounded.TOPIC_BONUS} ELSE 0 END AS bonus, len(list_intersect(asked, words)) AS shared
+  FROM bm JOIN dn USING (section_id) JOIN gi USING (query_id)),
+gb AS (SELECT * FROM gx QUALIFY tier = min(tier) OVER (PARTITION BY query_id)),
+gc AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 1 THEN 10 WHEN 2 THEN 8 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END DESC, bonus DESC, shared DESC, score DESC, doc_id) AS INTEGER) AS rank FROM gb QUALIFY rank <= 10)"""
+SQL |= {
+    "grounded_documents": f"{GROUNDED} SELECT * FROM gc",
+    "grounded_blocks": f"""{GROUNDED}, l AS (SELECT query_id, block_type, list(trim(body) ORDER BY rank) AS bs FROM gc JOIN docs USING (doc_id) WHERE doc_type = 'block' AND block_type IN ({", ".join(repr(k) for k in grounded.BLOCK_TYPES)}) AND trim(body) <> '' GROUP BY ALL)
+      SELECT query_id, block_type, ({first_ones("bs")})[1:8] AS blocks FROM l""",
+}
