@@ -92,7 +92,8 @@ def build_index(sections: DataFrame, folder: str | None = None) -> Index:
 
     base = nodes(sections, "file_path", "doc_title", "page_url", "heading", "level", "heading_path", "raw_content", *ARTEFACTS)
     rows = keep("rows", base.select("*", *_flags(), F.size(terms(retrieval_content(), [])).alias("length")))
-    postings = keep("postings", _postings(rows).repartition("term").sortWithinPartitions("term"))
+    # sections stay together: their terms are summed where they are, here and when a batch of queries meets them
+    postings = keep("postings", _postings(rows.repartition("section_id")))
     keep("terms", postings.where("tf > 0").groupBy("term").agg(F.count("*").alias("df")))
     kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("shown")) for kind, c in (("heading", "heading"), ("title", "doc_title"))))
     named = rows.select("section_id", F.explode(kinds).alias("k")).select("section_id", "k.kind", "k.shown").where("shown <> ''").withColumn("key", normalized("shown")).where("key <> ''")
