@@ -203,7 +203,7 @@ class Matched:
         return place.pages * sum(len(p.text) for u in units if u.tag == "h1" and u.container is self.body for p in u.pieces)
 
 
-def main_units(units: list[Unit], wrapper: Node | None, constants: frozenset[int], kept: Callable[[str], bool] = lambda _: False) -> list[Unit]:
+def main_units(units: list[Unit], wrapper: Node | None, constants: Constants, kept: Callable[[str], bool] = lambda _: False) -> list[Unit]:
     """The units of the main body, in order; a constant that is ``kept`` (a leftover of a template, say) is text all the same."""
     if not units:
         return []
@@ -220,10 +220,8 @@ def main_units(units: list[Unit], wrapper: Node | None, constants: frozenset[int
                 open_ = True
             if not open_:
                 continue
-            if unit.tag in PLAIN:
-                keys = unit.keys()
-                if sum(k in constants for k in keys) * 2 >= len(keys) and not (unit.tag == "p" and kept(" ".join(p.text for p in unit.pieces))):
-                    continue
+            if unit.tag in PLAIN and constants.has(unit, kept):
+                continue
             out.append(unit)
         elif unit.container is found.title:
             if unit.tag == "h1":
@@ -339,10 +337,18 @@ def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return checkpointed(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string"))
 
 
+#: Pages with long bodies for one with a short one, and at least, from which a constant is furniture and no leftover.
+FURNITURE_RATIO, FURNITURE_PAGES = 4, 3
+
+
 def constants(surveyed: DataFrame) -> DataFrame:
-    """(host, field, key): hashes of the paragraphs that belong to the template; a text met once here and there does not."""
+    """(host, field, key, furniture): hashes of the paragraphs that belong to the template; a text met once here and there does not.
+
+    Those that far more long bodies than short ones have, on all hosts, are furniture; others may be what an unfilled template left.
+    """
     pages = surveyed.where("kind = 0").select("host", "field", "page").distinct().groupBy("host", "field").agg(F.count("*").alias("pages"))
-    seen = surveyed.where("kind in (1, 4)").select("host", "field", "key", "kind", "page").distinct().groupBy("host", "field", "key").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    met = surveyed.where("kind in (1, 4)").groupBy("host", "field", "key", "page").agg(F.max("kind").alias("kind"), F.max((F.col("wrapper") == "long").cast("int")).alias("long"))
+    seen = met.groupBy("host", "field", "key").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.sum("long").alias("long"))
     seen = checkpointed(seen.join(pages, ["host", "field"]))
     often = seen.where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * SHARE)).select("host", "field", "key")
     # short paragraphs that recur on several hosts, on the hosts that have them
@@ -350,15 +356,35 @@ def constants(surveyed: DataFrame) -> DataFrame:
     recur = seen.where((F.col("kind") == 4) & (F.col("n") >= RECUR_PAGES) & (F.col("n") >= F.col("pages") * RECUR_SHARE))
     many = recur.groupBy("key").agg(F.countDistinct("host").alias("n")).join(F.broadcast(hosts)).where((F.col("n") >= LEAST_HOSTS) & (F.col("n") >= F.col("hosts") * HOST_SHARE)).select("key")
     common = seen.where("kind = 4").join(many, "key", "left_semi").select("host", "field", "key")
-    return often.unionByName(common).distinct()
+    found = often.unionByName(common).distinct()
+    sums = seen.join(found.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"), F.sum("long").alias("long"))
+    furniture = (F.col("long") >= FURNITURE_PAGES) & (F.col("long") >= FURNITURE_RATIO * (F.col("n") - F.col("long")))
+    return found.join(sums.select("key", F.coalesce(furniture, F.lit(False)).alias("furniture")), "key").select("host", "field", "key", "furniture")
 
 
 def wrappers(surveyed: DataFrame) -> DataFrame:
-    """(host, field, wrapper, constants): the wrapper of each host and field, and the hashes of its constant paragraphs."""
+    """(host, field, wrapper, constants): the wrapper of each host and field, and the hashes of its constant paragraphs, negative for furniture."""
     schema = "host string, field string, wrapper string"
     partial = surveyed.where("kind = 2").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     folded = partial.groupBy("host", "field", "salt").applyInPandas(_fold, schema).groupBy("host", "field").applyInPandas(_fold, schema)
-    return folded.join(constants(surveyed).groupBy("host", "field").agg(F.collect_list("key").alias("constants")), ["host", "field"], "left")
+    listed = constants(surveyed).select("host", "field", F.when(F.col("furniture"), -F.col("key") - 1).otherwise(F.col("key")).alias("key"))
+    return folded.join(listed.groupBy("host", "field").agg(F.collect_list("key").alias("constants")), ["host", "field"], "left")
+
+
+class Constants:
+    """The constants of a host and field: all their hashes, and those of furniture."""
+
+    def __init__(self, listed: list[int] | None = None):
+        every = listed if listed is not None else ()
+        self.furniture = frozenset(-k - 1 for k in every if k < 0)
+        self.all = self.furniture.union(k for k in every if k >= 0)
+
+    def has(self, unit: Unit, kept: Callable[[str], bool]) -> bool:
+        """Whether a unit is of the template: most of its keys are constants, and it is furniture or not a leftover that is ``kept``."""
+        keys = unit.keys()
+        if sum(k in self.all for k in keys) * 2 < len(keys):
+            return False
+        return unit.tag != "p" or any(k in self.furniture for k in keys) or not kept(" ".join(p.text for p in unit.pieces))
 
 
 class Reader:
@@ -368,13 +394,13 @@ class Reader:
         self.every = every
         self.known: dict = {}
 
-    def find(self, host: str, field: str, wrapper: str | None = None, constants: list[int] | None = None) -> tuple[Node | None, frozenset[int]]:
+    def find(self, host: str, field: str, wrapper: str | None = None, constants: list[int] | None = None) -> tuple[Node | None, Constants]:
         if (out := self.known.get((host, field))) is None:
             if len(self.known) > 2000:
                 self.known.clear()
             if self.every is not None:
                 wrapper, constants = self.every.get((host, field), (None, None))
-            out = self.known[host, field] = load(wrapper) if wrapper else None, frozenset(constants if constants is not None else ())
+            out = self.known[host, field] = load(wrapper) if wrapper else None, Constants(constants)
         return out
 
 
