@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import contains_any, normalized, terms
 from docloom.operators import tree
 from docloom.operators.tree import ARTEFACTS, is_useful, nodes
-from docloom.session import shared_folder
+from docloom.session import exists, shared_folder
 
 #: Words in headings of sections that verify something, at all and after installing, and that prepare something.
 VERIFYING = ["verify", "validation", "validate", "check", "checks", "expected output", "output", "install helm chart", "post installation", "post-install"]
@@ -126,7 +126,7 @@ class Engine:
 
     def index(self, path: str, force: bool = False) -> Index:
         with self.lock:
-            if force or path not in self.known:
+            if force or path not in self.known or not exists(self.spark, self.known[path].folder):
                 try:
                     self.known[path] = build_index(self.spark.read.parquet(path))
                     self.errors.pop(path, None)

@@ -69,6 +69,11 @@ def kept(df: DataFrame) -> DataFrame:
     return written(df)[1]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
