@@ -180,3 +180,22 @@ def test_scored_subjects_and_search(spark):
     assert [r["section_id"] for r in headings] == [1, 2]
     scores = {(r["query_id"], r["section_id"]): r["score"] for r in scored.scores(scored.understood(q, index)).collect()}
     assert scores[1, 1] == 2 * 10 + 2 * 8 + 45 + 3 and scores[1, 2] == 2 * 8 + 22 + 12 and scores[3, 5] == 2
+
+
+def test_prompts_hold_the_first_sections(spark):
+    import json
+
+    own = batch(spark)
+    chosen = spark.createDataFrame([(1, 1, 1), (1, 2, 7), (2, 3, 1)], "query_id long, section_id long, rank int")
+    got = {r["query_id"]: json.loads(r["prompt"]) for r in A.prompts(chosen, asked(spark), own.index).collect()}
+    assert set(got) == {1, 2} and got[1]["query"] == "what commands setup gateway" and [c["heading"] for c in got[1]["context"]] == ["Setup gateway"]
+    assert got[1]["context"][0]["commands"] == ["helm install gateway"] and got[2]["context"][0]["yamls"] == ["a: b"]
+
+
+def test_vectors_in_the_combined_score(spark):
+    own = batch(spark)
+    near = spark.createDataFrame([(1, 3, 0.9, 1), (1, 4, 0.1, 2)], "query_id long, section_id long, score double, rank int")
+    plain = {tuple(r)[:2]: r["score"] for r in search.combined(own).collect()}
+    with_vectors = {tuple(r)[:2]: r["score"] for r in search.combined(own, near).collect()}
+    gain = {k: round(v - plain.get(k, 0.0), 6) for k, v in with_vectors.items() if v != plain.get(k)}
+    assert gain == {(1, 3): round(0.25 + 10 / 61, 6), (1, 4): round(10 / 62, 6)}
