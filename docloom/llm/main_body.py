@@ -1,7 +1,7 @@
 """Problem 3: the main body of each page, by wrappers inferred from the pages of its host.
 
 1. Every page is read once; each task folds its pages into one partial wrapper per host and field (see ``wrapper``) and lists
-   the hashes of the paragraphs of what looks like a body.  This is checkpointed: it is a small part of the pages.
+   the hashes of the paragraphs of what looks like a body, and the blocks of text that models of language are fitted on (see ``residue``).  This is written once.
 2. Partial wrappers are folded per host, first in SALTS groups a host and then together.  Paragraphs are counted by distinct page;
    those on at least LEAST_PAGES pages and SHARE of the host's pages are constants of the template, as are short ones that recur on several hosts.
 3. Wrappers, small, are broadcast, or joined to the pages by host; every page is read again and matched with its host's wrapper, which tells
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from heapq import nsmallest
 
 import pandas as pd
 import pyarrow as pa
@@ -29,14 +28,14 @@ from docloom.functions.arrowmap import map_batches
 from docloom.functions.markup import BLANK, HEADINGS, NUMBER, Element, Piece, pieces
 from docloom.llm.repeated_lines import site_of
 from docloom.llm.wrapper import LEAST_PROSE, Node, dump, grouped, load, match
-from docloom.session import checkpointed
+from docloom.session import checkpointed, written
 
 FIELDS = ("page_html", "export_view_html")
 LEAST_PAGES, SHARE = 3, 0.08
 #: Groups a host's partial wrappers are folded in first; bytes of all wrappers up to which they are broadcast; wrappers a task holds at once.
 SALTS, BROADCAST_BYTES, HOSTS_AT_ONCE = 32, 32 << 20, 2000
-#: Sample blocks of long bodies have so many characters, and long bodies at least so many; blocks of smallest hash that are listed of each place.
-SAMPLE_CHARS, SAMPLE_PAGE, SAMPLE_BLOCKS = (40, 1200), 1500, 3000
+#: Blocks of long bodies that models are fitted on have at least so many characters, and so have long bodies.
+BLOCK_CHARS, LONG_BODY = 40, 1500
 #: Short paragraphs that recur on at least LEAST_HOSTS hosts and HOST_SHARE of all hosts are constants everywhere; on a host
 #: recurs what is on at least RECUR_PAGES of its pages and RECUR_SHARE of them.
 SHORT, LEAST_HOSTS, HOST_SHARE, RECUR_PAGES, RECUR_SHARE = 60, 3, 0.05, 2, 0.01
@@ -44,8 +43,8 @@ SHORT, LEAST_HOSTS, HOST_SHARE, RECUR_PAGES, RECUR_SHARE = 60, 3, 0.05, 2, 0.01
 TITLE_ONLY = 40
 
 
-#: Texts whose hashes a process remembers: links and notices come on every page.
-REMEMBERED = 200_000
+#: Texts whose hashes a process remembers: links and notices come on every page.  Blocks that a task remembers to have sent.
+REMEMBERED, SENT = 200_000, 50_000
 _hashes: dict[str, int] = {}
 
 
@@ -63,6 +62,11 @@ def hashed(text: str) -> int:
     return own
 
 
+def plain(text: str) -> str:
+    """A text without regard to case, blanks and the values of numbers: texts alike in these have the same n-grams."""
+    return BLANK.sub(" ", NUMBER.sub("0", text)).strip().lower()
+
+
 class Unit:
     """A unit of a page with its pieces."""
 
@@ -237,22 +241,24 @@ def main_units(units: list[Unit], wrapper: Node | None, constants: Constants, ke
 class Survey:
     """What a task finds on its pages: rows (host, field, kind, key, page, wrapper).
 
-    Kind 0 are pages, 1 and 4 long and short paragraphs of bodies (``wrapper`` says whether of a long one), 2 partial wrappers, 3 sample texts, of which ``page`` is the place: long bodies (0), short
-    ones (1), what is outside bodies (2).  Wrappers and samples come once a task.
+    Kind 0 are pages, 1 and 4 long and short paragraphs of bodies (``wrapper`` says whether of a long one), 2 partial wrappers, 3 all blocks that models are fitted on (``text``), of which ``page`` is
+    the place: long bodies (0), short ones (1), what is outside bodies (2).  Wrappers come once a task; a block that comes often may come more than once.
     """
 
-    KINDS = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+    KINDS = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def __init__(self):
         self.wrappers: dict[tuple[str, str], Node] = {}
-        self.samples: tuple[dict[int, str], ...] = ({}, {}, {})
+        self.noted: list[tuple[int, int, str]] = []
+        self.sent: set[tuple[int, int, str]] = set()
 
-    def note(self, place: int, text: str) -> None:
-        """Keep a block for the sample: of each place the SAMPLE_BLOCKS of smallest hash, whichever tasks they fall into."""
-        own = self.samples[place]
-        own.setdefault(hashed(text), text)
-        if len(own) > 2 * SAMPLE_BLOCKS:
-            self.samples = tuple(kept(x) for x in self.samples)
+    def note(self, place: int, unit: Unit) -> None:
+        """List a block of a place, plain, that wasn't met lately."""
+        text = " ".join(p.text for p in unit.pieces)
+        own = place, hashed(text) if place == 1 else 0, plain(text)
+        if own not in self.sent:
+            self.sent.add(own)
+            self.noted.append(own)
 
     def read(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[tuple, None] = {}
@@ -272,38 +278,36 @@ class Survey:
                 else:
                     self.wrappers[key] = own
                 self.paragraphs(units, key, page, rows)
-        return self.batch(list(rows))
+        out = [(*row, None) for row in rows] + [("", FIELDS[0], 3, k, place, None, text) for place, k, text in self.noted]
+        self.noted.clear()
+        if len(self.sent) > SENT:
+            self.sent.clear()
+        return self.batch(out)
 
     def paragraphs(self, units: list[Unit], key: tuple[str, str], page: int, rows: dict[tuple, None]) -> None:
         bodies = likely_bodies(units)
         titled = next((u for u in units if u.tag == "h1"), None)
-        short_body = sum(len(p.text) for u in units if u.container in bodies for p in u.pieces) < SAMPLE_PAGE
+        short_body = sum(len(p.text) for u in units if u.container in bodies for p in u.pieces) < LONG_BODY
         open_ = titled is None
         for unit in units:
             open_ |= unit is titled
             size = sum(len(p.text) for p in unit.pieces)
             if unit.container not in bodies:
-                if key[1] == FIELDS[0] and unit.container.tag != "noscript" and size <= SAMPLE_CHARS[1]:
-                    self.note(2, BLANK.sub(" ", " ".join(p.text for p in unit.pieces)).strip())
+                if key[1] == FIELDS[0] and unit.container.tag != "noscript":
+                    self.note(2, unit)
                 continue
             if (open_ or unit.container is not titled.container) and unit.tag in PLAIN:
                 for k in unit.keys():
                     rows[(*key, 4 if size <= SHORT else 1, k, page, "short" if short_body else "long")] = None
-            if open_ and key[1] == FIELDS[0] and unit.tag not in HEADINGS and size <= SAMPLE_CHARS[1] and (short_body or size >= SAMPLE_CHARS[0]):
-                self.note(int(short_body), BLANK.sub(" ", " ".join(p.text for p in unit.pieces)).strip())
+            if open_ and key[1] == FIELDS[0] and unit.tag not in HEADINGS and (short_body or size >= BLOCK_CHARS):
+                self.note(int(short_body), unit)
 
     def rest(self) -> pa.RecordBatch:
-        out = [(host, field, 2, k, 0, dump(node)) for k, ((host, field), node) in enumerate(self.wrappers.items())]
-        out += [("", FIELDS[0], 3, k, place, text) for place, own in enumerate(self.samples) for k, text in kept(own).items()]
-        return self.batch(out)
+        return self.batch([(host, field, 2, k, 0, dump(node), None) for k, ((host, field), node) in enumerate(self.wrappers.items())])
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(self.KINDS)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.KINDS)], names=["host", "field", "kind", "key", "page", "wrapper"])
-
-
-def kept(sample: dict[int, str]) -> dict[int, str]:
-    return {k: sample[k] for k in nsmallest(SAMPLE_BLOCKS, sample)}
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.KINDS)], names=["host", "field", "kind", "key", "page", "wrapper", "text"])
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +336,10 @@ def host_key(url: str = "page_url") -> Column:
     return F.coalesce(site_of(url), F.lit(""))
 
 
-def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[str, DataFrame]:
+    """What all tasks find, as a written table with its path; the blocks are a column of their own, so that only those who ask for them read them."""
     rows = fetches.select(host_key().alias("host"), F.xxhash64("page_url").alias("page"), *fields).where(" or ".join(f"{f} <> ''" for f in fields))
-    return checkpointed(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string"))
+    return written(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string, text string"))
 
 
 #: Pages with long bodies for one with a short one, and at least, from which a constant is furniture and no leftover.

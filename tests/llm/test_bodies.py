@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions.markup import pieces
@@ -197,3 +198,21 @@ def test_wrappers_joined_where_they_are_too_many_to_send(spark, monkeypatch):
     sent = {tuple(r) for r in residue.main_pieces(df).collect()}
     monkeypatch.setattr(main_body, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in residue.main_pieces(df).collect()} == sent and sent
+
+
+def test_models_are_fitted_on_every_block(spark):
+    """More blocks than any sample held: the models are those of all of them, each once."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    bodies = [[f"The {word()} service reads the {word()} key and waits for {r.randrange(99)} seconds." for _ in range(80)] for _ in range(40)]
+    rows = [(i, f"https://m.example/{i}", f"<main><h1>T {i}</h1>{''.join(f'<p>{s}</p>' for s in own)}</main><footer><p>Made {i} by hand</p></footer>", None) for i, own in enumerate(bodies)]
+    rows += [(100 + i, f"https://m.example/s{i}", f"<main><h1>S {i}</h1><p>Sorry, this page cannot be found. Quorvex {'abcdefgh'[i]} lumbered.</p></main>", None) for i in range(8)]
+    _, surveyed = main_body.survey(spark.createDataFrame([*rows, *rows], SCHEMA).repartition(7))
+    texts = [s for own in bodies for s in own]
+    counts = residue.tallied(texts)
+    assert (counts == sum(np.bincount(residue.slots(s), minlength=residue.SLOTS) for s in texts)).all()
+    judge = residue.judge_of(surveyed)
+    distinct = {main_body.plain(s) for s in texts}
+    short = [f"Sorry, this page cannot be found. Quorvex {c} lumbered." for c in "abcdefgh"]
+    assert len(distinct) > 3000 and (judge.models == residue.Judge(distinct, ["Made 0 by hand"], short).models).all()
+    assert not (judge.models == residue.Judge(distinct, ["Made 0 by hand"]).models).all()  # the short ones were learned from
