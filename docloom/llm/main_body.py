@@ -18,9 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ FIELDS = ("page_html", "export_view_html")
 LEAST_PAGES, SHARE = 3, 0.08
 #: Groups a host's partial wrappers are folded in first; bytes of all wrappers up to which they are broadcast; wrappers a task holds at once.
 SALTS, BROADCAST_BYTES, HOSTS_AT_ONCE = 32, 32 << 20, 2000
+#: Units after which a task hands over the counts of its wrappers' texts.
+TEXTS_AT_ONCE = 200_000
 #: Blocks of long bodies that models are fitted on have at least so many characters, and so have long bodies.
 BLOCK_CHARS, LONG_BODY = 40, 1500
 #: Short paragraphs that recur on at least LEAST_HOSTS hosts and HOST_SHARE of all hosts are constants everywhere; on a host
@@ -126,7 +130,7 @@ class Page:
                     block = p.element.block
                     node.blocks += 1
             # the first piece stands for a unit's text
-            key = hashed(unit.pieces[0].text) >> 22
+            key = hashed(unit.pieces[0].text)
             node.texts[key] = node.texts.get(key, 0) + 1
             if unit.tag == "h1":
                 node.titles = 1
@@ -243,11 +247,13 @@ class Survey:
 
     Kind 0 are pages, 1 and 4 long and short paragraphs of bodies (``wrapper`` says whether of a long one), 2 partial wrappers, 3 all blocks that models are fitted on (``text``), of which ``page`` is
     the place: long bodies (0), short ones (1), what is outside bodies (2).  Wrappers come once a task; a block that comes often may come more than once.
+    Kind 5 are the texts of the wrappers' nodes (``texts`` and ``counts``; ``key`` is a number of the node).
     """
 
-    KINDS = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    KINDS = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
-    def __init__(self):
+    def __init__(self, numbers: Iterator[int]):
+        self.numbers, self.held = numbers, 0
         self.wrappers: dict[tuple[str, str], Node] = {}
         self.noted: list[tuple[int, int, str]] = []
         self.sent: set[tuple[int, int, str]] = set()
@@ -271,6 +277,7 @@ class Survey:
                 if not units:
                     continue
                 key = (host, field)
+                self.held += len(units)
                 rows[host, field, 0, 0, page, None] = None
                 own = Page(units).sums().wrapper()
                 if key in self.wrappers:
@@ -278,7 +285,9 @@ class Survey:
                 else:
                     self.wrappers[key] = own
                 self.paragraphs(units, key, page, rows)
-        out = [(*row, None) for row in rows] + [("", FIELDS[0], 3, k, place, None, text) for place, k, text in self.noted]
+        out = [(*row, None, None, None) for row in rows] + [("", FIELDS[0], 3, k, place, None, text, None, None) for place, k, text in self.noted]
+        if self.held > TEXTS_AT_ONCE:
+            out += self.texts()
         self.noted.clear()
         if len(self.sent) > SENT:
             self.sent.clear()
@@ -303,20 +312,27 @@ class Survey:
                 self.note(int(short_body), unit)
 
     def rest(self) -> pa.RecordBatch:
-        return self.batch([(host, field, 2, k, 0, dump(node), None) for k, ((host, field), node) in enumerate(self.wrappers.items())])
+        texts = self.texts()  # these number the nodes
+        return self.batch(texts + [(host, field, 2, k, 0, dump(node), None, None, None) for k, ((host, field), node) in enumerate(self.wrappers.items())])
+
+    def texts(self) -> list[tuple]:
+        self.held = 0
+        return [(host, field, 5, number, 0, None, None, list(own), list(own.values())) for (host, field), node in self.wrappers.items() for number, own in node.listed(self.numbers)]
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(self.KINDS)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.KINDS)], names=["host", "field", "kind", "key", "page", "wrapper", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.KINDS)], names=["host", "field", "kind", "key", "page", "wrapper", "text", "texts", "counts"])
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = Survey()
+    context = TaskContext.get()
+    numbers = count((context.partitionId() if context else 0) << 32)
+    task = Survey(numbers)
     for batch in batches:
         yield task.read(batch)
         if len(task.wrappers) > HOSTS_AT_ONCE:
             yield task.rest()
-            task = Survey()
+            task = Survey(numbers)
     yield task.rest()
 
 
@@ -339,7 +355,7 @@ def host_key(url: str = "page_url") -> Column:
 def survey(fetches: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[str, DataFrame]:
     """What all tasks find, as a written table with its path; the blocks are a column of their own, so that only those who ask for them read them."""
     rows = fetches.select(host_key().alias("host"), F.xxhash64("page_url").alias("page"), *fields).where(" or ".join(f"{f} <> ''" for f in fields))
-    return written(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string, text string"))
+    return written(rows.mapInArrow(_survey, "host string, field string, kind int, key bigint, page bigint, wrapper string, text string, texts array<bigint>, counts array<bigint>"))
 
 
 #: Pages with long bodies for one with a short one, and at least, from which a constant is furniture and no leftover.
@@ -367,11 +383,41 @@ def constants(surveyed: DataFrame) -> DataFrame:
     return found.join(sums.select("key", F.coalesce(furniture, F.lit(False)).alias("furniture")), "key").select("host", "field", "key", "furniture")
 
 
+def _numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = [(host, field, number, node.numbers[0]) for host, field, source in zip(*(c.to_pylist() for c in batch.columns)) for node in load(source).nodes() for number in node.numbers]
+    columns = zip(*rows) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "field", "number", "node"])
+
+
+def recurrence(surveyed: DataFrame, folded: DataFrame) -> DataFrame:
+    """(host, field, node, held, again): how many texts the pages of a host hold at each node of its wrapper, named by its first number, and how many of these come more than once; all are counted."""
+    nodes = map_batches(folded.select("host", "field", "wrapper"), lambda: _numbered, "host string, field string, number bigint, node bigint")
+    listed = surveyed.where("kind = 5").select(F.col("key").alias("number"), "texts", "counts").join(nodes.select("number", "node"), "number")
+    texts = listed.select("node", F.explode(F.arrays_zip("texts", "counts")).alias("t")).groupBy("node", F.col("t.texts").alias("text")).agg(F.sum("t.counts").alias("n"))
+    sums = texts.groupBy("node").agg(F.sum("n").alias("held"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
+    return sums.join(nodes.where("number = node").select("host", "field", "node"), "node").select("host", "field", "node", "held", "again")
+
+
+def _filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The wrappers with the sums of their nodes in place of their numbers."""
+    out = []
+    for source, sums in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        whole, known = load(source), {s["node"]: s for s in sums or ()}
+        for node in whole.nodes():
+            if node.numbers:
+                node.held, node.again = known[node.numbers[0]]["held"], known[node.numbers[0]]["again"]
+                node.numbers = []
+        out.append(dump(whole))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["host", "field", "wrapper"])
+
+
 def wrappers(surveyed: DataFrame) -> DataFrame:
     """(host, field, wrapper, constants): the wrapper of each host and field, and the hashes of its constant paragraphs, negative for furniture."""
     schema = "host string, field string, wrapper string"
     partial = surveyed.where("kind = 2").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    folded = partial.groupBy("host", "field", "salt").applyInPandas(_fold, schema).groupBy("host", "field").applyInPandas(_fold, schema)
+    folded = checkpointed(partial.groupBy("host", "field", "salt").applyInPandas(_fold, schema).groupBy("host", "field").applyInPandas(_fold, schema))
+    summed = recurrence(surveyed, folded).groupBy("host", "field").agg(F.collect_list(F.struct("node", "held", "again")).alias("sums"))
+    folded = map_batches(folded.join(summed, ["host", "field"], "left").select("host", "field", "wrapper", "sums"), lambda: _filled, schema)
     listed = constants(surveyed).select("host", "field", F.when(F.col("furniture"), -F.col("key") - 1).otherwise(F.col("key")).alias("key"))
     return folded.join(listed.groupBy("host", "field").agg(F.collect_list("key").alias("constants")), ["host", "field"], "left")
 

@@ -3,8 +3,9 @@
 A page is a tree of containers (see ``functions.markup``), each with the text it holds itself: its slot.  A wrapper is a union-free expression
 over such trees: under each node a list of nodes in order, some repeated (siblings that come again are one group), some
 optional (not on every page).  Two wrappers are aligned level by level by the longest common subsequence of names; what only one
-has becomes optional; nodes that match are merged, and so are their slots.  A slot keeps sums and the BOTTOM texts of smallest hash
-with their counts, a sample of its distinct texts that doesn't depend on the order of merging.
+has becomes optional; nodes that match are merged, and so are their slots.  A slot keeps sums and the counts of its texts.  Those of many pages are
+too many to go with the wrapper: they are listed apart under a number of the node, which then keeps the numbers of all nodes merged into it, so that
+all texts can be counted by node of the whole wrapper (see ``main_body.wrappers``); ``held`` and ``again`` are what comes of that.
 
 Nodes of one name at different places stay apart: it is the place in the expression that tells a teaser before the body from a
 call-out of the same mark-up in it.  Where a level has more than MOST_NODES nodes, as where names are made up for each page, the
@@ -14,9 +15,11 @@ rarest are generalised to any name of their tag; nothing of them is lost but the
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from heapq import nsmallest
 
-BOTTOM, MOST_NODES = 16, 120
+#: As many different titles vary at any number of pages; up to them they are counted, and more aren't told apart.
+VARIETY, MOST_NODES = 16, 120
 #: A container inside the body is text if at most this share of it is links and recurring texts, and if its blocks are long.
 LINK_SHARE, RECURRING, BLOCK_CHARS = 0.35, 0.5, 38
 #: Share of pages on which a node holds a first heading, and of distinct texts among those, from which it is a place of titles.
@@ -26,26 +29,44 @@ LEAST_PROSE = 60
 
 
 class Node:
-    """One node of a wrapper: pages that have it and repeat it; sums over its slot; samples of its texts and titles; the nodes in it in order, and those of any name by tag."""
+    """One node of a wrapper: pages that have it and repeat it; sums over its slot; counts of its texts, if they aren't listed apart, and of titles; its numbers, and
+    how many texts all its pages hold and how many of these came again; the nodes in it in order, and those of any name by tag."""
 
-    __slots__ = ("name", "pages", "repeated", "titles", "blocks", "chars", "links", "texts", "heads", "inner", "other")
+    __slots__ = ("name", "pages", "repeated", "titles", "blocks", "chars", "links", "texts", "heads", "numbers", "held", "again", "inner", "other")
 
-    def __init__(self, name: str, pages=1, repeated=0, titles=0, blocks=0, chars=0, links=0, texts=None, heads=None, inner=None, other=None):
+    def __init__(self, name: str, pages=1, repeated=0, titles=0, blocks=0, chars=0, links=0, heads=None, numbers=None, held=0, again=0, inner=None, other=None):
         self.name, self.pages, self.repeated, self.titles = name, pages, repeated, titles
         self.blocks, self.chars, self.links = blocks, chars, links
-        self.texts: dict[int, int] = texts or {}
+        self.texts: dict[int, int] = {}
+        self.numbers: list[int] = numbers or []
+        self.held, self.again = held, again
         self.heads: dict[int, int] = heads or {}
         self.inner: list[Node] = inner or []
         self.other: dict[str, Node] = other or {}
 
     def dump(self) -> list:
         pairs = lambda x: [v for pair in x.items() for v in pair]
-        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, pairs(bottom(self.texts)), pairs(bottom(self.heads)), [n.dump() for n in self.inner], [n.dump() for n in self.other.values()]]
+        return [self.name, self.pages, self.repeated, self.titles, self.blocks, self.chars, self.links, pairs(bottom(self.heads)), self.numbers, self.held, self.again, [n.dump() for n in self.inner], [n.dump() for n in self.other.values()]]
 
     @staticmethod
     def load(x: list) -> Node:
         pairs = lambda v: dict(zip(v[::2], v[1::2]))
-        return Node(*x[:7], pairs(x[7]), pairs(x[8]), [Node.load(n) for n in x[9]], {n[0]: Node.load(n) for n in x[10]})
+        return Node(*x[:7], pairs(x[7]), *x[8:11], [Node.load(n) for n in x[11]], {n[0]: Node.load(n) for n in x[12]})
+
+    def nodes(self) -> Iterator[Node]:
+        """This node and all in it."""
+        yield self
+        for node in (*self.inner, *self.other.values()):
+            yield from node.nodes()
+
+    def listed(self, numbers: Iterator[int]) -> Iterator[tuple[int, dict[int, int]]]:
+        """Hand over the counts of texts of all nodes, each with a number of its node."""
+        for node in self.nodes():
+            if node.texts:
+                if not node.numbers:
+                    node.numbers = [next(numbers)]
+                yield node.numbers[0], node.texts
+                node.texts = {}
 
     def absorb(self, other: Node, same_page: bool) -> None:
         if same_page:
@@ -53,7 +74,10 @@ class Node:
         else:
             self.pages, self.repeated, self.titles = self.pages + other.pages, self.repeated + other.repeated, self.titles + other.titles
         self.blocks, self.chars, self.links = self.blocks + other.blocks, self.chars + other.chars, self.links + other.links
-        self.texts, self.heads = joined(self.texts, other.texts), joined(self.heads, other.heads)
+        for key, n in other.texts.items():
+            self.texts[key] = self.texts.get(key, 0) + n
+        self.numbers = self.numbers + other.numbers
+        self.heads = joined(self.heads, other.heads)
         for tag, node in other.other.items():
             self.generalise(node, tag, same_page)
         self.inner = align(self.inner, other.inner, same_page)
@@ -74,10 +98,9 @@ class Node:
     # --- what the sums say ---------------------------------------------------------------------------------------------
 
     def recurring(self) -> float:
-        """Share of the slot's texts, by the sample, that came before."""
-        counts = bottom(self.texts).values()
-        held = sum(counts)
-        return sum(c for c in counts if c > 1) / held if held else 0.0
+        """Share of the slot's texts, over all pages, that come more than once."""
+        held, again = (self.held, self.again) if self.held else (sum(self.texts.values()), sum(c for c in self.texts.values() if c > 1))
+        return again / held if held else 0.0
 
     def prose(self) -> float:
         """Characters a page of text that varies and is no link."""
@@ -87,7 +110,7 @@ class Node:
         """Whether titles stand here: first headings on enough pages, and not the same on all (the site's name)."""
         counts = bottom(self.heads).values()
         held = sum(counts)
-        return self.titles >= TITLED * self.pages and held > 0 and len(counts) >= (VARIED * min(held, BOTTOM) if held > 1 else 1)
+        return self.titles >= TITLED * self.pages and held > 0 and len(counts) >= (VARIED * min(held, VARIETY) if held > 1 else 1)
 
     def is_text(self) -> bool:
         return self.links <= LINK_SHARE * self.chars and self.chars >= BLOCK_CHARS * self.blocks and self.recurring() <= RECURRING
@@ -98,15 +121,15 @@ def tag_of(name: str) -> str:
 
 
 def bottom(counts: dict[int, int]) -> dict[int, int]:
-    """The BOTTOM smallest hashes with their counts."""
-    return counts if len(counts) <= BOTTOM else {k: counts[k] for k in nsmallest(BOTTOM, counts)}
+    """The VARIETY smallest hashes with their counts: all, unless there are more."""
+    return counts if len(counts) <= VARIETY else {k: counts[k] for k in nsmallest(VARIETY, counts)}
 
 
 def joined(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
-    """Counts of both, of the smallest hashes: the same for any order of merging, as what is left out has BOTTOM smaller ones.  ``a`` is used up."""
+    """Counts of both, of the smallest hashes: the same for any order of merging, as what is left out has VARIETY smaller ones.  ``a`` is used up."""
     for key, n in b.items():
         a[key] = a.get(key, 0) + n
-    return a if len(a) <= 4 * BOTTOM else bottom(a)
+    return a if len(a) <= 4 * VARIETY else bottom(a)
 
 
 def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions.markup import pieces
@@ -216,3 +217,28 @@ def test_models_are_fitted_on_every_block(spark):
     short = [f"Sorry, this page cannot be found. Quorvex {c} lumbered." for c in "abcdefgh"]
     assert len(distinct) > 3000 and (judge.models == residue.Judge(distinct, ["Made 0 by hand"], short).models).all()
     assert not (judge.models == residue.Judge(distinct, ["Made 0 by hand"]).models).all()  # the short ones were learned from
+
+
+def test_recurring_texts_are_counted_over_all_pages(spark):
+    """A text on every page beside one that varies: half of the texts come again, which no few of them can tell."""
+    html = [f"<main><h1>T {i}</h1><div class=box><p>The same on every page of the site.</p><p>{i:04d} is the number of no other page: {'abcdefgh'[i % 8] * (i + 9)}</p></div></main>" for i in range(60)]
+    df = spark.createDataFrame([(i, f"https://r.example/{i}", own, None) for i, own in enumerate(html)], SCHEMA).repartition(6)
+    _, surveyed = main_body.survey(df)
+    (found,) = main_body.wrappers(surveyed).collect()
+    box = next(n for n in load(found["wrapper"]).nodes() if n.name == "div[class=box]")
+    assert (box.pages, box.held, box.again, box.recurring()) == (60, 120, 60, 0.5)
+    alone = Node("")
+    alone.texts = {1: 40} | {k: 1 for k in range(2, 42)}
+    assert alone.recurring() == 0.5
+
+
+def test_texts_handed_over_early_stay_with_their_nodes(monkeypatch):
+    monkeypatch.setattr(main_body, "TEXTS_AT_ONCE", 5)
+    task = main_body.Survey(iter(range(100)))
+    html = [f"<main><h1>T {i}</h1><p>Always.</p></main><footer><p>Imprint {i}</p></footer>" for i in range(8)]
+    batches = [pa.RecordBatch.from_pydict({"host": ["h"] * 4, "page": list(range(4)), "page_html": html[k : k + 4]}) for k in (0, 4)]
+    rows = [r for out in (*map(task.read, batches), task.rest()) for r in out.to_pylist()]
+    texts = [r for r in rows if r["kind"] == 5]
+    assert len(texts) == 4 and len({r["key"] for r in texts}) == 2 and sum(sum(r["counts"]) for r in texts) == 24
+    (whole,) = [load(r["wrapper"]) for r in rows if r["kind"] == 2]
+    assert sorted(n.numbers for n in whole.nodes() if n.numbers) == sorted([r] for r in {r["key"] for r in texts})
